@@ -150,11 +150,9 @@ def parsed_answer(raw: Column) -> Column:
     broken = F.concat(F.lit("{"), _full(F.regexp_extract(raw, r'"[a-zA-Z_]+"\s*:[\s\S]*\}', 0)))
     body = F.coalesce(fenced, braces, broken)
     body = F.when(strip(body).startswith("{"), body).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
-    is_object = F.coalesce(F.expr("try_parse_json(null)").isNotNull(), F.lit(False))
     data = F.from_json(body, ANSWER_SCHEMA)
-    has = lambda key: F.get_json_object(body, "$." + key).isNotNull()
     keys = F.json_object_keys(body)
-    is_json = F.coalesce(F.size(keys) >= 0, F.lit(False)) | is_object
+    is_json = F.coalesce(F.size(keys) >= 0, F.lit(False))
     refused = F.coalesce(data["abstain"], F.lit(False)) | F.coalesce(F.array_contains(keys, "refusal"), F.lit(False))
     reason = F.coalesce(_full(data["reason"]), _full(data["ly_do"]), _full(data["refusal"]), F.lit(""))
     answer = F.when(refused, F.coalesce(_full(data["answer"]), reason)).otherwise(

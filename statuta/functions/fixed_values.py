@@ -5,11 +5,9 @@ comparable; nothing here is logic.
 """
 
 # ---- tokens -----------------------------------------------------------------
-# Fixed value: letters (with Vietnamese diacritics) and digits that form a token.
-VI_TOKEN_PATTERN = (
-    "[a-záàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợ"
-    "úùủũụưứừửữựýỳỷỹỵđ0-9]+"
-)
+# Fixed value: letters (with Vietnamese diacritics) and digits that form a token of a
+# lower-case text. The last range holds all Vietnamese letters with two marks or a dot.
+VI_TOKEN_PATTERN = "[a-z0-9àáâãèéêìíòóôõùúýăđĩũơưạ-ỹ]+"
 
 # ---- keywords ---------------------------------------------------------------
 # Words that carry no meaning for keyword matching.

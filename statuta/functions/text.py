@@ -29,7 +29,8 @@ def tokens(text: Column, pattern: str = V.VI_TOKEN_PATTERN) -> Column:
     """Lower-case tokens; a text without any falls back to its whitespace words."""
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    return F.when(F.size(found) > 0, found).otherwise(words(low))
+    # one-element transform: ``found`` is named, so the pattern runs once
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(words(low)))[0]
 
 
 def strip(text: Column) -> Column:

@@ -18,17 +18,29 @@ def sized_join(
     small: DataFrame,
     on: list[str],
     spread: list[str],
+    measure: DataFrame | int | None = None,
     rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Inner join on ``on``.
 
-    ``small`` is broadcast only when counted within ``rows``. Otherwise the join is
-    shuffled, and a key that fills much of ``big`` is split over ``salts`` tasks: each
-    ``big`` row takes one salt from ``spread``, each ``small`` row is repeated per salt.
+    ``small`` is broadcast only when known to be within ``rows``: by a row bound given as
+    ``measure``, or by counting ``measure``, a cheaper table of at least as many rows.
+    Otherwise the join is shuffled, and a key that fills much of ``big`` is split over
+    ``salts`` tasks: each ``big`` row takes one salt from ``spread``, each ``small`` row
+    is repeated per salt.
     """
-    if within(small, rows):
+    if measure is not None and (measure <= rows if isinstance(measure, int) else within(measure, rows)):
         return big.join(F.broadcast(small), on)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
+def lookup(ranked: DataFrame, table: DataFrame, on: list[str], bound: int) -> DataFrame:
+    """Attach columns of a large table to a list of at most ``bound`` rows.
+
+    A short list is broadcast and the table scanned in place; a long one is shuffled,
+    where adaptive execution splits a row that very many list rows want.
+    """
+    return table.join(F.broadcast(ranked), on) if bound <= BROADCAST_ROWS else ranked.join(table, on)
