@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
-from statuta.functions.keywords import strings
+from statuta.functions.keywords import strings, word_runs
 from statuta.functions.text import all_of, any_of, tokens
 from statuta.operators import retrieval as R
 from statuta.joins import lookup, sized_join
@@ -54,8 +54,7 @@ VIETNAMESE = Boosts()
 def query_features(queries: DataFrame, boosts: Boosts = VIETNAMESE) -> DataFrame:
     """Per query: places and numbers named, topics asked; queries are few, chunks are many."""
     low = F.lower(F.col("query"))
-    # a mention with no digit, letter or underscore beside it, two to four digits long
-    numbers = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])\d{2,4}(?![\p{L}\p{N}_])"), F.lit(0))
+    numbers = F.filter(word_runs(low), lambda w: w.rlike(r"^[0-9]{2,4}$"))
     places = F.filter(strings(list(boosts.places)), lambda p: F.contains(low, p))
     out = queries.withColumn("places", places).withColumn(
         "numbers", F.filter(numbers, lambda x: x.cast("int") >= 10)

@@ -50,6 +50,34 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("vec_id", F.col("chunk_id") % n).join(e, "vec_id").select("chunk_id", "embedding")
 
 
+def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
+    return text_table(spark, d, "conversations", "conv_id").filter(F.col("role") == role).select("conv_id", "turn", "text")
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns as answers of eight kinds: plain, JSON in several wrappings, refusals."""
+    n = F.col("conv_id") + F.col("turn")
+    txt = F.regexp_replace("text", r'["\\{}`\p{C}]', " ")
+    num = (n % 50 + 1).cast("string")
+    cite = lambda sep: F.concat(
+        F.lit('{"van_ban": "vb'), num, F.lit('", "dieu": "'), num, F.lit('", "khoan": 2, "diem": null, "noi_dung": "q"}')
+    )
+    kinds = [
+        txt,
+        F.concat(F.lit('```json\n{"answer": "'), txt, F.lit('", "citations": ['), cite(""), F.lit('], "abstain": false}\n```')),
+        F.concat(F.lit('See {"ket_luan": "'), txt, F.lit('", "trich_dan": '), cite(""), F.lit("} end")),
+        F.concat(F.lit('"tra_loi": "'), txt, F.lit('", "citations": []}')),
+        F.concat(F.lit('{"abstain": true, "reason": "r'), num, F.lit('"}')),
+        F.concat(F.lit('{"refusal": "f'), num, F.lit('"}')),
+        F.concat(F.lit("Intro\n**Kết luận**: "), txt, F.lit("\n\nTrích dẫn\nĐiều "), num, F.lit(" khoản 2")),
+        F.concat(F.lit("Xin lỗi, không tìm thấy "), num),
+    ]
+    raw = F.element_at(F.array(*kinds), (n % 8 + 1).cast("int"))
+    return turns(spark, d, "assistant").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), (n % 8).alias("kind"), txt.alias("txt"), num.alias("num"), raw.alias("raw")
+    )
+
+
 # ---- word lists for the synthetic texts (English, German, French) ------------
 
 LEXICON = Lexicon(
@@ -63,14 +91,14 @@ LEXICON = Lexicon(
     ],
     clarify_patterns=[
         (r"^(?:who|what|the)\??$", "Q-short"),
-        (r"(?<![\p{L}])that(?![\p{L}]) the", "Q-that"),
-        (r"(?<![\p{L}])une(?![\p{L}])", "Q-une"),
+        (r"(?:^|\P{L})that the(?:\P{L}|$)", "Q-that"),
+        (r"(?:^|\P{L})une(?:\P{L}|$)", "Q-une"),
     ],
     clarify_triggers=[("tion", "Q-tion"), ("heit", "Q-heit"), ("ment", "Q-ment")],
     missing_info=[
-        ("location", ["la ", "from"], "M-location", r"(?<![\p{L}])(paris|the on)(?![\p{L}])"),
-        ("time", ["jour", "tion"], "M-time", r"(?<![\p{L}])(and the|une)(?![\p{L}])"),
-        ("subject", ["who", "und"], "M-subject", r"(?<![\p{L}])(ist|sich)(?![\p{L}])"),
+        ("location", ["la ", "from"], "M-location", r"(?:^|\P{L})(paris|the on)(?:\P{L}|$)"),
+        ("time", ["jour", "tion"], "M-time", r"(?:^|\P{L})(and the|une)(?:\P{L}|$)"),
+        ("subject", ["who", "und"], "M-subject", r"(?:^|\P{L})(ist|sich)(?:\P{L}|$)"),
         ("case", ["der"], "M-case", None),
     ],
     location_words=["from the", "paris"],
@@ -128,10 +156,39 @@ def sql_collapsed(column: str) -> str:
     return f"regexp_replace(lower({sql_strip(f'coalesce({column}, {lit(str())})')}), '[\\s\\p{{Z}}]+', ' ', 'g')"
 
 
+def sql_unique(expr: str) -> str:
+    """First occurrences of a list, in order; ``expr`` should be a column."""
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
+def sql_case(cases, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in cases) + f" ELSE {default} END"
+
+
+def sql_keywords(source: str, key: str, text: str, name: str = "kw") -> str:
+    """CTEs giving ``name``(key, words): the keywords of ``text`` with the test lexicon."""
+    lx = LEXICON
+    return f"""{name}_a AS (SELECT {key}, lower({text}) AS low FROM {source}),
+{name}_b AS (SELECT {key}, list_filter({sql_list(lx.compounds)}, lambda c: contains(low, c)) AS found,
+  regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+') AS runs FROM {name}_a),
+{name}_c AS (SELECT {key}, found, flatten(list_transform(found, lambda c: string_split(c, ' '))) AS inside,
+  list_filter(runs, lambda w, i: list_position(runs, w) = i AND len(w) >= 2 AND NOT list_contains({sql_list(lx.stopwords)}, w)) AS single FROM {name}_b),
+{name} AS (SELECT {key}, list_concat(found, list_filter(single, lambda w: NOT list_contains(inside, w) AND NOT list_contains(found, w))) AS words FROM {name}_c)"""
+
+
 CHUNKS = """chunks AS (
   SELECT doc_id AS chunk_id, text, source AS van_ban, 'I' AS chuong, lang AS dieu, CAST(doc_id % 7 AS VARCHAR) AS khoan,
          CASE WHEN doc_id % 3 = 0 THEN 'a' END AS diem, source || '.pdf' AS source_file, doc_id % 11 + 1 AS page_number
   FROM documents)"""
+ANSWERS = """answers AS (SELECT *, CASE kind WHEN 0 THEN txt
+    WHEN 1 THEN '```json' || chr(10) || '{"answer": "' || txt || '", "citations": [{"van_ban": "vb' || num || '", "dieu": "' || num || '", "khoan": 2, "diem": null, "noi_dung": "q"}], "abstain": false}' || chr(10) || '```'
+    WHEN 2 THEN 'See {"ket_luan": "' || txt || '", "trich_dan": {"van_ban": "vb' || num || '", "dieu": "' || num || '", "khoan": 2, "diem": null, "noi_dung": "q"}} end'
+    WHEN 3 THEN '"tra_loi": "' || txt || '", "citations": []}' WHEN 4 THEN '{"abstain": true, "reason": "r' || num || '"}'
+    WHEN 5 THEN '{"refusal": "f' || num || '"}'
+    WHEN 6 THEN 'Intro' || chr(10) || '**Kết luận**: ' || txt || chr(10) || chr(10) || 'Trích dẫn' || chr(10) || 'Điều ' || num || ' khoản 2'
+    ELSE 'Xin lỗi, không tìm thấy ' || num END AS raw
+  FROM (SELECT conv_id * 1000 + turn AS answer_id, (conv_id + turn) % 8 AS kind, CAST((conv_id + turn) % 50 + 1 AS VARCHAR) AS num,
+        regexp_replace(text, '["\\\\{}`\\p{C}]', ' ', 'g') AS txt FROM conversations WHERE role = 'assistant'))"""
 QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)"
