@@ -134,12 +134,13 @@ def flat_text(docs):
     return plain_lines(docs).select("doc_id", F.array_join(F.transform("ls", role), "\n").alias("text"))
 
 
-@query("hierarchy_parse_flat", f"""WITH RECURSIVE {LS},
+@query("hierarchy_parse_flat", f"""WITH {LS},
 e AS (SELECT doc_id, i, b, r, n, l, CASE r WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 WHEN 7 THEN 3 WHEN 8 THEN 2 END AS lev FROM li),
 nodes AS (SELECT *, lead(lev) OVER w AS nxt, row_number() OVER w AS k FROM e WHERE lev IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 tk AS (SELECT *, nxt IS NULL OR nxt = 1 OR (nxt = 2 AND lev >= 2) OR (nxt = 3 AND lev = 3) AS takes FROM nodes),
-txt AS (SELECT e.doc_id, e.i, '+ ' || e.l AS t, (SELECT count(*) FROM nodes m WHERE m.doc_id = e.doc_id AND m.i < e.i) AS k FROM e WHERE lev IS NULL),
-asg AS (SELECT t.doc_id, t.i, t.t, (SELECT min(tk.k) FROM tk WHERE tk.doc_id = t.doc_id AND tk.k >= t.k AND tk.takes) AS k FROM txt t),
+al AS (SELECT e.doc_id, e.i, e.l, e.lev, sum(CASE WHEN e.lev IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.doc_id ORDER BY e.i) AS k0,
+  min(CASE WHEN tk.takes THEN tk.k END) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM e LEFT JOIN tk USING (doc_id, i)),
+asg AS (SELECT al.doc_id, al.i, '+ ' || al.l AS t, CASE WHEN tk.takes THEN tk.k ELSE al.ahead END AS k FROM al LEFT JOIN tk ON tk.doc_id = al.doc_id AND tk.k = al.k0 WHERE al.lev IS NULL),
 w AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY i) AS w FROM asg WHERE k IS NOT NULL GROUP BY ALL)
 SELECT doc_id, CASE lev WHEN 1 THEN 'article' WHEN 2 THEN 'clause' ELSE 'point' END AS level, CAST(b + 1 AS VARCHAR) AS dieu,
   CASE WHEN r IN (3, 5, 7) THEN '1' WHEN r = 8 THEN '2' END AS khoan, CASE r WHEN 5 THEN 'a' WHEN 7 THEN 'đ' END AS diem, CASE WHEN lev = 1 THEN l END AS tieu_de,
