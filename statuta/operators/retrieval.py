@@ -309,3 +309,13 @@ def hard_negatives(
     negative = picked.select("query_id", F.col("chunk_id"), F.col("text").alias("passage"), F.lit(0).alias("label"), "pick")
     positive = positives.select("query_id", F.lit(None).cast("long").alias("chunk_id"), "passage", F.lit(1).alias("label"), F.lit(0).alias("pick"))
     return positive.unionByName(negative)
+
+
+def mining_counts(mined: DataFrame) -> DataFrame:
+    """One row: positives, negatives, and positives for which no negative was found."""
+    per_query = mined.groupBy("query_id").agg(
+        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
+    )
+    return per_query.agg(
+        F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.count_if(F.col("n") == 0).alias("n_without")
+    )
