@@ -7,22 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.operators.ranges import numbered
 from statuta.operators.retrieval import postings
 
 
-def numbered(df: DataFrame, key: str, start: int = 0, name: str = "chunk_id") -> DataFrame:
-    """Consecutive numbers in order of ``key``: ranges are sorted apart and shifted by the rows before them."""
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per range: a window over all of them is small
-    shift = sizes.select(
-        "_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before")
-    )
-    local = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    out = ranged.withColumn("_local", local).join(F.broadcast(shift), "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_local") - 1 + start).drop("_part", "_local", "_before")
-
-
 def corpus_append(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows, then new ones whose ids go on where the old ones end."""
     start = old.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
@@ -51,7 +39,7 @@ def conversation_order(conversations: DataFrame, messages: DataFrame) -> DataFra
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in the order of a seeded hash of the key: the same rows on any cluster."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 # ---- versions ---------------------------------------------------------------

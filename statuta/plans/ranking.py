@@ -89,7 +89,7 @@ def must_include(spark, d):
 
 @query("candidate_union_except", f"""WITH {I.RRF_RUN}, t AS (SELECT * FROM bm25 WHERE rank <= 10), x AS (SELECT query_id, chunk_id, score FROM run UNION ALL SELECT query_id, chunk_id, 0.5::DOUBLE FROM dense d
   WHERE rank <= 30 AND chunk_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM run r WHERE r.query_id = d.query_id AND r.chunk_id = d.chunk_id))
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM x""".replace("score, row_number", "round(score, 6) AS score, row_number"))
+SELECT query_id, chunk_id, round(x.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x.score, 9) DESC, chunk_id) AS rank FROM x""")
 def candidate_union_except(spark, d):
     dense = R.dense_topk(I.chunk_vectors(spark, d), I.query_vectors(spark, d), 30).filter("chunk_id % 3 = 0")
     out = B.candidate_union(I.rrf_run(spark, d), dense.withColumn("score", F.lit(0.5)))
@@ -265,7 +265,7 @@ def conversation_order(spark, d):
     return ST.conversation_order(convs, messages)
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 ORDER BY md5('42:' || doc_id), doc_id LIMIT 200")
 def seeded_sample(spark, d):
     positives = table(spark, d, "labels").filter("quality = 1")
     return ST.seeded_sample(positives, "doc_id", 200, 42)
