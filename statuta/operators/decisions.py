@@ -68,9 +68,9 @@ def tier(top: Column, margin: Column, p: Column) -> Column:
 
 
 def tier_reason(tier_: Column, decision: Column, top: Column, margin: Column, p: Column) -> Column:
-    s, m, low = (F.round(c, 4).cast("string") for c in (top, margin, p["tier_local_min_margin"]))
+    s, m, low, least = (F.format_string("%.4f", c) for c in (top, margin, p["tier_local_min_margin"], p["tier_local_min_score"]))
     return (
-        F.when(tier_ == "local", F.concat(F.lit("Score "), s, F.lit(" >= "), p["tier_local_min_score"].cast("string"), F.lit(", Margin "), m, F.lit(" >= "), low))
+        F.when(tier_ == "local", F.concat(F.lit("Score "), s, F.lit(" >= "), least, F.lit(", Margin "), m, F.lit(" >= "), low))
         .when((tier_ == "api") & (decision == "cautious"), F.lit("CAUTIOUS → route to API for better generation"))
         .when(tier_ == "api", F.concat(F.lit("Score "), s, F.lit(" or Margin "), m, F.lit(" low → API")))
         .otherwise(F.lit("Score thấp / Abstain → không gọi LLM"))
