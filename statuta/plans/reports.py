@@ -15,7 +15,10 @@ from statuta.sources.tables import table
 
 
 def log(spark, d):
-    e = table(spark, d, "events")
+    return log_of(table(spark, d, "events"))
+
+
+def log_of(e):
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("query_id"), "ts",
