@@ -73,23 +73,28 @@ def extracted(text: Column) -> Column:
     clause and point are the first ones from 60 characters before to 100 after it.
     A text that names no article yields its distinct clauses.
     """
-    mentions = F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(0))
-    numbers = F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(1))
-    gaps = F.split(text, V.ARTICLE_CITE, -1)
+    found = F.struct(
+        text.alias("text"),
+        F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(0)).alias("mentions"),
+        F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(1)).alias("numbers"),
+    )
+    # one-element transform: what was found is named, so each pattern runs once
+    return F.transform(F.array(found), lambda f: F.when(F.size(f["mentions"]) > 0, _near_articles(f)).otherwise(_bare_clauses(f)))[0]
+
+
+def _near_articles(f: Column) -> Column:
+    text = f["text"]
     sizes = F.zip_with(
-        F.slice(gaps, 1, F.size(mentions)), mentions, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))
+        F.split(text, V.ARTICLE_CITE, -1), f["mentions"], lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))
     )
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    step = lambda acc, s: F.concat(
-        acc,
-        F.array(
-            F.struct(
-                (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) + s["g"]).alias("start"),
-                (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) + s["g"] + s["m"]).alias("stop"),
-            )
-        ),
-    )
-    spans = F.aggregate(sizes, none, step)
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) + s["g"]
+        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + s["m"]).alias("stop"))))
+
+    # the piece after the last mention has none beside it
+    spans = F.aggregate(F.filter(sizes, lambda s: s["m"].isNotNull()), none, step)
 
     def one(number: Column, span: Column) -> Column:
         begin = F.greatest(F.lit(0), span["start"] - 60)
@@ -100,13 +105,13 @@ def extracted(text: Column) -> Column:
             _nullable(F.regexp_extract(near, V.POINT_CITE, 1)).alias("diem"),
         )
 
-    triples = F.array_distinct(F.zip_with(numbers, spans, one))
+    return F.array_distinct(F.zip_with(f["numbers"], spans, one)).cast(TRIPLES)
+
+
+def _bare_clauses(f: Column) -> Column:
     null = F.lit(None).cast("string")
-    clauses = F.transform(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(V.CLAUSE_CITE), F.lit(1))),
-        lambda k: F.struct(null.alias("dieu"), k.alias("khoan"), null.alias("diem")),
-    )
-    return F.when(F.size(mentions) > 0, triples.cast(TRIPLES)).otherwise(clauses.cast(TRIPLES))
+    clauses = F.array_distinct(F.regexp_extract_all(f["text"], F.lit(V.CLAUSE_CITE), F.lit(1)))
+    return F.transform(clauses, lambda k: F.struct(null.alias("dieu"), k.alias("khoan"), null.alias("diem"))).cast(TRIPLES)
 
 
 def abstained(text: Column) -> Column:

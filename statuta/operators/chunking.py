@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.text import strip, words
+from statuta.unfold import unfold
 
 POINT = "struct<diem_ky_hieu:string,noi_dung:string,page_number:int>"
 CLAUSE = f"struct<khoan_so:string,noi_dung:string,page_number:int,diem:array<{POINT}>>"
@@ -18,13 +19,22 @@ NESTED = (
 )
 
 
-def _leaves(docs: DataFrame) -> DataFrame:
-    """One row per article without clauses, clause without points, or point; ``at`` orders them."""
-    out = docs.select("*", F.posexplode("chuong").alias("c_pos", "c"))
-    out = out.select("*", F.posexplode("c.dieu").alias("d_pos", "dd"))
-    out = out.select("*", F.posexplode_outer("dd.khoan").alias("k_pos", "k"))
-    out = out.select("*", F.posexplode_outer("k.diem").alias("p_pos", "p"))
-    return out.withColumn("at", F.struct("c_pos", "d_pos", "k_pos", "p_pos"))
+def _leaves(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per article without clauses, clause without points, or point; ``at`` orders them.
+
+    Each level hands down its own fields and the level below, never what is already unfolded.
+    """
+    c, a, k = F.col("_c"), F.col("_a"), F.col("_k")
+    chapter = [c["chuong_so"].alias("c_so"), c["chuong_ten"].alias("c_ten")]
+    out = unfold(docs, keep, "chuong", "_c", "c_pos")
+    out = out.select(*keep, "c_pos", *chapter, F.posexplode(c["dieu"]).alias("d_pos", "_a"))
+    keep = [*keep, "c_pos", "d_pos", "c_so", "c_ten"]
+    article = [a["dieu_so"].alias("a_so"), a["noi_dung"].alias("a_text"), a["page_number"].alias("a_page")]
+    out = out.select(*keep, *article, F.posexplode_outer(a["khoan"]).alias("k_pos", "_k"))
+    keep = [*keep, "k_pos", "a_so", "a_text", "a_page"]
+    clause = [k["khoan_so"].alias("k_so"), k["noi_dung"].alias("k_text"), k["page_number"].alias("k_page"), k.isNull().alias("no_clause")]
+    out = out.select(*keep, *clause, F.posexplode_outer(k["diem"]).alias("p_pos", "p"))
+    return out.withColumn("no_point", F.col("p").isNull()).withColumn("at", F.struct("c_pos", "d_pos", "k_pos", "p_pos"))
 
 
 def _some(c: Column) -> Column:
@@ -33,26 +43,22 @@ def _some(c: Column) -> Column:
 
 def chunk_leaf(docs: DataFrame) -> DataFrame:
     """(doc_id, at, text, van_ban, chuong, dieu, khoan, diem, source_file, page_number)."""
-    title = F.col("ten_van_ban")
-    article, clause, point = F.col("dd"), F.col("k"), F.col("p")
-    lead = F.when(_some(clause["noi_dung"]) != "", F.concat(F.lit(" ("), clause["noi_dung"], F.lit(")"))).otherwise(F.lit(""))
+    title, article, clause, point = F.col("ten_van_ban"), F.col("a_so"), F.col("k_so"), F.col("p")
+    lead = F.when(_some(F.col("k_text")) != "", F.concat(F.lit(" ("), F.col("k_text"), F.lit(")"))).otherwise(F.lit(""))
     text = (
-        F.when(clause.isNull(), F.concat(F.lit("Theo Điều "), article["dieu_so"], F.lit(" "), title, F.lit(" "), _some(article["noi_dung"])))
-        .when(
-            point.isNull(),
-            F.concat(F.lit("Khoản "), clause["khoan_so"], F.lit(" Điều "), article["dieu_so"], F.lit(" "), title, F.lit(" "), _some(clause["noi_dung"])),
-        )
+        F.when(F.col("no_clause"), F.concat(F.lit("Theo Điều "), article, F.lit(" "), title, F.lit(" "), _some(F.col("a_text"))))
+        .when(F.col("no_point"), F.concat(F.lit("Khoản "), clause, F.lit(" Điều "), article, F.lit(" "), title, F.lit(" "), _some(F.col("k_text"))))
         .otherwise(
             F.concat(
-                F.lit("Tại điểm "), point["diem_ky_hieu"], F.lit(" Khoản "), clause["khoan_so"], F.lit(" Điều "), article["dieu_so"],
+                F.lit("Tại điểm "), point["diem_ky_hieu"], F.lit(" Khoản "), clause, F.lit(" Điều "), article,
                 F.lit(" "), title, lead, F.lit(" "), _some(point["noi_dung"]),
             )
         )
     )
-    page = F.coalesce(point["page_number"], clause["page_number"], article["page_number"])
-    return _leaves(docs).select(
-        "doc_id", "at", text.alias("text"), title.alias("van_ban"), F.col("c.chuong_so").alias("chuong"), article["dieu_so"].alias("dieu"),
-        clause["khoan_so"].alias("khoan"), point["diem_ky_hieu"].alias("diem"), "source_file", page.alias("page_number"),
+    page = F.coalesce(point["page_number"], "k_page", "a_page")
+    return _leaves(docs, ["doc_id", "ten_van_ban", "source_file"]).select(
+        "doc_id", "at", text.alias("text"), title.alias("van_ban"), F.col("c_so").alias("chuong"), article.alias("dieu"),
+        clause.alias("khoan"), point["diem_ky_hieu"].alias("diem"), "source_file", page.alias("page_number"),
     )
 
 
@@ -77,29 +83,24 @@ def chunk_typed(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("Căn cứ "), (F.col("i") + 1).cast("string"), F.lit(" của "), F.col("title"), F.lit(": "), F.col("cc")).alias("text"),
         "title", *empty,
     )
-    article, clause, point = F.col("dd"), F.col("k"), F.col("p")
-    so = F.col("c.chuong_so")
+    so, article, clause, point = F.col("c_so"), F.col("a_so"), F.col("k_so"), F.col("p")
+    alone, plain = F.col("no_clause"), F.col("no_point")
     of = F.concat(F.lit(" của "), F.col("title"), F.lit(": "))
-    plain = F.concat(F.lit("Chương "), so, F.lit(". "))
-    prefix = F.when(_some(so) == "", F.lit("")).when(
-        clause.isNull(), F.concat(F.lit("Chương "), so, F.lit(" ("), _some(F.col("c.chuong_ten")), F.lit("). "))
-    ).otherwise(plain)
+    prefix = (
+        F.when(_some(so) == "", F.lit(""))
+        .when(alone, F.concat(F.lit("Chương "), so, F.lit(" ("), _some(F.col("c_ten")), F.lit("). ")))
+        .otherwise(F.concat(F.lit("Chương "), so, F.lit(". ")))
+    )
     body = (
-        F.when(clause.isNull(), F.concat(F.lit("Theo Điều "), article["dieu_so"], of, _some(article["noi_dung"])))
-        .when(point.isNull(), F.concat(F.lit("Khoản "), clause["khoan_so"], F.lit(", Điều "), article["dieu_so"], of, _some(clause["noi_dung"])))
-        .otherwise(
-            F.concat(
-                F.lit("Tại điểm "), point["diem_ky_hieu"], F.lit(", Khoản "), clause["khoan_so"], F.lit(", Điều "), article["dieu_so"], of,
-                _some(point["noi_dung"]),
-            )
-        )
+        F.when(alone, F.concat(F.lit("Theo Điều "), article, of, _some(F.col("a_text"))))
+        .when(plain, F.concat(F.lit("Khoản "), clause, F.lit(", Điều "), article, of, _some(F.col("k_text"))))
+        .otherwise(F.concat(F.lit("Tại điểm "), point["diem_ky_hieu"], F.lit(", Khoản "), clause, F.lit(", Điều "), article, of, _some(point["noi_dung"])))
     )
-    kind = F.when(clause.isNull(), F.lit("dieu")).when(point.isNull(), F.lit("khoan")).otherwise(F.lit("diem"))
-    page = F.when(clause.isNull(), article["page_number"]).when(point.isNull(), clause["page_number"]).otherwise(point["page_number"])
-    leaves = _leaves(named).select(
+    kind = F.when(alone, F.lit("dieu")).when(plain, F.lit("khoan")).otherwise(F.lit("diem"))
+    page = F.when(alone, F.col("a_page")).when(plain, F.col("k_page")).otherwise(point["page_number"])
+    leaves = _leaves(named, ["doc_id", "title"]).select(
         "doc_id", F.lit(2).alias("part"), "at", kind.alias("type"), strip(F.concat(prefix, body)).alias("text"), "title",
-        so.alias("chuong"), article["dieu_so"].alias("dieu"), clause["khoan_so"].alias("khoan"), point["diem_ky_hieu"].alias("diem"),
-        page.alias("page_number"),
+        so.alias("chuong"), article.alias("dieu"), clause.alias("khoan"), point["diem_ky_hieu"].alias("diem"), page.alias("page_number"),
     )
     rows = head.select(*columns).unionByName(basis.select(*columns)).unionByName(leaves.select(*columns))
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "at"))
@@ -128,9 +129,8 @@ def token_windows(texts: DataFrame, size: int = 254, overlap: int = 32) -> DataF
     stride = size - overlap
     n = F.size("toks")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(stride)))
-    cut = texts.select("doc_id", words(F.col("text")).alias("toks")).select(
-        "doc_id", "toks", F.posexplode(starts).alias("window", "start")
-    )
+    split = texts.select("doc_id", words(F.col("text")).alias("toks"))
+    cut = unfold(split, ["doc_id", "toks"], starts, "start", "window")
     piece = F.slice("toks", F.col("start") + 1, F.lit(size))
     return cut.select(
         "doc_id", F.concat_ws("_", F.col("doc_id"), F.col("window")).alias("window_id"),

@@ -9,6 +9,7 @@ from statuta.functions.citations import blank, matches
 from statuta.functions.keywords import word_runs
 from statuta.functions.text import bare_key
 from statuta.joins import lookup, sized_join
+from statuta.unfold import unfold
 
 
 def cascade_enrich(corpus: DataFrame, known: DataFrame, heuristics: list[tuple[Column, str]]) -> DataFrame:
@@ -145,7 +146,7 @@ def phrase_scan(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
     anchored = phrases.withColumn("anchor", F.when(F.size(inner) > 0, longest["w"]))
     low = chunks.select("chunk_id", F.lower("text").alias("low"))
-    words = low.select("chunk_id", F.explode(F.array_distinct(word_runs(F.col("low")))).alias("anchor"))
+    words = unfold(low, ["chunk_id"], F.array_distinct(word_runs(F.col("low"))), "anchor")
     pairs = sized_join(words, anchored.filter("anchor is not null").select("phrase_id", "anchor"), ["anchor"], ["chunk_id"], measure=phrases)
     texts = low.join(pairs.select("phrase_id", "chunk_id"), "chunk_id")
     verified = texts.join(phrases, "phrase_id").filter(F.contains("low", F.col("phrase"))).select("phrase_id", "chunk_id")

@@ -19,6 +19,7 @@ from statuta.functions import fixed_values as V
 from statuta.functions.text import tokens
 from statuta.joins import sized_join, within
 from statuta.session import stored
+from statuta.unfold import unfold
 
 K1, B = 1.5, 0.75
 QUERY_MATRIX_ROWS = 4096
@@ -39,7 +40,7 @@ def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
     """(chunk_id, dl, term, tf): term frequencies, counted before they are shuffled."""
     split = chunks.select("chunk_id", tokens(F.col("text"), pattern).alias("toks"))
     return (
-        split.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+        unfold(split, ["chunk_id", F.size("toks").cast("long").alias("dl")], "toks", "term")
         .groupBy("chunk_id", "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -47,7 +48,7 @@ def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
 
 def query_terms(queries: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
     return (
-        queries.select("query_id", F.explode(tokens(F.col("query"), pattern)).alias("term"))
+        unfold(queries, ["query_id"], tokens(F.col("query"), pattern), "term")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -72,7 +73,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
     split = chunks.select("chunk_id", tokens(F.col("text")).alias("toks"))
-    exploded = split.select("chunk_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    exploded = unfold(split, ["chunk_id", F.size("toks").cast("long").alias("dl")], "toks", "term")
     hits = (
         sized_join(exploded, wanted, ["term"], ["chunk_id"], measure=terms)
         .groupBy("chunk_id", "dl", "term")
@@ -128,7 +129,7 @@ def tfidf_scores(
     of them, the products only the terms that queries have.
     """
     counted = stored(
-        chunks.select("chunk_id", F.explode(ngrams(F.col("text"))).alias("term"))
+        unfold(chunks, ["chunk_id"], ngrams(F.col("text")), "term")
         .groupBy("chunk_id", "term")
         .agg(F.count("*").alias("tf")),
         "ngrams",
@@ -149,7 +150,7 @@ def tfidf_scores(
         .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     )
     q_counted = (
-        queries.select("query_id", F.explode(ngrams(F.col("query"))).alias("term"))
+        unfold(queries, ["query_id"], ngrams(F.col("query")), "term")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
 from statuta.functions.text import any_of, strip, words
+from statuta.unfold import unfold
 
 
 class _Order:
@@ -48,7 +49,7 @@ INLINE_POINT = r"^((?:[:;.]\s*)|(?:.{0,15}\s+)|(?:.*?[:;.]\s*))([a-zA-ZđĐ])\)\
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, pos, line): stripped, none empty."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x85  ]")).alias("pos", "line"))
+    split = unfold(docs, ["doc_id"], F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x85  ]"), "line", "pos")
     return split.withColumn("line", strip(F.col("line"))).filter(F.col("line") != "")
 
 
@@ -66,12 +67,7 @@ def is_appendix(line: Column) -> Column:
 
 def is_reference(line: Column) -> Column:
     """A chapter line that only cites a chapter of some text."""
-    tail = F.lower(F.trim(F.regexp_replace(line, V.CHAPTER_LINE, "")))
-    starts = [tail.startswith(w) for w in V.CHAPTER_REFERENCE_WORDS]
-    out = starts[0]
-    for s in starts[1:]:
-        out = out | s
-    return out
+    return line.rlike(V.CHAPTER_LINE.replace("+)", "++)") + r"\s*(?:" + "|".join(V.CHAPTER_REFERENCE_WORDS) + ")")
 
 
 def is_upper(line: Column) -> Column:
@@ -146,7 +142,7 @@ def appendices(lines: DataFrame) -> DataFrame:
 
 def inline_point(text: Column) -> Column:
     """struct(prefix, letter, rest) of a marker inside the text; letter is null without one."""
-    hit = text.rlike(INLINE_POINT)
+    hit = F.contains(text, F.lit(")")) & text.rlike(INLINE_POINT)
     part = lambda n: F.when(hit, group(text, INLINE_POINT, n))
     return F.struct(part(1).alias("prefix"), part(2).alias("letter"), F.trim(part(3)).alias("rest"))
 

@@ -14,6 +14,7 @@ from statuta.plans import inputs as I
 from statuta.plans.inputs import lit, sql_any, sql_case, sql_list, sql_strip, sql_words
 from statuta.plans.registry import query
 from statuta.sources.tables import table, text_table
+from statuta.unfold import unfold
 
 USERS = "users AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations WHERE role = 'user')"
 
@@ -169,7 +170,7 @@ def cited_texts(spark, d):
     """One text per order line with up to three article mentions at varying distances."""
     s = lambda c: F.col(c).cast("string")
     gap = lambda n: F.repeat(F.lit("xin chào "), n)
-    li = table(spark, d, "lineitem")
+    li = text_table(spark, d, "lineitem", "l_orderkey")
     one = F.concat(F.lit("Theo khoản "), s("l_linenumber"), F.lit(" điểm "), F.lower("l_returnflag"), F.lit(" "), gap(F.col("l_linenumber")), F.lit("Điều "), s("l_suppkey"))
     two = F.concat(gap((F.col("l_partkey") % 17).cast("int")), F.lit(" và điều số "), (F.col("l_partkey") % 90).cast("string"), F.lit("a "), gap((F.col("l_suppkey") % 13).cast("int")), F.lit("Khoản số 4, Điểm đ"))
     none = F.concat(F.lit("Khoản 3 rồi khoản "), s("l_linenumber"), F.lit(" và khoản 3"))
@@ -193,7 +194,8 @@ t AS (SELECT DISTINCT id, ns[i] AS dieu, nullif(regexp_extract(near, {lit(V.CLAU
   UNION ALL SELECT DISTINCT id, NULL, unnest(regexp_extract_all(text, {lit(V.CLAUSE_CITE)}, 1)), NULL FROM m WHERE len(ms) = 0)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, dieu, khoan, diem FROM t JOIN cited USING (id)""")
 def citation_extract(spark, d):
-    return cited_texts(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.explode(C.extracted(F.col("text"))).alias("c")).select(
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return unfold(cited_texts(spark, d), keys, C.extracted(F.col("text")), "c").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "c.dieu", "c.khoan", "c.diem"
     )
 

@@ -11,6 +11,7 @@ from statuta.plans import inputs as I
 from statuta.plans.inputs import lit, sql_list, sql_strip
 from statuta.plans.registry import query
 from statuta.sources.tables import table
+from statuta.unfold import unfold
 
 # ---- inputs: every document's own lines, set as a legal text of known structure ----
 
@@ -292,7 +293,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY idx) AS n
 SELECT doc_id, CAST(idx AS BIGINT) AS chunk_index, text, len(text) < 10 AS short, 'doc_' || substr(sha, 1, 16) AS doc_key, sha AS file_sha256, source || '.pdf' AS file_name, lang AS loai_van_ban FROM r WHERE n = 1""")
 def chunk_enrich_dedup(spark, d):
     docs = I.documents(spark, d)
-    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    chunks = unfold(docs, ["doc_id"], F.split("text", "\n"), "text", "idx")
     sha = F.sha2("text", 256)
     fields = docs.select(
         "doc_id", F.concat(F.lit("doc_"), F.substring(sha, 1, 16)).alias("doc_key"), sha.alias("file_sha256"),

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from statuta.functions import fixed_values as V
 from statuta.functions.text import strip
 from statuta.operators.reports import log_summary
+from statuta.unfold import unfold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -167,7 +168,7 @@ def ingest_stream(documents: DataFrame, path: str, checkpoint: str) -> None:
         target = f"{path}/new/batch={number}"
         first.write.mode("overwrite").parquet(target)
         new = spark.read.schema(first.schema).parquet(target)
-        lines = new.select("sha256", "doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+        lines = unfold(new, ["sha256", "doc_id"], F.split("text", "\n"), "text", "chunk_index")
         lines.filter(strip(F.col("text")) != "").write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         # the registry comes last: what it names is complete
         new.select("doc_id", "sha256").write.mode("overwrite").parquet(f"{path}/registry/batch={number}")
