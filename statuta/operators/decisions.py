@@ -33,7 +33,9 @@ def query_features(queries: DataFrame, ranked: DataFrame, lexicon: Lexicon = VIE
         F.coalesce(F.array_join(F.col("c.text"), " "), F.lit("")).alias("all_text"),
         K.keywords(F.col("query"), lexicon).alias("kw"),
     )
-    out = out.withColumn("n_chunks", F.greatest("n_chunks", F.lit(0)).cast("long")).withColumn("margin", F.col("top1") - F.col("top2"))
+    # scores are sums whose last digits depend on their order; equal ones shall have no margin
+    margin = F.round(F.col("top1") - F.col("top2"), 9)
+    out = out.withColumn("n_chunks", F.greatest("n_chunks", F.lit(0)).cast("long")).withColumn("margin", margin)
     return out.withColumns(
         {
             "overlap": K.overlap(F.col("kw"), F.col("context")),

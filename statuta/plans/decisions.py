@@ -37,7 +37,7 @@ scored AS (SELECT r.query_id, r.chunk_id, r.rank, r.score, t.text, t.source AS v
 agg AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN score_rerank END) AS top1, coalesce(max(CASE WHEN rank = 2 THEN score_rerank END), 0) AS top2, max(CASE WHEN rank = 1 THEN text END) AS top_text, max(CASE WHEN rank = 1 THEN van_ban END) AS top_title,
   string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 5) AS context, string_agg(text, ' ' ORDER BY rank) AS all_text FROM scored GROUP BY query_id),
 {I.sql_keywords('benchmark', 'item_id', 'text')},
-f0 AS (SELECT item_id AS query_id, b.text AS query, lower(b.text) AS low, words, coalesce(n, 0) AS n_chunks, coalesce(top1, 0) AS top1, coalesce(top2, 0) AS top2, coalesce(top1, 0) - coalesce(top2, 0) AS margin, top_text, top_title,
+f0 AS (SELECT item_id AS query_id, b.text AS query, lower(b.text) AS low, words, coalesce(n, 0) AS n_chunks, coalesce(top1, 0) AS top1, coalesce(top2, 0) AS top2, {I.sql_round('(coalesce(top1, 0) - coalesce(top2, 0))', 9)} AS margin, top_text, top_title,
   coalesce(context, '') AS context, lower(coalesce(context, '')) AS clow, lower(coalesce(all_text, '')) AS alow FROM benchmark b JOIN kw USING (item_id) LEFT JOIN agg ON agg.query_id = item_id),
 f1 AS (SELECT *, CASE WHEN len(words) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(words, lambda w: contains(clow, w))) / len(words)::DOUBLE END AS overlap, list_filter(words, lambda w: contains(alow, w)) AS found, list_filter(words, lambda w: NOT contains(alow, w)) AS missing,
   list_filter(list_distinct(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+')), lambda w: len(w) > 1 AND NOT list_contains({_FSTOP}, w)) AS fw FROM f0),

@@ -244,7 +244,7 @@ def file_registry(spark, d):
     return SL.file_registry(files.withColumn("length", F.octet_length("content").cast("long")), 3000)
 
 
-@query("vector_store_write_read", "SELECT vec_id AS chunk_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, CAST(len(embedding) AS BIGINT) AS dim, true AS valid FROM embeddings")
+@query("vector_store_write_read", "SELECT vec_id AS chunk_id, " + I.sql_round('list_sum(list_transform(embedding, lambda x: x::DOUBLE))') + " AS total, CAST(len(embedding) AS BIGINT) AS dim, true AS valid FROM embeddings")
 def vector_store_write_read(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     chunks = vectors.select("chunk_id")

@@ -139,6 +139,11 @@ def sql_all(column: str, phrases) -> str:
     return "(" + " AND ".join(f"contains({column}, {lit(p)})" for p in phrases) + ")"
 
 
+def sql_round(x: str, places: int = 6) -> str:
+    """Rounded, where what rounds to nothing is a plain zero, without a sign."""
+    return f"CASE WHEN abs({x}) < {0.5 * 10 ** -places:.1e} THEN 0.0::DOUBLE ELSE round({x}, {places}) END"
+
+
 def sql_words(column: str) -> str:
     return f"list_filter(string_split_regex({column}, '[\\s\\p{{Z}}]+'), lambda w: w <> '')"
 

@@ -144,7 +144,7 @@ def score_percentile_rank(spark, d):
 
 
 @query("top12_margin", f"""WITH {I.RRF_RUN}, x AS (SELECT * FROM run WHERE query_id % 5 > 0 OR rank = 1), t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS top1, coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS top2 FROM x GROUP BY query_id)
-SELECT query_id, round(top1, 6) AS top1, round(top2, 6) AS top2, round(top1 - top2, 6) AS margin FROM t""")
+SELECT query_id, round(top1, 6) AS top1, round(top2, 6) AS top2, {I.sql_round('(top1 - top2)')} AS margin FROM t""")
 def top12_margin(spark, d):
     run = I.rrf_run(spark, d).filter("query_id % 5 > 0 or rank = 1")
     return P.top_margin(run).select("query_id", *[F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")])

@@ -139,7 +139,7 @@ def sql_sigmoid(x):
 
 
 @query("score_transforms", f"""WITH {I.BM25_RUN}, x AS (SELECT query_id, chunk_id, rank, score, score - coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY rank), 0) AS m FROM run)
-SELECT query_id, chunk_id, round({sql_sigmoid('score')}, 6) AS sig, round(m / greatest(abs(score), 1.0), 6) AS norm_margin,
+SELECT query_id, chunk_id, round({sql_sigmoid('score')}, 6) AS sig, {I.sql_round('(m / greatest(abs(score), 1.0))')} AS norm_margin,
   round({sql_sigmoid('m / greatest(abs(score), 1.0) * 50 - 1.5')}, 6) AS confidence_raw, round({sql_sigmoid('m * 100 - 1.5')}, 6) AS confidence_sigmoid,
   round({sql_sigmoid('score / 5')}, 6) AS similarity_raw, round(score, 6) AS similarity_sigmoid FROM x""")
 def score_transforms(spark, d):
@@ -223,9 +223,9 @@ def title_from_message(spark, d):
     return A.chat_title(table(spark, d, "conversations").withColumn("title", title))
 
 
-@query("l2_normalise", """WITH x AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE * 3) END AS v FROM embeddings),
+@query("l2_normalise", f"""WITH x AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE * 3) END AS v FROM embeddings),
 y AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM x)
-SELECT vec_id, i - 1 AS pos, round(CASE WHEN n > 0 THEN v[i] / n ELSE v[i] END, 6) AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM y)""")
+SELECT vec_id, i - 1 AS pos, {I.sql_round('(CASE WHEN n > 0 THEN v[i] / n ELSE v[i] END)')} AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM y)""")
 def l2_normalise(spark, d):
     scale = F.when(F.col("vec_id") % 50 == 0, F.lit(0.0)).otherwise(F.lit(3.0))
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * scale).alias("v"))
@@ -234,9 +234,9 @@ def l2_normalise(spark, d):
     )
 
 
-@query("mean_pool", """WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+@query("mean_pool", f"""WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
 c AS (SELECT label, count(*) AS k FROM embeddings GROUP BY label), a AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM a GROUP BY label)
-SELECT label, pos, round(CASE WHEN k > 1 AND n > 0 THEN x / n ELSE x END, 6) AS value FROM a JOIN n USING (label) JOIN c USING (label)""")
+SELECT label, pos, {I.sql_round('(CASE WHEN k > 1 AND n > 0 THEN x / n ELSE x END)')} AS value FROM a JOIN n USING (label) JOIN c USING (label)""")
 def mean_pool(spark, d):
     from statuta.operators.vectors import mean_pool as pool
 
