@@ -62,7 +62,11 @@ def progress_outcome(spark, d):
     return spark.read.schema(L.OUTCOME).parquet(out).select("doc_id", "status", "num_chunks")
 
 
-@query("rate_limit_admission")
+@query("rate_limit_admission", """WITH RECURSIVE r AS (SELECT user_id AS client, event_id AS request_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
+s AS (SELECT client, 0::BIGINT AS n, NULL::BIGINT AS request_id, NULL::INTEGER AS status, []::BIGINT[] AS recent FROM (SELECT DISTINCT client FROM r)
+  UNION ALL SELECT client, n, request_id, CASE WHEN len(kept) < 3 THEN 200 ELSE 429 END::INTEGER, CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END FROM (
+    SELECT r.client, r.n, r.request_id, r.us, list_filter(s.recent, lambda t: r.us - t < 86400000000) AS kept FROM s JOIN r ON r.client = s.client AND r.n = s.n + 1))
+SELECT client, request_id, status FROM s WHERE n > 0""")
 def rate_limit_admission(spark, d):
     out, checkpoint = folders(spark, "requests")
     requests = stream(spark, d, "events").select(
@@ -70,7 +74,7 @@ def rate_limit_admission(spark, d):
         F.when(F.col("event_type") == "view", F.lit("/health")).otherwise("/api/chat").alias("path"), F.col("ts").cast("timestamp").alias("ts"),
     )
     L.run_available(L.rate_limit(requests, 3, 86400), out, checkpoint)
-    return spark.read.schema(L._ADMITTED).parquet(out)
+    return spark.read.schema(L._ADMITTED).parquet(out).drop("ts")
 
 
 @query("incremental_ingest_stream", f"""WITH x AS (SELECT sha256(text) AS sha256, any_value(text) AS text FROM documents GROUP BY 1), l AS (SELECT sha256, unnest(string_split(text, chr(10))) AS t FROM x)
