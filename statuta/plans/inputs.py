@@ -175,7 +175,7 @@ def sql_keywords(source: str, key: str, text: str, name: str = "kw") -> str:
     lx = LEXICON
     return f"""{name}_a AS (SELECT {key}, lower({text}) AS low FROM {source}),
 {name}_b AS (SELECT {key}, list_filter({sql_list(lx.compounds)}, lambda c: contains(low, c)) AS found,
-  regexp_extract_all(low, '[\\p{{L}}\p{{N}}_]+') AS runs FROM {name}_a),
+  regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+') AS runs FROM {name}_a),
 {name}_c AS (SELECT {key}, found, flatten(list_transform(found, lambda c: string_split(c, ' '))) AS inside,
   list_filter(runs, lambda w, i: list_position(runs, w) = i AND len(w) >= 2 AND NOT list_contains({sql_list(lx.stopwords)}, w)) AS single FROM {name}_b),
 {name} AS (SELECT {key}, list_concat(found, list_filter(single, lambda w: NOT list_contains(inside, w) AND NOT list_contains(found, w))) AS words FROM {name}_c)"""
