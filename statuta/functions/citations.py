@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
-from statuta.functions.text import any_of, strip
+from statuta.functions.text import any_of, naming, strip
 
 TRIPLES = "array<struct<dieu:string,khoan:string,diem:string>>"
 
@@ -78,8 +78,7 @@ def extracted(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(0)).alias("mentions"),
         F.regexp_extract_all(text, F.lit(V.ARTICLE_CITE), F.lit(1)).alias("numbers"),
     )
-    # one-element transform: what was found is named, so each pattern runs once
-    return F.transform(F.array(found), lambda f: F.when(F.size(f["mentions"]) > 0, _near_articles(f)).otherwise(_bare_clauses(f)))[0]
+    return naming(found, lambda f: F.when(F.size(f["mentions"]) > 0, _near_articles(f)).otherwise(_bare_clauses(f)))
 
 
 def _near_articles(f: Column) -> Column:

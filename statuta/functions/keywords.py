@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
-from statuta.functions.text import any_of, words
+from statuta.functions.text import any_of, naming, words
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def word_runs(low: Column) -> Column:
 def keywords(text: Column, lexicon: Lexicon = VIETNAMESE, min_length: int = 2) -> Column:
     """Compounds present, then single words that are no stopword and in no found compound."""
     low = F.lower(text)
-    found = F.filter(strings(lexicon.compounds), lambda c: F.contains(low, c))
+    found = naming(low, lambda t: F.filter(strings(lexicon.compounds), lambda c: F.contains(t, c)))
     inside = F.flatten(F.transform(found, lambda c: F.split(c, " ")))
     single = F.filter(F.array_distinct(word_runs(low)), lambda w: F.length(w) >= min_length)
     single = F.array_except(single, strings(lexicon.stopwords))
@@ -54,22 +54,22 @@ def overlap(query_words: Column, context: Column) -> Column:
     A keyword of the context is always a substring of its lower-case text, so the
     substring test alone decides.
     """
-    low = F.lower(context)
     n = F.size(query_words)
-    hits = F.size(F.filter(query_words, lambda w: F.contains(low, w)))
+    hits = F.size(naming(F.lower(context), lambda low: F.filter(query_words, lambda w: F.contains(low, w))))
     return F.when(n == 0, F.lit(1.0)).otherwise(hits / n)
 
 
 def coverage(query_words: Column, texts: Column) -> Column:
     """struct(coverage to four places, found, missing) of keywords in the joined texts."""
-    low = F.lower(texts)
     n = F.size(query_words)
-    found = F.filter(query_words, lambda w: F.contains(low, w))
-    missing = F.filter(query_words, lambda w: ~F.contains(low, w))
-    return F.struct(
-        F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.size(found) / n, 4)).alias("coverage"),
-        found.alias("found"),
-        missing.alias("missing"),
+    found = naming(F.lower(texts), lambda low: F.filter(query_words, lambda w: F.contains(low, w)))
+    return naming(
+        found,
+        lambda f: F.struct(
+            F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.size(f) / n, 4)).alias("coverage"),
+            f.alias("found"),
+            F.array_except(query_words, f).alias("missing"),
+        ),
     )
 
 
@@ -125,10 +125,10 @@ def generic_question(query: Column, lexicon: Lexicon = VIETNAMESE) -> Column:
 
 def fallback_coverage(query: Column, texts: Column, lexicon: Lexicon = VIETNAMESE) -> Column:
     """Share of the query's distinct words found in the joined texts; 0 when it has none."""
-    low = F.lower(texts)
     distinct = F.array_except(
         F.filter(F.array_distinct(word_runs(F.lower(query))), lambda w: F.length(w) > 1),
         strings(lexicon.fallback_stopwords),
     )
-    n = F.size(distinct)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.filter(distinct, lambda w: F.contains(low, w))) / n)
+    row = F.struct(F.lower(texts).alias("low"), distinct.alias("w"))
+    share = lambda r: F.size(F.filter(r["w"], lambda w: F.contains(r["low"], w))) / F.size(r["w"])
+    return naming(row, lambda r: F.when(F.size(r["w"]) == 0, F.lit(0.0)).otherwise(share(r)))

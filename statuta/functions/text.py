@@ -11,6 +11,11 @@ from statuta.functions import fixed_values as V
 SPACE = r"[\s\p{Z}]+"
 
 
+def naming(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where a lambda uses it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(text: Column, phrases: list[str]) -> Column:
     """True when any phrase occurs in ``text``."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases], F.lit(False))
@@ -29,8 +34,7 @@ def tokens(text: Column, pattern: str = V.VI_TOKEN_PATTERN) -> Column:
     """Lower-case tokens; a text without any falls back to its whitespace words."""
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-    # one-element transform: ``found`` is named, so the pattern runs once
-    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(words(low)))[0]
+    return naming(found, lambda f: F.when(F.size(f) > 0, f).otherwise(words(low)))
 
 
 def strip(text: Column) -> Column:

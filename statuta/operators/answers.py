@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
-from statuta.functions.text import any_of, collapsed, strip
+from statuta.functions.text import any_of, collapsed, naming, strip
 
 
 def chat_title(messages: DataFrame, default: str = V.DEFAULT_CHAT_TITLE) -> DataFrame:
@@ -84,6 +84,6 @@ def fitted(prompt: Column, system: Column, context_length: int, max_tokens: int)
 
     row = F.struct(prompt.alias("prompt"), allowed.alias("allowed"))
     return F.struct(
-        F.when(over, F.transform(F.array(row), cut)[0]).otherwise(prompt).alias("prompt"),
+        F.when(over, naming(row, cut)).otherwise(prompt).alias("prompt"),
         F.when(over & tight, F.left(system, F.lit(half))).otherwise(system).alias("system"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
 from statuta.functions.keywords import strings, word_runs
-from statuta.functions.text import all_of, any_of, tokens
+from statuta.functions.text import all_of, any_of, naming, tokens
 from statuta.operators import retrieval as R
 from statuta.joins import lookup, sized_join
 from statuta.session import stored
@@ -55,7 +55,7 @@ def query_features(queries: DataFrame, boosts: Boosts = VIETNAMESE) -> DataFrame
     """Per query: places and numbers named, topics asked; queries are few, chunks are many."""
     low = F.lower(F.col("query"))
     numbers = F.filter(word_runs(low), lambda w: w.rlike(r"^[0-9]{2,4}$"))
-    places = F.filter(strings(list(boosts.places)), lambda p: F.contains(low, p))
+    places = naming(low, lambda t: F.filter(strings(list(boosts.places)), lambda p: F.contains(t, p)))
     out = queries.withColumn("places", places).withColumn(
         "numbers", F.filter(numbers, lambda x: x.cast("int") >= 10)
     )
@@ -111,7 +111,9 @@ def boosted(
     """Ranked list with ``boost`` added to its score and ranked anew; ``amount(text_lower, boosts)``."""
     features = query_features(queries, boosts)
     joined = with_text(ranked, chunks, bound).join(features, "query_id")
-    out = joined.withColumn("boost", amount(F.lower(F.col("text")), boosts))
+    # lower case first, as every phrase reads it
+    lowered = joined.withColumn("low", F.lower("text")).drop("text")
+    out = lowered.withColumn("boost", amount(F.col("low"), boosts))
     return R.top_ranked(
         out.select("query_id", "chunk_id", "boost", (F.col("score") + F.col("boost")).alias("score"))
     )
@@ -127,7 +129,8 @@ def must_include(
     topic keeps ``cap`` plus the longest list, a query then drops those it already has.
     """
     features = query_features(queries, boosts)
-    low = F.lower(F.col("text"))
+    low = F.col("low")
+    chunks = chunks.select("chunk_id", F.lower("text").alias("low"))
     flags = [F.when(any_of(low, t.must), F.lit(t.name)) for t in boosts.topics if t.must]
     longest = ranked.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
     by_topic = (
@@ -141,7 +144,7 @@ def must_include(
         .select("query_id", "chunk_id", F.lit(V.MUST_SCORE).alias("score"))
     )
     # chunks of the merger source meet merger queries by the places both name
-    has_source = chunks.filter(F.contains(low, F.lit(boosts.source))).select("chunk_id", low.alias("low"))
+    has_source = chunks.filter(F.contains(low, F.lit(boosts.source)))
     named = has_source.withColumn(
         "place", F.explode(F.filter(strings(list(boosts.places)), lambda p: F.contains(F.col("low"), p)))
     ).withColumn("grouped", all_of(F.col("low"), list(boosts.group)))
@@ -320,6 +323,7 @@ def rerank(
         .join(query_features(queries, boosts), "query_id")
         .join(top_keyword, "query_id", "left")
         .withColumn("pair_score", scorer(F.col("query"), F.col("text")))
+        .withColumn("low", F.lower("text"))
     )
     bypass = low_score_bypass(scored).select("query_id", "bypass")
     proxied = F.col("skip") | F.col("bypass")
@@ -333,7 +337,7 @@ def rerank(
             "query_id",
             "chunk_id",
             F.col("dense_score").alias("score_retrieval"),
-            (base + bonus_amount(F.lower(F.col("text")), boosts)).alias("score_rerank"),
+            (base + bonus_amount(F.col("low"), boosts)).alias("score_rerank"),
             proxied.alias("rerank_skipped"),
         )
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
 from statuta.functions.keywords import strings
-from statuta.functions.text import any_of, collapsed, strip, weird_count
+from statuta.functions.text import any_of, collapsed, naming, strip, weird_count
 
 
 def clean_page(text: Column) -> Column:
@@ -47,8 +47,7 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 def text_gate(docs: DataFrame, terms: list[str] = V.GATE_TERMS, min_length: int = 500, min_terms: int = 2) -> DataFrame:
     """Add (found, status, warning): too short, too few domain terms, or accepted."""
-    low = F.lower(F.col("text"))
-    found = F.filter(strings(terms), lambda t: F.contains(low, t))
+    found = naming(F.lower("text"), lambda low: F.filter(strings(terms), lambda t: F.contains(low, t)))
     status = (
         F.when(F.length("text") < min_length, F.lit("too_short"))
         .when(F.size("found") < min_terms, F.lit("too_few_terms"))
@@ -80,7 +79,7 @@ def issuing_body(text: Column) -> Column:
         )
         return F.coalesce(F.try_element_at(good, F.lit(1)), F.lit(""))
 
-    return F.transform(F.array(F.struct(lines.alias("lines"), is_motto.alias("flags"))), above)[0]
+    return naming(F.struct(lines.alias("lines"), is_motto.alias("flags")), above)
 
 
 def document_metadata(text: Column) -> Column:

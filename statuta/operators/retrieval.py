@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
-from statuta.functions.text import tokens
+from statuta.functions.text import naming, tokens, words
 from statuta.joins import sized_join, within
 from statuta.session import stored
 from statuta.unfold import unfold
@@ -116,8 +116,7 @@ def ngrams(text: Column) -> Column:
         pairs = F.zip_with(F.slice(toks, 1, fewer), F.slice(toks, 2, fewer), lambda x, y: F.concat_ws(" ", x, y))
         return F.concat(toks, pairs)
 
-    # one-element transform: the tokens are named, so the pattern runs once
-    return F.transform(F.array(found), with_pairs)[0]
+    return naming(found, with_pairs)
 
 
 def tfidf_scores(
@@ -286,8 +285,6 @@ def query_dedup(queries: DataFrame, key: Column, search) -> DataFrame:
 
 def similar(candidate: Column, positive: Column, threshold: float = 0.9) -> Column:
     """Share of the positive's words found in the candidate is above the threshold."""
-    from statuta.functions.text import words
-
     p = F.array_distinct(words(F.lower(positive)))
     c = F.array_distinct(words(F.lower(candidate)))
     n = F.size(p)
