@@ -181,8 +181,7 @@ def diversify(spark, d):
 @query("span_trim")
 def span_trim(spark, d):
     rows = scored(spark, d).join(I.queries(spark, d), "query_id")
-    trimmed = X.trimmed(F.col("text"), K.keywords(F.col("query"), I.LEXICON))
-    return rows.select("query_id", "chunk_id", F.length("text").cast("long").alias("before"), trimmed.alias("trimmed"))
+    return X.trim_rows(rows.withColumn("keywords", K.keywords(F.col("query"), I.LEXICON)))
 
 
 @query("interval_merge", """WITH e AS (SELECT user_id AS key, epoch(ts)::BIGINT AS start, epoch(ts)::BIGINT + CAST(floor(value * 60) AS BIGINT) AS stop FROM events),
