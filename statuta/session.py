@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SCRATCH = "statuta.scratch.dir"
+
 
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -20,18 +22,20 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get(SCRATCH, None):
+        # one machine: its temporary folder is shared by all tasks
+        spark.conf.set(SCRATCH, tempfile.mkdtemp(prefix="statuta-"))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors can reach.
 
-    A session without that setting (tests) gets a temporary folder.
+    It is named by ``spark.checkpoint.dir``, or by ``statuta.scratch.dir`` where a session has no such setting.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="statuta-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError(f"Intermediate tables need a folder that all executors share: set spark.checkpoint.dir, or {SCRATCH} at run time.")
     return folder
 
 
