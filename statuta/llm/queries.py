@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import quality, toxicity
+from statuta.llm import language, packing, quality, toxicity
 from statuta.sources.tables import table
 
 QUERIES: dict = {}
@@ -21,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.classify(table(spark, folder, "documents"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
