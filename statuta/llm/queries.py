@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import language, packing, quality, toxicity
+from statuta.llm import language, packing, quality, sharding, topk, toxicity, urlrules
 from statuta.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,11 +32,26 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_topk")
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.fiftieth(table(spark, folder, "embeddings"))
+
+
+@query("op6_urlrules", urlrules.SQL)
+def op6_urlrules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"), spark.createDataFrame(urlrules.RULES, "host string, path string, action string"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents"))
+
+
 @query("op10_quality")
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
