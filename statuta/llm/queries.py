@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import language, packing, quality, sharding, topk, toxicity, urlrules
+from statuta.llm import bagminhash, language, packing, quality, sharding, topk, toxicity, urlrules
 from statuta.sources.tables import table
 
 QUERIES: dict = {}
@@ -52,6 +52,11 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"))
 
 
+@query("op9_bagminhash")
+def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.classes(table(spark, folder, "documents"))
+
+
 @query("op10_quality")
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
