@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import bagminhash, language, packing, quality, sharding, topk, toxicity, urlrules
+from statuta.llm import bagminhash, decontamination, language, packing, quality, revisits, sharding, topk, toxicity, urlrules
 from statuta.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,6 +33,16 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_revisits", revisits.SQL)
+def op3_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return revisits.digest(table(spark, folder, "pages"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op5_topk")
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.fiftieth(table(spark, folder, "embeddings"))
@@ -60,3 +71,8 @@ def op9_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality")
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
