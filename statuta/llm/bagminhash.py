@@ -48,7 +48,7 @@ def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     odd = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(n)], np.uint64)
     joined = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
-        joined += words[i : len(words) - n + 1 + i] * odd[i]
+        joined += words[i : i + len(joined)] * odd[i]
     joined = mix(joined)
     values, counts, sizes = [], [], np.zeros(len(texts) + 1, np.int64)
     for i in range(len(texts)):

@@ -26,8 +26,8 @@ BITS = 15
 DIMENSIONS = 16
 GRAMS = (3, 5)
 #: Passes over the sample, and steps at least (a small sample is passed more often).
-EPOCHS = 10
-STEPS = 1250
+EPOCHS = 6
+STEPS = 750
 BATCH = 32
 RATE = 2.0
 

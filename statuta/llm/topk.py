@@ -148,7 +148,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, key: str = "vec_id",
     every = F.sequence(F.lit(0), F.lit(blocks - 1)) if blocks > 1 else F.array(F.lit(0))
 
     def grid(part: DataFrame, asking: DataFrame) -> DataFrame:
-        return part.withColumn("block", F.explode(every)).groupBy(*cells).cogroup(asking.groupBy(*cells)).applyInArrow(_meet(k), schema)
+        # columns of their own, as both sides come from one table
+        own = asking.select(*[F.col(c).alias(c) for c in asking.columns])
+        return part.withColumn("block", F.explode(every)).groupBy(*cells).cogroup(own.groupBy(*cells)).applyInArrow(_meet(k), schema)
 
     first = grid(rows.filter(F.col("shard") == 0), queries.withColumn("shard", F.lit(0)).withColumn("floor", F.lit(float("-inf"))))
     if shards == 1:
