@@ -308,9 +308,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, the one of the smallest id, with all columns; rows without a key or text stay."""
     found = classes(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    lead = stored(found.groupBy("doc_id").agg(F.min("class_id").alias("_class"), F.count("*").alias("_rows")).filter("doc_id = _class"), "lead")
-    lead = lead.select(F.col("doc_id").alias("_id"), "_rows")
-    rows = docs.join(lead, docs["doc_id"].cast("long") == lead["_id"])
-    once = rows.filter("_rows = 1").select(*[docs[c] for c in docs.columns])
-    repeated = rows.filter("_rows > 1").dropDuplicates(["_id"]).select(*[docs[c] for c in docs.columns])
+    lead = stored(found.groupBy("doc_id").agg(F.min("class_id").alias("class"), F.count("*").alias("rows")).filter("doc_id = class"), "lead")
+    key, times = "lead_id", "lead_rows"
+    while {key, times} & {c.lower() for c in docs.columns}:
+        key, times = f"{key}_", f"{times}_"
+    lead = lead.select(F.col("doc_id").alias(key), F.col("rows").alias(times))
+    rows = docs.join(lead, docs["doc_id"].cast("long") == lead[key])
+    once = rows.filter(F.col(times) == 1).select(*[docs[c] for c in docs.columns])
+    repeated = rows.filter(F.col(times) > 1).dropDuplicates([key]).select(*[docs[c] for c in docs.columns])
     return once.unionByName(repeated).unionByName(docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()))
