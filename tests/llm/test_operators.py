@@ -397,7 +397,7 @@ def test_near_duplicates_brute_force(spark):
 
 def test_near_duplicates_in_hot_buckets(spark, monkeypatch):
     """Chains of near copies and a passage that all share, with buckets that count as large at once."""
-    monkeypatch.setattr(bagminhash, "SMALL", 2)
+    monkeypatch.setattr(bagminhash, "SIDE", 5)
     monkeypatch.setattr(bagminhash, "TOGETHER", 8)
     random = np.random.default_rng(4)
     shared = [f"p{i}" for i in range(60)]
