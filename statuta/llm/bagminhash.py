@@ -10,9 +10,10 @@ it does not fill are done again with a later limit.
 Equal multisets are one class from the start; from there one row stands for each. Texts that share a band of components are
 candidates. In each band bucket all rows meet the bucket's smallest id, and the overlap of both multisets decides. Then connected
 components are taken. In the buckets that still hold several components, the signatures of rows of different components are compared,
-block by block, and the pairs that agree in ``LIKELY`` of their components are verified as well. So every pair that shares a band is
-verified, joined by a chain of verified pairs, or too far apart in its signatures: a pair of similarity 0.8 shares no band with a
-probability of 7e-5, and falls below ``LIKELY`` with one of 2e-5.
+part by part, in the first bucket that both share. Rows with a partner that agrees in ``LIKELY`` of the components bring their texts
+to that bucket, and are verified there, the likeliest pairs first, until no two components are left to compare. Only links leave a
+task, at most one a row. So every pair that shares a band is verified, joined by a chain of verified pairs, or too far apart in its
+signatures: a pair of similarity 0.8 shares no band with a probability of 7e-5, and falls below ``LIKELY`` with one of 2e-5.
 
 Defined cases: a null key or text is in no class with others; texts without a word are a class where they are equal; rows of one key
 are one document; ties go to the smaller id; the class id is the smallest id of the class; an empty table gives an empty result;
@@ -37,8 +38,8 @@ BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Share of equal components from which two rows are worth their texts.
 LIKELY = 0.65
-#: Rows of a bucket that one block compares with another block's, about.
-SIDE = 512
+#: Rows, and shingles, of a bucket's part, about; every two parts meet in one task.
+SIDE, SIDE_SHINGLES = 2048, 1 << 20
 #: Rows that meet one head in one task, about.
 TOGETHER = 256
 
@@ -227,82 +228,135 @@ def _fits(a: str, b: str, similarity: float = SIMILARITY):
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
 
-def _likely(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows of different components in one bucket whose signatures agree in most places.
+CELL = ["key", "low", "high"]
 
-    ``rows``: key, rep, n, label, size of the bucket, sign. A bucket is cut into parts by hash; every two parts are one group, and
-    what follows each other in a sorted partition is compared at once.
-    """
-    parts = F.ceil(F.col("size") / SIDE).cast("int")
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of mixed buckets, once for each two parts that they belong to: a bucket is cut into parts by hash."""
+    parts = F.greatest(F.ceil(F.col("size") / SIDE), F.ceil(F.col("total") / SIDE_SHINGLES)).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = ["key", "low", "high"]
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "label", "sign")
-    rows = rows.repartition(*cell).sortWithinPartitions(*cell)
-
-    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own, rep, n, label = (group[c].to_numpy() for c in ("own", "rep", "n", "label"))
-        sign = np.stack([np.frombuffer(x, np.uint16) for x in group["sign"].to_pylist()])
-        a, b = [], []
-        left = np.flatnonzero(own == own.min())
-        for i in left:  # one row against all others of its group
-            to = (rep > rep[i]) & (label != label[i]) if own.min() == own.max() else (own != own[i]) & (label != label[i])
-            to &= np.minimum(n, n[i]) >= np.maximum(n, n[i]) * (SIMILARITY - 1e-9)
-            to = np.flatnonzero(to)
-            to = to[(sign[to] == sign[i]).mean(1) >= LIKELY]
-            a.append(np.minimum(rep[i], rep[to]))
-            b.append(np.maximum(rep[i], rep[to]))
-        return np.concatenate(a), np.concatenate(b)
+    return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band", "own", "rep", "n", "label", "sign", "bands")
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            ids = np.stack([table[c].to_numpy() for c in cell])
-            cuts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1])
-            rest = table.slice(cuts[-1])
-            yield from emit([table.slice(x, y - x) for x, y in zip(cuts, cuts[1:])])
-        if rest is not None:
-            yield from emit([rest])
 
-    def emit(groups):
-        found = [pairs(g.combine_chunks()) for g in groups if g.num_rows > 1]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+def _together(rows: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
+    """``fn`` of the rows of each cell; cells follow one another in sorted partitions."""
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        cell, parts = None, []
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in CELL])
+            cuts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1, [batch.num_rows]])
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if parts and tuple(ids[:, a]) != cell:
+                        yield from out(fn(parts))
+                        parts = []
+                    cell = tuple(ids[:, a])
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from out(fn(parts))
+
+    def out(columns):
+        if columns is not None and len(columns[0]):
+            yield pa.record_batch([pa.array(c) for c in columns], names)
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+
+
+class _Cell:
+    """Rows of one cell as arrays."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts)
+        self.own, self.rep, self.n, self.root = (table[c].to_numpy().copy() for c in ("own", "rep", "n", "label"))
+        self.band = table["band"][0].as_py()
+        self.sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        first, second = int(table["low"][0].as_py()), int(table["high"][0].as_py())
+        self.across = first != second
+
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that row ``i`` has to be compared with here, and their shares of equal components."""
+        to = (self.own > self.own[i]) if self.across else (self.rep > self.rep[i])
+        to &= (self.root != self.root[i]) & (np.minimum(self.n, self.n[i]) >= np.maximum(self.n, self.n[i]) * (SIMILARITY - 1e-9))
+        to = np.flatnonzero(to)
+        # a pair belongs to the first band that both share
+        to = to[~(self.bands[to, : self.band] == self.bands[i, : self.band]).any(1)]
+        share = (self.sign[to] == self.sign[i]).mean(1)
+        return to[share >= LIKELY], share[share >= LIKELY]
+
+
+def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of mixed buckets; ``rows``: key, band, rep, n, label, size, total, sign, bands."""
+    cells = stored(_cells(rows), "cells")
+
+    def likely(parts: list[pa.RecordBatch]):
+        cell = _Cell(parts)
+        wanted = np.zeros(len(cell.rep), bool)
+        for i in range(len(cell.rep)):
+            to, _ = cell.partners(i)
+            wanted[to] = True
+            wanted[i] |= len(to) > 0
+        at = np.flatnonzero(wanted)
+        return [np.repeat(pa.Table.from_batches(parts)[c].to_numpy()[:1], len(at)) for c in CELL] + [cell.rep[at]]
+
+    wanted = stored(_together(cells, likely, "key long, low int, high int, rep long", [*CELL, "rep"]), "wanted")
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    one = wanted.select("rep").distinct()
+    texts = texts.join(F.broadcast(one) if within(one, BROADCAST_ROWS) else one, "rep").dropDuplicates(["rep"])
+    full = cells.join(wanted, [*CELL, "rep"]).join(texts, "rep")
+
+    def verify(parts: list[pa.RecordBatch]):
+        cell = _Cell(parts)
+        values, counts, cuts = shingles(pa.concat_arrays([p.column("text") for p in parts]))
+        found = []
+        for i in range(len(cell.rep)):
+            to, share = cell.partners(i)
+            v, c = values[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]
+            for j in to[np.argsort(-share, kind="stable")]:
+                if cell.root[i] == cell.root[j]:
+                    continue
+                w, d = values[cuts[j] : cuts[j + 1]], counts[cuts[j] : cuts[j + 1]]
+                place = np.minimum(np.searchsorted(v, w), len(v) - 1)
+                common = np.where(v[place] == w, np.minimum(c[place], d), 0).sum()
+                if common >= SIMILARITY * (c.sum() + d.sum() - common) - 1e-9:
+                    found.append((cell.rep[i], cell.rep[j]))
+                    cell.root[cell.root == cell.root[j]] = cell.root[i]
+        return [np.array(x, np.int64) for x in zip(*found)] if found else None
+
+    full = full.select(*CELL, "band", "own", "rep", "n", "label", "sign", "bands", "text")
+    return _together(full, verify, "a long, b long", ["a", "b"])
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of) of every row: the smallest id of the near-duplicate class, and of the rows with the same multiset."""
     keys = ["one", "two", "n"]
     found = stored(signed(docs), "signed")
-    first = found.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    # written, so that the join can split a multiset that very many rows have
+    first = stored(found.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "first")
     lead = F.col("doc_id") == F.col("rep")
     members = stored(found.join(first, keys).select("doc_id", "rep", "n", F.when(lead, F.col("bands")).alias("bands"), F.when(lead, F.col("sign")).alias("sign")), "members")
 
     # band keys of one row for each multiset
     reps = members.filter(lead & (F.size("bands") > 0))
-    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
+    rows = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    heads = stored(heads, "heads")
     shared = stored(rows.join(heads, "key"), "shared")
 
     star = shared.filter((F.col("rep") != F.col("head.rep")) & _fits("n", "head.n", similarity)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
     edges = stored(verified(docs, star, similarity), "edges")
     labels = components(edges)
 
-    named = shared.select("key", "rep", "n", "size").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    named = shared.select("key", "band", "rep", "n", "size", "total").join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = stored(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key"), "keys")
     mixed = stored(named.join(mixed, "key"), "mixed")
     signs = mixed.select("rep").distinct()
-    signs = reps.select("rep", "sign").join(F.broadcast(signs) if within(signs, BROADCAST_ROWS) else signs, "rep").dropDuplicates(["rep"])
-    more = stored(_likely(mixed.join(signs, "rep")), "pairs")
+    signs = reps.select("rep", "sign", "bands").join(F.broadcast(signs) if within(signs, BROADCAST_ROWS) else signs, "rep").dropDuplicates(["rep"])
+    more = stored(_links(docs, mixed.join(signs, "rep")), "edges")
     if more.limit(1).count():
-        more = stored(verified(docs, more, similarity), "edges")
-        if more.limit(1).count():
-            labels = components(edges.unionByName(more))
+        labels = components(edges.unionByName(more))
 
     named = members.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
     rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
