@@ -5,9 +5,8 @@ comparable; nothing here is logic.
 """
 
 # ---- tokens -----------------------------------------------------------------
-# Fixed value: letters (with Vietnamese diacritics) and digits that form a token of a
-# lower-case text. The last range holds all Vietnamese letters with two marks or a dot.
-VI_TOKEN_PATTERN = "[a-z0-9àáâãèéêìíòóôõùúýăđĩũơưạ-ỹ]+"
+# Fixed value: letters (with Vietnamese diacritics) and digits that form a token of a lower-case text.
+VI_TOKEN_PATTERN = "[a-záàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ0-9]+"
 
 # ---- keywords ---------------------------------------------------------------
 # Words that carry no meaning for keyword matching.
@@ -239,7 +238,6 @@ SECTION_LINE = r"(?iU)^\s*(?:Mục|Muc)\s+(\d+)"
 ARTICLE_LINE = r"(?iU)^\s*(?:Điều|Diu|Diều|Biều|Ðiều|Diéu|Dieu|Diêu)\s+(\d+)\.[\s\t]*(.*)$"
 CLAUSE_LINE = r"^\s*(\d{1,2})\.[\s\t]*(.*)$"
 POINT_LINE = r"^\s*([a-zA-ZđĐ])\)\s*(.*)$"
-POINT_SPLIT = r"(?:[:;.]\s*|^.{0,15}\s+)([a-zA-ZđĐ])\)\s+(.*)$"
 APPENDIX_LINE = r"(?iU)^\s*(?:Phụ\s+lục|Phu\s+luc)\b"
 APPENDIX_REFERENCES = ["kèm theo", "ban hành", "tại khoản"]
 DOC_TYPE_LINE = (
@@ -393,7 +391,6 @@ PROGRESS_RULES = [
     (5, ["Step 7:", "Committing to Production", "Production vector store"]),
 ]
 RATE_LIMIT_REQUESTS, RATE_LIMIT_SECONDS, RATE_LIMIT_PREFIX = 30, 60, "/api/"
-UPLOAD_LIMIT_BYTES, BATCH_LIMIT_BYTES = 25 * 1024 * 1024, 100 * 1024 * 1024
 DEFAULT_CHAT_TITLE = "New Conversation"
 
 # Columns of a query log row, in file order.
@@ -432,3 +429,13 @@ PROMPT_REQUIREMENTS = (
 PROMPT_JSON = "\n\nHãy trả về kết quả dưới định dạng JSON như đã hướng dẫn."
 PROMPT_CUT = "\n[...context đã rút gọn...]\n\n"
 PROMPT_MARKER = "## CÂU HỎI"
+
+# ---- tidying ----------------------------------------------------------------
+# Patterns and replacements, in this order, applied after something was cut out of a text.
+TIDY_PATTERNS = [
+    (r"\s+([,.;:!?])", "$1"),
+    (r"([,.;:!?])\s*\1+", "$1"),
+    (r"\s+([;:])", "$1"),
+    (r"\(\s+", "("),
+    (r"\s+\)", ")"),
+]

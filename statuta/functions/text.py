@@ -96,11 +96,9 @@ def guarded(original: Column, corrected: Column) -> Column:
 def tidied(text: Column) -> Column:
     """White space and punctuation rules applied after something was cut out."""
     out = strip(F.regexp_replace(text, SPACE, " "))
-    out = F.regexp_replace(out, r"\s+([,.;:!?])", "$1")
-    out = F.regexp_replace(out, r"([,.;:!?])\s*\1+", "$1")
-    out = F.regexp_replace(out, r"\s+([;:])", "$1")
-    out = F.regexp_replace(out, r"\(\s+", "(")
-    return F.regexp_replace(out, r"\s+\)", ")")
+    for pattern, replacement in V.TIDY_PATTERNS:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
 
 
 def without_title(text: Column, title: Column) -> tuple[Column, Column]:

@@ -119,59 +119,53 @@ def boosted(
     )
 
 
-def must_include(
-    ranked: DataFrame, queries: DataFrame, chunks: DataFrame, cap: int, boosts: Boosts = VIETNAMESE
-) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks outside the ranked list that a topic forces in.
+def forcing_keys(features: DataFrame) -> DataFrame:
+    """(query_id, key): what a query forces in: its topics, its set of places, and the group of units where it asks for that."""
+    places = F.when(F.col("merger"), F.concat(F.lit("places:"), F.array_join("places", ",")))
+    group = F.when(F.col("merger") & F.col("group_asked"), F.lit("group"))
+    topics = F.transform("topics", lambda t: F.concat(F.lit("topic:"), t))
+    return features.select("query_id", F.explode(F.array_compact(F.concat(topics, F.array(places, group)))).alias("key"))
 
-    Every row of a topic has the same score and ties go to the smaller chunk, so below a
-    later cut at ``cap`` only the first ``cap`` unlisted chunks of a topic can count: each
-    topic keeps ``cap`` plus the longest list, a query then drops those it already has.
-    """
-    features = query_features(queries, boosts)
+
+def forced_chunks(features: DataFrame, chunks: DataFrame, boosts: Boosts = VIETNAMESE) -> DataFrame:
+    """(key, chunk_id, score) of every chunk that a key of ``forcing_keys`` forces in; one row for each, however many queries share the key."""
     low = F.col("low")
     chunks = chunks.select("chunk_id", F.lower("text").alias("low"))
-    flags = [F.when(any_of(low, t.must), F.lit(t.name)) for t in boosts.topics if t.must]
-    longest = ranked.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
-    by_topic = (
-        chunks.select("chunk_id", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
-        .withColumn("n", F.row_number().over(W.partitionBy("topic").orderBy("chunk_id")))
-    )
-    by_topic = by_topic.filter(F.col("n") <= F.lit(cap) + longest).select("topic", "chunk_id")
-    plain = (
-        features.select("query_id", F.explode("topics").alias("topic"))
-        .join(by_topic, "topic")
-        .select("query_id", "chunk_id", F.lit(V.MUST_SCORE).alias("score"))
-    )
-    # chunks of the merger source meet merger queries by the places both name
-    has_source = chunks.filter(F.contains(low, F.lit(boosts.source)))
-    named = has_source.withColumn(
-        "place", F.explode(F.filter(strings(list(boosts.places)), lambda p: F.contains(F.col("low"), p)))
-    ).withColumn("grouped", all_of(F.col("low"), list(boosts.group)))
-    key = F.concat_ws("|", F.array_join("places", ","), F.col("group_asked").cast("string"))
-    asked = features.filter("merger").withColumn("place_set", key)
-    sets = asked.select("place_set", "places", "group_asked").distinct()
-    by_set = (
-        sized_join(
-            named.select("chunk_id", "place", "grouped"),
-            sets.select("place_set", "group_asked", F.size("places").alias("need"), F.explode("places").alias("place")),
-            ["place"],
-            ["chunk_id"],
-            measure=queries,
-        )
-        .groupBy("place_set", "chunk_id", "group_asked", "grouped", "need")
+    flags = [F.when(any_of(low, t.must), F.lit(f"topic:{t.name}")) for t in boosts.topics if t.must]
+    source = F.contains(low, F.lit(boosts.source))
+    group = F.when(source & all_of(low, list(boosts.group)), F.lit("group"))
+    plain = chunks.select("chunk_id", F.explode(F.array_compact(F.array(*flags, group))).alias("key"))
+    score = F.when(F.col("key") == "group", F.lit(V.MERGER_GROUP_SCORE)).otherwise(F.lit(V.MUST_SCORE))
+    plain = plain.select("key", "chunk_id", score.alias("score"))
+    # chunks of the merger source meet sets of places by the places that both name
+    named = chunks.filter(source).select("chunk_id", F.explode(F.filter(strings(list(boosts.places)), lambda p: F.contains(low, p))).alias("place"))
+    sets = features.filter("merger").select(F.concat(F.lit("places:"), F.array_join("places", ",")).alias("key"), "places").distinct()
+    sets = sets.select("key", F.size("places").alias("need"), F.explode("places").alias("place"))
+    whole = (
+        sized_join(named, sets, ["place"], ["chunk_id"], measure=sets)
+        .groupBy("key", "chunk_id", "need")
         .agg(F.count("*").alias("found"))
-        .withColumn("by_group", F.col("group_asked") & F.col("grouped"))
-        .filter((F.col("found") == F.col("need")) | F.col("by_group"))
-        .withColumn("score", F.when(F.col("by_group"), F.lit(V.MERGER_GROUP_SCORE)).otherwise(F.lit(V.MERGER_SCORE)))
-        .withColumn(
-            "n", F.row_number().over(W.partitionBy("place_set").orderBy(F.col("score").desc(), F.col("chunk_id")))
-        )
-        .filter(F.col("n") <= F.lit(cap) + longest)
+        .filter("found = need")
+        .select("key", "chunk_id", F.lit(V.MERGER_SCORE).alias("score"))
     )
-    by_place = asked.select("query_id", "place_set").join(by_set, "place_set").select("query_id", "chunk_id", "score")
-    forced = plain.unionByName(by_place).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return R.top_ranked(forced.join(ranked, ["query_id", "chunk_id"], "left_anti"), cap).drop("rank")
+    return plain.unionByName(whole)
+
+
+def must_include(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, boosts: Boosts = VIETNAMESE, cap: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of all chunks outside the ranked list that a query forces in.
+
+    With ``cap``, for a list that is cut to so many rows later: a key then keeps its first ``cap`` chunks and as many more as the
+    longest ranked list has, which is what the cut can still reach, as rows of a key have one score and ties go to the smaller chunk.
+    """
+    features = query_features(queries, boosts)
+    forced = forced_chunks(features, chunks, boosts)
+    if cap is not None:
+        longest = ranked.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        # a literal bound: every task keeps so many rows of a key before they are shuffled
+        forced = forced.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("chunk_id"))).filter(F.col("n") <= cap + longest)
+    rows = forcing_keys(features).join(forced, "key").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    rows = rows.join(ranked, ["query_id", "chunk_id"], "left_anti")
+    return rows if cap is None else R.top_ranked(rows, cap).drop("rank")
 
 
 def candidate_union(ranked: DataFrame, forced: DataFrame) -> DataFrame:
@@ -185,9 +179,10 @@ def candidate_cap(ranked: DataFrame, cap: int = 50) -> DataFrame:
     return ranked.filter(F.col("rank") <= cap)
 
 
-def prefix_dedup(ranked: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
-    """First candidate per raw text prefix, in rank order."""
-    order = W.partitionBy("query_id", F.left(F.col(text), F.lit(length))).orderBy("rank")
+def prefix_dedup(ranked: DataFrame, text: str = "text", length: int | None = 200) -> DataFrame:
+    """First candidate per raw text prefix, in rank order; without ``length`` the whole text counts, by hash."""
+    prefix = F.sha2(F.col(text), 256) if length is None else F.left(F.col(text), F.lit(length))
+    order = W.partitionBy("query_id", prefix).orderBy("rank")
     return ranked.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
@@ -280,12 +275,14 @@ def hybrid_search(
     boosts: Boosts = VIETNAMESE,
     scorer=token_overlap,
     first_stage: tuple | None = None,
+    dedup_length: int | None = 200,
 ) -> DataFrame:
     """The full chain for a table of queries.
 
     Keyword and vector lists are fused, boosted, joined by forced chunks, capped, freed of
     prefix copies, then scored: by ``scorer(query, text)``, or by the proxy where the first
     stage is clear or the pair scores are all low. The topical bonus decides the last order.
+    Without a ``scorer`` the fused score stands for the pair score, and nothing is skipped or bypassed.
     """
     # each list is read several times below: two corpus scans, stored once
     keyword, dense = first_stage or (
@@ -295,9 +292,9 @@ def hybrid_search(
     n = queries.count()
     lifted = stored(boosted(R.rrf_merge([keyword, dense]), queries, chunks, boost_amount, 2 * k_retrieve * n, boosts), "fused")
     # forcing needs keyword results, as the fallback to the dense list knows no boosts
-    forced = must_include(lifted, queries, chunks, cap, boosts).join(keyword.select("query_id").distinct(), "query_id", "left_semi")
+    forced = must_include(lifted, queries, chunks, boosts, cap).join(keyword.select("query_id").distinct(), "query_id", "left_semi")
     kept = candidate_cap(candidate_union(lifted, forced), cap)
-    candidates = stored(prefix_dedup(with_text(kept, chunks, cap * n)), "candidates")
+    candidates = stored(prefix_dedup(with_text(kept, chunks, cap * n), length=dedup_length), "candidates")
     return rerank(candidates, keyword, dense, queries, k_final, boosts, scorer)
 
 
@@ -322,11 +319,11 @@ def rerank(
         .fillna(0.0, ["dense_score"])
         .join(query_features(queries, boosts), "query_id")
         .join(top_keyword, "query_id", "left")
-        .withColumn("pair_score", scorer(F.col("query"), F.col("text")))
+        .withColumn("pair_score", scorer(F.col("query"), F.col("text")) if scorer else F.col("score"))
         .withColumn("low", F.lower("text"))
     )
     bypass = low_score_bypass(scored).select("query_id", "bypass")
-    proxied = F.col("skip") | F.col("bypass")
+    proxied = (F.col("skip") | F.col("bypass")) if scorer else F.lit(False)
     base = F.when(proxied, proxy_score(F.col("rank") - 1, F.col("dense_score"), F.col("score"))).otherwise(
         F.col("pair_score")
     )

@@ -203,14 +203,13 @@ def first_occurrence(parts: list[DataFrame], key: str, order: str) -> DataFrame:
 def trailing_count(requests: DataFrame, seconds: int = 60, block: int = 3600) -> DataFrame:
     """Add ``trailing``: requests of the same client in the last ``seconds``, this one included.
 
-    Time is cut into blocks, so even a client with most of the traffic is spread; requests
-    near the end of a block are also shown to the next one, where they only count.
+    Time is cut into blocks, so even a client with most of the traffic is spread; a request is
+    also shown to every later block that its window reaches, where it only counts.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     span = seconds * 1_000_000
     home = F.floor(us / F.lit(block * 1_000_000)).cast("long")
     near_end = F.floor((us + span) / F.lit(block * 1_000_000)).cast("long")
-    copies = F.array_distinct(F.array(home, near_end))
-    spread = requests.withColumn("_us", us).withColumn("_home", home).withColumn("_block", F.explode(copies))
+    spread = requests.withColumn("_us", us).withColumn("_home", home).withColumn("_block", F.explode(F.sequence(home, near_end)))
     over = W.partitionBy("client", "_block").orderBy("_us").rangeBetween(-(span - 1), 0)
     return spread.withColumn("trailing", F.count("*").over(over)).filter("_block = _home").drop("_us", "_home", "_block")

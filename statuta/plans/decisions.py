@@ -141,13 +141,13 @@ def fallback(spark, d):
     return D.fallback(features(spark, d)).select("query_id", "fallback_type", "missing_type", "fallback_question", F.round("fallback_coverage", 6).alias("coverage"))
 
 
-@query("fallback_render", f"""WITH {FEATURES}, {FALLBACK}, a AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN ' ' ELSE ' ' || substr(query, 1, 50) || ' ' END AS answer, query_id % 2 AS nc FROM fbq)
+@query("fallback_render", f"""WITH {FEATURES}, {FALLBACK}, a AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN ' ' ELSE ' ' || query || ' ' END AS answer, query_id % 2 AS nc FROM fbq)
 SELECT query_id, CASE ft WHEN 'ask_back' THEN CASE WHEN n_chunks > 0 THEN {lit(V.NEED_MORE)} || chr(10) || chr(10) || {lit(V.FOUND_IN)} || top_title || ':' || chr(10) || '"...' || substr(top_text, 1, 200) || CASE WHEN len(top_text) > 200 THEN '...' ELSE '' END || '..."' || chr(10) ELSE '' END || chr(10) || chr(10) || '❓ ' || fq
   WHEN 'cautious' THEN CASE WHEN {sql_strip('answer')} <> '' THEN {sql_strip('answer')} || chr(10) || chr(10) || CASE WHEN nc > 0 THEN {lit(V.SHORT_WARNING)} ELSE {lit(V.CAUTIOUS_WARNING)} END ELSE {lit(V.CAUTIOUS_PREFIX)} || chr(10) || chr(10) || {lit(V.CAUTIOUS_WARNING)} END
   WHEN 'abstain' THEN {lit(V.NO_INFO)} || chr(10) || chr(10) || {lit(V.RETRY_HINT)} ELSE answer END AS final_answer, CASE WHEN ft = 'none' THEN 'answer' ELSE ft END AS final_decision, ft <> 'none' AS applied FROM a""")
 def fallback_render(spark, d):
     q = F.col("query_id")
-    answer = F.when(q % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.left("query", F.lit(50)), F.lit(" ")))
+    answer = F.when(q % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("query"), F.lit(" ")))
     decided = D.fallback(features(spark, d)).withColumns({"answer": answer, "n_citations": q % 2})
     return D.fallback_render(decided).select("query_id", "final_answer", "final_decision", "applied")
 
@@ -178,7 +178,34 @@ def diversify(spark, d):
     return out.select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("span_trim")
+_HEADS = "(?m)(?:^|\\n)\\s*(?:Điều|Khoản|Điểm)\\s+\\d+"
+_AFTER = "substr(text, stop + 1, 250)"
+_BEFORE = "substr(text, greatest(start - 250, 0) + 1, least(start, 250))"
+SPAN_TRIM = f"""WITH {I.sql_keywords('benchmark', 'item_id', 'text')}, {I.BM25_RUN.removeprefix('WITH ')},
+r AS (SELECT r.query_id, r.chunk_id, t.text, lower(t.text) AS low, k.words FROM run r JOIN documents t ON t.doc_id = r.chunk_id JOIN kw k ON k.item_id = r.query_id WHERE r.query_id % 9 > 0),
+w AS (SELECT query_id, chunk_id, text, low, i AS wi, words[i] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM r WHERE len(text) > 400)),
+p AS (SELECT *, string_split(low, word) AS ps FROM w),
+g AS (SELECT *, unnest(range(1, len(ps))) AS i FROM p),
+h AS (SELECT query_id, chunk_id, text, wi, i, CAST(list_sum(list_transform(ps[1:i], lambda x: len(x))) + (i - 1) * len(word) AS BIGINT) AS start, len(word) AS n FROM g),
+h2 AS (SELECT *, start + n AS stop FROM h),
+s AS (SELECT query_id, chunk_id, text, wi, i,
+    CAST(start - len(CASE WHEN contains({_BEFORE}, chr(10)) THEN string_split({_BEFORE}, chr(10))[-1] WHEN contains({_BEFORE}, '. ') THEN string_split({_BEFORE}, '. ')[-1] ELSE {_BEFORE} END) AS BIGINT) AS b,
+    CAST(stop + CASE WHEN contains({_AFTER}, '.' || chr(10)) THEN strpos({_AFTER}, '.' || chr(10)) + 1 WHEN contains({_AFTER}, '. ') THEN strpos({_AFTER}, '. ') + 1 WHEN contains({_AFTER}, chr(10)) THEN strpos({_AFTER}, chr(10)) ELSE len({_AFTER}) END AS BIGINT) AS e FROM h2),
+q AS (SELECT query_id, chunk_id, any_value(text) AS text, arg_min(b, (wi, i)) AS first, arg_max(e, (wi, i)) AS last FROM s GROUP BY ALL HAVING len(regexp_extract_all(any_value(text), '{_HEADS}')) > 0),
+hd AS (SELECT query_id, chunk_id, text, first, last, CAST(list_sum(list_transform(string_split_regex(text, '{_HEADS}')[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{_HEADS}')[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS pos
+  FROM (SELECT *, unnest(range(1, len(regexp_extract_all(text, '{_HEADS}')) + 1)) AS i FROM q)),
+ends AS (SELECT *, min(pos) FILTER (WHERE pos > last) OVER (PARTITION BY query_id, chunk_id) AS stop FROM hd),
+bl AS (SELECT query_id, chunk_id, any_value(text) AS text, coalesce(max(pos) FILTER (WHERE pos <= first AND (stop IS NULL OR pos <= stop)), 0) AS b, coalesce(any_value(stop), len(any_value(text))) AS e FROM ends GROUP BY query_id, chunk_id),
+a AS (SELECT query_id, chunk_id, text, b, e FROM s UNION SELECT query_id, chunk_id, text, CAST(b AS BIGINT), CAST(e AS BIGINT) FROM bl WHERE e - b <= 800),
+o AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY query_id, chunk_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM a),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, chunk_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM o),
+m AS (SELECT query_id, chunk_id, any_value(text) AS text, min(b) AS b, max(e) AS e FROM n GROUP BY query_id, chunk_id, island),
+f AS (SELECT query_id, chunk_id, b, CASE WHEN b > 0 THEN '...' || regexp_replace(substr(text, b + 1, e - b), '^[\\s\\p{{Z}}]+', '') ELSE substr(text, b + 1, e - b) END AS part, e < len(text) AS cut FROM m),
+t AS (SELECT query_id, chunk_id, string_agg(CASE WHEN cut THEN regexp_replace(part, '[\\s\\p{{Z}}]+$', '') || '...' ELSE part END, ' ' ORDER BY b) AS trimmed FROM f GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, coalesce(t.trimmed, r.text) AS trimmed FROM r LEFT JOIN t USING (query_id, chunk_id)"""
+
+
+@query("span_trim", SPAN_TRIM)
 def span_trim(spark, d):
     rows = scored(spark, d).join(I.queries(spark, d), "query_id")
     return X.trim_rows(rows.withColumn("keywords", K.keywords(F.col("query"), I.LEXICON)))

@@ -41,12 +41,12 @@ def labelled(spark, d):
         (key % 7).cast("string").alias("khoan"), F.lit(None).cast("string").alias("diem"), F.when(key % 5 > 0, key).alias("chunk_index"),
     )
     return docs.select(
-        key.alias("pos"), F.concat("lang", F.lit("-"), (key % 97).cast("string")).alias("query"), F.left("text", F.lit(80)).alias("passage"),
+        key.alias("pos"), F.concat("lang", F.lit("-"), (key % 97).cast("string")).alias("query"), F.col("text").alias("passage"),
         F.col("quality").alias("label"), meta.alias("meta"),
     )
 
 
-LABELLED = """lab AS (SELECT d.doc_id AS pos, lang || '-' || (d.doc_id % 97) AS query, substr(text, 1, 80) AS passage, quality AS label, source AS van_ban, CASE WHEN d.doc_id % 3 > 0 THEN lang END AS dieu, CAST(d.doc_id % 7 AS VARCHAR) AS khoan,
+LABELLED = """lab AS (SELECT d.doc_id AS pos, lang || '-' || (d.doc_id % 97) AS query, text AS passage, quality AS label, source AS van_ban, CASE WHEN d.doc_id % 3 > 0 THEN lang END AS dieu, CAST(d.doc_id % 7 AS VARCHAR) AS khoan,
   CASE WHEN d.doc_id % 5 > 0 THEN d.doc_id ELSE -1 END AS chunk_index FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 
@@ -208,11 +208,11 @@ def jsonl_scan(spark, d):
     return good.groupBy("k").agg(F.count("*").alias("n")).withColumn("n_malformed", bad.select("n_malformed").scalar())
 
 
-@query("metadata_store_scan", """SELECT CASE WHEN doc_id % 4 = 3 THEN -1 ELSE doc_id END AS chunk_id, CASE WHEN doc_id % 7 = 6 THEN '' ELSE substr(text, 1, 50) END AS text, CASE WHEN doc_id % 3 = 2 THEN 0.0::DOUBLE ELSE doc_id / 10.0::DOUBLE END AS score_retrieval,
+@query("metadata_store_scan", """SELECT CASE WHEN doc_id % 4 = 3 THEN -1 ELSE doc_id END AS chunk_id, CASE WHEN doc_id % 7 = 6 THEN '' ELSE text END AS text, CASE WHEN doc_id % 3 = 2 THEN 0.0::DOUBLE ELSE doc_id / 10.0::DOUBLE END AS score_retrieval,
   CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS van_ban, lang AS dieu, CASE WHEN doc_id % 2 = 1 THEN source ELSE '' END AS source_file FROM documents""")
 def metadata_store_scan(spark, d):
     key = F.col("doc_id")
-    text = F.left("text", F.lit(50))
+    text = F.col("text")
     meta = F.struct(F.when(key % 2 == 0, F.col("source")).alias("van_ban"), F.col("lang").alias("dieu"), F.when(key % 2 == 1, F.col("source")).alias("source_file"))
     record = F.struct(
         F.when(key % 4 < 2, key).alias("chunk_id"), F.when(key % 4 == 2, key).alias("faiss_id"), F.when(key % 7 < 3, text).alias("text"),
@@ -224,11 +224,11 @@ def metadata_store_scan(spark, d):
     return SD.chunk_records(records).select("chunk_id", "text", "score_retrieval", "van_ban", "dieu", "source_file")
 
 
-@query("reranked_scan", f"""WITH {I.RRF_RUN} SELECT 'q' || query_id AS id, rank, chunk_id, substr(text, 1, 40) AS text, round(score, 6) AS score_rerank, source AS van_ban, lang AS dieu, CAST(doc_id % 7 AS VARCHAR) AS khoan, CASE WHEN doc_id % 3 = 0 THEN 'a' END AS diem
+@query("reranked_scan", f"""WITH {I.RRF_RUN} SELECT 'q' || query_id AS id, rank, chunk_id, text, round(score, 6) AS score_rerank, source AS van_ban, lang AS dieu, CAST(doc_id % 7 AS VARCHAR) AS khoan, CASE WHEN doc_id % 3 = 0 THEN 'a' END AS diem
 FROM run JOIN documents ON doc_id = chunk_id WHERE rank <= 5""")
 def reranked_scan(spark, d):
     rows = MQ.run_rows(spark, d, I.rrf_run(spark, d).filter("rank <= 5"), ("text", "van_ban", "dieu", "khoan", "diem"))
-    item = F.struct("rank", "chunk_index", F.left("text", F.lit(40)).alias("passage"), F.round("score", 6).alias("ce_score"), "van_ban", "dieu", F.col("khoan").cast("int").alias("khoan"), "diem")
+    item = F.struct("rank", "chunk_index", F.col("text").alias("passage"), F.round("score", 6).alias("ce_score"), "van_ban", "dieu", F.col("khoan").cast("int").alias("khoan"), "diem")
     nested = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("top5_reranked"))
     records = nested.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("id"), "top5_reranked")
     return SD.reranked_rows(records).withColumn("rank", F.col("rank").cast("long"))
@@ -291,13 +291,11 @@ def chat_store_scan(spark, d):
 # ---- stores -----------------------------------------------------------------
 
 
-@query("store_commit", f"""WITH c AS (SELECT doc_id, text FROM documents WHERE doc_id < (SELECT count(*) FROM embeddings))
+@query("store_commit", f"""WITH c AS (SELECT doc_id, text FROM documents)
 SELECT (SELECT count(*) FROM c) AS n_chunks, (SELECT count(*) FROM c) AS n_vectors, (SELECT count(*) FROM c WHERE len({sql_tokens('text')}) > 0) AS n_postings, true AS consistent, true AS published, true AS rejected""")
 def store_commit(spark, d):
     root = fresh(spark, "store")
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    chunks = I.chunks(spark, d).join(vectors.select("chunk_id"), "chunk_id", "left_semi")
-    both = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    chunks, both = I.chunks(spark, d), I.chunk_vectors(spark, d)
     version = ST.commit(spark, root, chunks, both)
     try:
         ST.commit(spark, root, chunks, both.filter("chunk_id % 2 = 0"))

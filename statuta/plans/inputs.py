@@ -15,7 +15,7 @@ from statuta.sources.tables import table, text_table
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return text_table(spark, d, "documents", "doc_id")
+    return text_table(spark, d, "documents")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
-    return text_table(spark, d, "conversations", "conv_id").filter(F.col("role") == role).select("conv_id", "turn", "text")
+    return text_table(spark, d, "conversations").filter(F.col("role") == role).select("conv_id", "turn", "text")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -243,31 +243,27 @@ def sql_rrf(k: int, name: str = "rrf") -> str:
 
 RUN_K = 10
 _COLUMNS = ["query_id", "chunk_id", "score", "rank"]
-_RUNS: dict = {}
 
 
-def _once(spark, d, name, build):
-    """A ranked run is written once per session and folder, then read by every query on it."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _RUNS:
-        _RUNS[key] = stored(build().select(*_COLUMNS), f"run-{name}")
-    return _RUNS[key]
+def _run(name, ranked):
+    """A ranked run, written so that one query computes it once."""
+    return stored(ranked.select(*_COLUMNS), f"run-{name}")
 
 
 def bm25_run(spark, d):
-    return _once(spark, d, "bm25", lambda: R.bm25_topk(chunks(spark, d), queries(spark, d), RUN_K))
+    return _run("bm25", R.bm25_topk(chunks(spark, d), queries(spark, d), RUN_K))
 
 
 def tfidf_run(spark, d):
-    return _once(spark, d, "tfidf", lambda: R.tfidf_topk(chunks(spark, d), queries(spark, d), RUN_K))
+    return _run("tfidf", R.tfidf_topk(chunks(spark, d), queries(spark, d), RUN_K))
 
 
 def dense_run(spark, d):
-    return _once(spark, d, "dense", lambda: R.dense_topk(chunk_vectors(spark, d), query_vectors(spark, d), RUN_K))
+    return _run("dense", R.dense_topk(chunk_vectors(spark, d), query_vectors(spark, d), RUN_K))
 
 
 def rrf_run(spark, d):
-    return _once(spark, d, "rrf", lambda: R.rrf_merge([bm25_run(spark, d), dense_run(spark, d)]))
+    return _run("rrf", R.rrf_merge([bm25_run(spark, d), dense_run(spark, d)]))
 
 
 BM25_RUN = f"{BM25},\nrun AS (SELECT * FROM bm25 WHERE rank <= {RUN_K})"

@@ -157,10 +157,10 @@ def similar_to_positive(spark, d):
     return a.join(b, "doc_id").select("doc_id", R.similar(F.col("other"), F.col("text"), 0.3).alias("similar"))
 
 
-@query("phrase_scan_join", """SELECT item_id AS phrase_id, doc_id AS chunk_id FROM benchmark b JOIN documents t ON contains(lower(t.text), lower(substr(b.text, 1, 60)))
+@query("phrase_scan_join", """SELECT item_id AS phrase_id, doc_id AS chunk_id FROM benchmark b JOIN documents t ON contains(lower(t.text), lower(b.text))
 UNION ALL SELECT 1000000 + label, doc_id FROM (SELECT DISTINCT label FROM embeddings WHERE label < 3) JOIN documents ON contains(lower(text), 'que l' || substr('aeo', CAST(label + 1 AS BIGINT), 1))""")
 def phrase_scan_join(spark, d):
-    long = I.queries(spark, d).select(F.col("query_id").alias("phrase_id"), F.lower(F.left("query", F.lit(60))).alias("phrase"))
+    long = I.queries(spark, d).select(F.col("query_id").alias("phrase_id"), F.lower("query").alias("phrase"))
     short = table(spark, d, "embeddings").filter("label < 3").select("label").distinct().select(
         (F.col("label") + 1000000).cast("long").alias("phrase_id"), F.concat(F.lit("que l"), F.substring(F.lit("aeo"), F.col("label") + 1, F.lit(1))).alias("phrase")
     )

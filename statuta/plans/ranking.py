@@ -75,16 +75,17 @@ def topical_bonus(spark, d):
     return boosted(spark, d, B.bonus_amount)
 
 
-FORCED = f"""forced AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM (
+ALL_FORCED = f"""forced AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM (
   SELECT query_id, doc_id AS chunk_id, CASE WHEN merger AND contains(tl, {lit(BOOSTS.source)}) AND {_GROUP} THEN 1.3::DOUBLE WHEN merger AND contains(tl, {lit(BOOSTS.source)}) AND {_PLACES} THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS score
   FROM feat, (SELECT doc_id, lower(text) AS tl FROM documents)
   WHERE ((t_first AND {sql_any('tl', BOOSTS.topics[0].must)}) OR (t_second AND {sql_any('tl', BOOSTS.topics[1].must)})
-    OR (merger AND contains(tl, {lit(BOOSTS.source)}) AND ({_GROUP} OR {_PLACES}))) AND (query_id, doc_id) NOT IN (SELECT (query_id, chunk_id) FROM base))) WHERE n <= {CAP})"""
+    OR (merger AND contains(tl, {lit(BOOSTS.source)}) AND ({_GROUP} OR {_PLACES}))) AND (query_id, doc_id) NOT IN (SELECT (query_id, chunk_id) FROM base))) WHERE true)"""
+FORCED = ALL_FORCED.replace("WHERE true)", f"WHERE n <= {CAP})")
 
 
-@query("must_include", f"WITH {I.RRF_RUN}, {FEATURES}, base AS (SELECT query_id, chunk_id FROM run), {FORCED} SELECT query_id, chunk_id, score FROM forced")
+@query("must_include", f"WITH {I.RRF_RUN}, {FEATURES}, base AS (SELECT query_id, chunk_id FROM run), {ALL_FORCED} SELECT query_id, chunk_id, score FROM forced")
 def must_include(spark, d):
-    return B.must_include(I.rrf_run(spark, d), numbered_queries(spark, d), I.chunks(spark, d), CAP, BOOSTS)
+    return B.must_include(I.rrf_run(spark, d), numbered_queries(spark, d), I.chunks(spark, d), BOOSTS)
 
 
 @query("candidate_union_except", f"""WITH {I.RRF_RUN}, t AS (SELECT * FROM bm25 WHERE rank <= 10), x AS (SELECT query_id, chunk_id, score FROM run UNION ALL SELECT query_id, chunk_id, 0.5::DOUBLE FROM dense d

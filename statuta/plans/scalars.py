@@ -170,7 +170,7 @@ def cited_texts(spark, d):
     """One text per order line with up to three article mentions at varying distances."""
     s = lambda c: F.col(c).cast("string")
     gap = lambda n: F.repeat(F.lit("xin chào "), n)
-    li = text_table(spark, d, "lineitem", "l_orderkey")
+    li = text_table(spark, d, "lineitem")
     one = F.concat(F.lit("Theo khoản "), s("l_linenumber"), F.lit(" điểm "), F.lower("l_returnflag"), F.lit(" "), gap(F.col("l_linenumber")), F.lit("Điều "), s("l_suppkey"))
     two = F.concat(gap((F.col("l_partkey") % 17).cast("int")), F.lit(" và điều số "), (F.col("l_partkey") % 90).cast("string"), F.lit("a "), gap((F.col("l_suppkey") % 13).cast("int")), F.lit("Khoản số 4, Điểm đ"))
     none = F.concat(F.lit("Khoản 3 rồi khoản "), s("l_linenumber"), F.lit(" và khoản 3"))
@@ -209,9 +209,10 @@ def abstain_detect(spark, d):
     return I.answers(spark, d).select("answer_id", C.abstained(text).alias("abstain"))
 
 
-@query("conclusion_extract", f"""WITH {I.ANSWERS} SELECT answer_id, {sql_strip('txt')} AS conclusion FROM answers WHERE kind IN (0, 6)""")
+@query("conclusion_extract", f"""WITH {I.ANSWERS} SELECT answer_id, CASE WHEN kind IN (0, 6) THEN {sql_strip('txt')}
+  WHEN regexp_matches(raw, {lit(V.CONCLUSION_PATTERN)}) THEN {sql_strip("regexp_extract(regexp_replace(raw, '^[:\\s" + chr(34) + "]+', ''), " + lit(V.CONCLUSION_PATTERN) + ", 1)")} ELSE regexp_replace({sql_strip('raw')}, '^[:\\s"]+', '') END AS conclusion FROM answers""")
 def conclusion_extract(spark, d):
-    a = I.answers(spark, d).filter(F.col("kind").isin(0, 6))
+    a = I.answers(spark, d)
     prefixed = F.when(F.col("kind") == 0, F.concat(F.lit(' : "'), "txt", F.lit("\n Căn cứ pháp lý \nĐiều 1"))).otherwise(F.col("raw"))
     return a.select("answer_id", C.conclusion(prefixed).alias("conclusion"))
 
@@ -251,7 +252,7 @@ _LIMIT = int((1200 - 300 - 100) * 1.5)
 _TAIL = "'## CÂU HỎI:' || chr(10) || q || chr(10) || chr(10) || " + lit(V.PROMPT_REQUIREMENTS + V.PROMPT_JSON)
 
 
-@query("prompt_table", f"""WITH x AS (SELECT doc_id, substr(text, 1, 40) AS q, text AS c, CASE WHEN doc_id % 10 = 0 THEN repeat('S', 1100) ELSE {lit(_SYSTEM)} END AS s FROM documents),
+@query("prompt_table", f"""WITH x AS (SELECT doc_id, text AS q, text AS c, CASE WHEN doc_id % 10 = 0 THEN repeat('S', 1100) ELSE {lit(_SYSTEM)} END AS s FROM documents),
 y AS (SELECT *, {lit(V.PROMPT_CONTEXT)} || c || chr(10) || chr(10) AS head, {_TAIL} AS tail, {_LIMIT} - len(s) AS room FROM x),
 z AS (SELECT *, len(s) + len(head) + len(tail) > {_LIMIT} AS over, CASE WHEN room < 200 THEN {_LIMIT // 2} ELSE room END AS n FROM y)
 SELECT doc_id, CASE WHEN over AND room < 200 THEN substr(s, 1, {_LIMIT // 2}) ELSE s END AS system,
@@ -260,6 +261,6 @@ SELECT doc_id, CASE WHEN over AND room < 200 THEN substr(s, 1, {_LIMIT // 2}) EL
 def prompt_table(spark, d):
     docs = I.documents(spark, d)
     system = F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("S"), 1100)).otherwise(F.lit(_SYSTEM))
-    prompt = A.user_prompt(F.left("text", F.lit(40)), F.col("text"))
+    prompt = A.user_prompt(F.col("text"), F.col("text"))
     out = docs.select("doc_id", prompt.alias("p"), system.alias("s")).select("doc_id", A.fitted(F.col("p"), F.col("s"), 1200, 300).alias("x"))
     return out.select("doc_id", "x.prompt", "x.system")

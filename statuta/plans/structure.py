@@ -8,6 +8,7 @@ from statuta.operators import chunking as K
 from statuta.operators import cleaning as C
 from statuta.operators import structure as S
 from statuta.plans import inputs as I
+from statuta.plans.cleaning import PAGES, pages_of
 from statuta.plans.inputs import lit, sql_list, sql_strip
 from statuta.plans.registry import query
 from statuta.sources.tables import table
@@ -309,15 +310,12 @@ def token_windows(spark, d):
     return K.token_windows(I.documents(spark, d))
 
 
-@query("text_vs_scan", f"""WITH x AS (SELECT doc_id, p, CASE WHEN doc_id % 5 = 0 AND p > 0 THEN substr(text, 1, 30) ELSE text END AS t FROM
-  (SELECT doc_id, unnest(range(1, least(2, len(string_split(text, chr(10)))) + 1)) AS p, string_split(text, chr(10))[p] AS text FROM documents)),
-a AS (SELECT doc_id, CAST(sum(len({sql_strip('t')})) AS BIGINT) AS chars, coalesce(max(CASE WHEN p = 1 THEN len({sql_strip('t')}) END), 0) AS first FROM x GROUP BY doc_id)
+@query("text_vs_scan", f"""WITH {PAGES},
+a AS (SELECT doc_id, CAST(sum(len({sql_strip('text')})) AS BIGINT) AS chars, coalesce(max(CASE WHEN p = 1 THEN len({sql_strip('text')}) END), 0) AS first FROM pages_of GROUP BY doc_id)
 SELECT doc_id, chars, CASE WHEN chars < 100 THEN 'scan' ELSE 'text' END AS route, CASE WHEN first > 50 THEN 'text' ELSE 'scan' END AS route_first FROM a""")
 def text_vs_scan(spark, d):
-    docs = I.documents(spark, d)
-    pages = docs.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 2)).alias("i", "t"))
-    text = F.when(F.col("doc_id") % 5 == 0, F.left("t", F.lit(30))).otherwise(F.col("t"))
-    return K.text_or_scan(pages.select("doc_id", (F.col("i") + 1).alias("page_no"), text.alias("text")))
+    pages = pages_of(I.documents(spark, d)).withColumn("page_no", F.regexp_extract("page_key", "[0-9]+", 0).cast("int"))
+    return K.text_or_scan(pages.select("doc_id", "page_no", "text"))
 
 
 _TERMS = ["the on", "in the", "that", "under", "und die", "la que", "nicht"]

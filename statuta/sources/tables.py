@@ -8,11 +8,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table of texts, spread by ``key`` when it comes in fewer pieces than there are cores.
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, spread when it comes in fewer pieces than there are cores.
 
-    Text work is CPU-bound; a table of many files is left as it is.
+    Text work is CPU-bound; a table of many files is left as it is. The spread follows no key, so no operator can build on it.
     """
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

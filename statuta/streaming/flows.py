@@ -1,6 +1,7 @@
 """Live flows as Structured Streaming jobs, each with the batch form of its result."""
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -116,17 +117,16 @@ def _admission(limit: int, seconds: int):
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
+        passed = deque(state.get[0] if state.exists else [], maxlen=limit)
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
         status = []
         for us in rows["us"]:
-            recent = [t for t in recent if us - t < span]
-            if len(recent) < limit:
-                recent.append(int(us))
-                status.append(200)
-            else:
-                status.append(429)
-        state.update((recent,))
+            # times come in order, so the oldest of the last `limit` that passed decides alone
+            held = len(passed) == limit and us - passed[0] < span
+            status.append(429 if held else 200)
+            if not held:
+                passed.append(int(us))
+        state.update((list(passed),))
         last = max(int(rows["us"].iloc[-1]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1)
         state.setTimeoutTimestamp(last)
         yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "ts": rows["ts"], "status": pd.array(status, dtype="int32")})

@@ -245,17 +245,30 @@ def test_must_include_keeps_what_a_cap_needs(spark):
     chunks = spark.createDataFrame([(i, "Đăng ký khai sinh" if i % 2 else "khác") for i in range(40)], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, "làm giấy khai sinh"), (2, "khác")], "query_id long, query string")
     listed = ranks(spark, [(1, 1, 1, 0.03), (1, 3, 2, 0.02)])
-    forced = B.must_include(listed, queries, chunks, 5).orderBy("chunk_id").collect()
+    forced = B.must_include(listed, queries, chunks, cap=5).orderBy("chunk_id").collect()
     assert [(r["query_id"], r["chunk_id"], r["score"]) for r in forced] == [(1, c, 0.5) for c in (5, 7, 9, 11, 13)]
 
 
+def test_must_include_is_whole_without_a_cap(spark):
+    chunks = spark.createDataFrame([(i, "Đăng ký khai sinh" if i % 2 else "khác") for i in range(400)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "làm giấy khai sinh"), (2, "khác")], "query_id long, query string")
+    forced = B.must_include(ranks(spark, [(1, 1, 1, 0.03)]), queries, chunks).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["score"]) for r in forced) == [(1, c, 0.5) for c in range(3, 400, 2)]
+
+
+def test_prefix_dedup_of_whole_texts(spark):
+    df = spark.createDataFrame([(1, 1, "a" * 200 + "x"), (1, 2, "a" * 200 + "y"), (1, 3, "a" * 200 + "x")], "query_id long, rank int, text string")
+    assert [r["rank"] for r in B.prefix_dedup(df).collect()] == [1]
+    assert sorted(r["rank"] for r in B.prefix_dedup(df, length=None).collect()) == [1, 2]
+
+
 def test_merger_boost(spark):
     text = "nghị quyết số: 202/2025/qh15 sắp xếp toàn bộ diện tích tự nhiên, quy mô dân số của thành phố hồ chí minh, tỉnh bà rịa - vũng tàu và tỉnh bình dương thành"
     chunks = spark.createDataFrame([(1, text)], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, "Hồ Chí Minh sáp nhập với tỉnh nào")], "query_id long, query string")
     row = B.boosted(ranks(spark, [(1, 1, 1, 0.0)]), queries, chunks, B.boost_amount, 1).first()
     assert row["boost"] == pytest.approx(0.08 + 0.70 + 0.25 + 0.18)
-    forced = B.must_include(ranks(spark, [(9, 9, 1, 0.0)]), queries, chunks, 5).first()
+    forced = B.must_include(ranks(spark, [(9, 9, 1, 0.0)]), queries, chunks).first()
     assert forced["score"] == 1.30
 
 
@@ -330,11 +343,34 @@ def test_diversify(spark):
     assert [r["rank"] for r in X.diversify(df).orderBy("position").collect()] == [1, 3, 5]
 
 
-def test_trim():
-    text = "Mở đầu. " + "a" * 300 + ". Có thẩm quyền ở đây. " + "b" * 300
-    assert X.trim(text, ["thẩm quyền"]) == "...Có thẩm quyền ở đây. ..." or X.trim(text, ["thẩm quyền"]).startswith("...Có thẩm quyền ở đây.")
-    assert X.trim("ngắn", ["ngắn"]) == "ngắn"
-    assert X.union_spans([(5, 9), (0, 5), (12, 14)]) == [(0, 9), (12, 14)]
+def trimmed(spark, text, words):
+    df = spark.createDataFrame([(1, 1, text, words)], "query_id long, chunk_id long, text string, keywords array<string>")
+    return X.trim_rows(df).first()["trimmed"]
+
+
+def test_trim(spark):
+    a, b = "a" * 300, "b" * 300
+    text = f"Mở đầu. {a}. Có thẩm quyền ở đây. {b}"
+    assert trimmed(spark, text, ["thẩm quyền"]) == "...Có thẩm quyền ở đây...."
+    assert trimmed(spark, text, ["vắng"]) == text and trimmed(spark, text, []) == text and trimmed(spark, "ngắn", ["ngắn"]) == "ngắn"
+    assert trimmed(spark, text, [".*"]) == text  # words are no patterns
+    # a long word run without marks is cut by reach
+    assert trimmed(spark, "x" * 600 + " luật " + "y" * 600, ["luật"]) == "..." + "x" * 249 + " luật " + "y" * 249 + "..."
+    # sentences that touch are one; line breaks end a sentence
+    line = f"{a}\nMột luật. Hai luật.\n{b}"
+    assert trimmed(spark, line, ["luật"]) == "...Một luật. Hai luật...."
+    assert trimmed(spark, f"{a}\nMột luật.\n{b}\nHai luật.\nba", ["luật"]) == "...Một luật.... ...Hai luật...."
+
+
+def test_trim_keeps_a_legal_block(spark):
+    text = "Điều 1. " + "a" * 500 + ".\nĐiều 2. Về luật. Gì đó. " + "c" * 200 + "\nĐiều 3. " + "d" * 300
+    assert trimmed(spark, text, ["luật"]) == "...Điều 2. Về luật. Gì đó. " + "c" * 200 + "..."
+    # too long a block is left out
+    text = "Điều 1. " + "a" * 900 + ". Về luật này. " + "c" * 300 + ".\nĐiều 3. " + "d" * 300
+    assert trimmed(spark, text, ["luật"]) == "...Về luật này...."
+    # the header that ends the search, behind the last hit but before the first one
+    text = "b muộn. " + "a" * 500 + "\nĐiều 3. " + "d" * 300 + ". Đầu tiên x. " + "e" * 300
+    assert trimmed(spark, text, ["đầu tiên", "muộn"]).startswith("b muộn....") and "Đầu tiên x" in trimmed(spark, text, ["đầu tiên", "muộn"])
 
 
 def test_interval_merge_blocks(spark):
@@ -440,3 +476,25 @@ def test_rate_limit(spark, tmp_path):
         want[i] = 200 if len(recent) < 30 else 429
         passed += [s] if want[i] == 200 else []
     assert {i: got[i] for i in want} == want
+
+
+# ---- counts and scratch space -------------------------------------------------
+
+
+@pytest.mark.parametrize("seconds,block", [(7200, 3600), (60, 3600), (100, 7), (1, 1), (3600, 3600), (50_000, 3600)])
+def test_trailing_count_brute_force(spark, seconds, block):
+    rng = random.Random(seconds)
+    rows = [(rng.randrange(2), i, rng.randrange(20_000)) for i in range(150)]
+    df = spark.createDataFrame(rows, "client long, request_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["request_id"]: r["trailing"] for r in P.trailing_count(df, seconds, block).collect()}
+    assert got == {i: sum(c == d and 0 <= t - u < seconds for d, _, u in rows) for c, i, t in rows}
+
+
+def test_unset_scratch_folder_says_what_to_set():
+    from statuta import session
+
+    class Unset:
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Unset)
