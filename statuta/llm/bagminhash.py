@@ -366,12 +366,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, the one of the smallest id, with all columns; rows without a key or text stay."""
     found = classes(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    lead = stored(found.groupBy("doc_id").agg(F.min("class_id").alias("class"), F.count("*").alias("rows")).filter("doc_id = class"), "lead")
-    key, times = "lead_id", "lead_rows"
-    while {key, times} & {c.lower() for c in docs.columns}:
-        key, times = f"{key}_", f"{times}_"
-    lead = lead.select(F.col("doc_id").alias(key), F.col("rows").alias(times))
-    rows = docs.join(lead, docs["doc_id"].cast("long") == lead[key])
-    once = rows.filter(F.col(times) == 1).select(*[docs[c] for c in docs.columns])
-    repeated = rows.filter(F.col(times) > 1).dropDuplicates([key]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()))
+    ids = stored(found.groupBy("doc_id").agg(F.min("class_id").alias("class"), F.count("*").alias("rows")), "ids")
+    key = "out_id"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias(key))
+        return F.broadcast(rows) if within(rows, BROADCAST_ROWS) else rows
+
+    same = (docs["doc_id"].cast("long") == F.col(key)) & docs["text"].isNotNull()
+    # the documents that go are far fewer than those that stay; rows of one id are rare
+    out = docs.join(named(ids.filter("doc_id != class or rows > 1")), same, "left_anti")
+    repeated = ids.filter("doc_id = class and rows > 1")
+    if repeated.limit(1).count():
+        out = out.unionByName(docs.join(named(repeated), same, "left_semi").dropDuplicates(["doc_id"]))
+    return out

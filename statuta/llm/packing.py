@@ -33,7 +33,7 @@ CLOSING = 1
 BLOCK_ROWS = 50_000
 LEAST_SALTS = 64
 #: Words a task remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Tokenizer:
