@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,8 +102,88 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     )
 
 
+#: Rows (query, term) that one pass over the chunks scores at most, about.
+PASS_TERMS = 100_000
+
+
+def _found_terms(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, term number, tf) of the wanted terms in each row, and every row's token count (-1: none)."""
+    tokens_ = batch.column("toks")
+    flat, lengths = tokens_.flatten(), pc.fill_null(pc.list_value_length(tokens_), -1).to_numpy(zero_copy_only=False)
+    number = pc.index_in(flat, value_set=terms)
+    at = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(batch.num_rows), np.maximum(lengths, 0))[at]
+    key, tf = np.unique(row.astype(np.int64) * len(terms) + number.take(pa.array(at)).to_numpy(), return_counts=True)
+    return key // len(terms), key % len(terms), tf, lengths
+
+
+def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k: int, k1: float, b: float) -> DataFrame:
+    """Best ``k`` chunks of each task for the queries of ``wanted(query_id, term, qtf)``: a chunk is scored where its text is."""
+    names = sorted(set(wanted["term"]))
+    terms = pa.array(names, pa.string())
+    ids, query = np.unique(wanted["query_id"], return_inverse=True)
+    term = np.searchsorted(np.array(names, object), wanted["term"].to_numpy(object))
+
+    def statistics(batches):
+        df, n, counted, total = np.zeros(len(terms), np.int64), 0, 0, 0
+        for batch in batches:
+            _, found, _, lengths = _found_terms(batch, terms)
+            df += np.bincount(found, minlength=len(terms))
+            n, counted, total = n + batch.num_rows, counted + int((lengths >= 0).sum()), total + int(lengths[lengths >= 0].sum())
+        at = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.concatenate([at, [-1, -2, -3]]), pa.int64()), pa.array(np.concatenate([df[at], [n, counted, total]]), pa.int64())], ["number", "n"])
+
+    found = rows.select("toks").mapInArrow(statistics, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    sums = dict(zip(found["number"].to_pylist(), found["n"].to_pylist()))
+    df = np.array([sums.get(i, 0) for i in range(len(terms))], float)
+    n, average = sums.get(-1, 0), sums.get(-3, 0) / max(1, sums.get(-2, 0))
+    weight = wanted["qtf"].to_numpy() * np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+    order = np.argsort(term, kind="stable")
+    query, weight = query[order], weight[order]
+    starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def best(q, chunk, score):
+        """The first ``k`` of each query in the order of ``top_ranked``."""
+        place = np.lexsort((chunk, -np.round(score, 9), q))
+        q, chunk, score = q[place], chunk[place], score[place]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < k
+        return q[keep], chunk[keep], score[keep]
+
+    def scored(batches):
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, number, tf, lengths = _found_terms(part, terms)
+                share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / average)) if len(row) else np.zeros(0)
+                size = starts[number + 1] - starts[number]
+                pair = np.repeat(np.arange(len(row)), size)
+                own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+                key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
+                score = np.bincount(inverse, weight[own] * share[pair], len(key))
+                chunk = part.column("chunk_id").to_numpy()[key // len(ids)]
+                held = best(*(np.concatenate(x) for x in zip(held, (key % len(ids), chunk, score))))
+        yield pa.record_batch([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "chunk_id", "score"])
+
+    return rows.mapInArrow(scored, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 150, k1: float = K1, b: float = B) -> DataFrame:
-    return top_ranked(bm25_scores(chunks, queries, k1, b), k)
+    """The best ``k`` of ``bm25_scores``. Chunks are scored in the rows that hold them, and only each task's best are shuffled.
+
+    Many queries are taken in passes of about ``PASS_TERMS`` query terms.
+    """
+    terms = query_terms(queries)
+    passes = max(1, -(-terms.count() // PASS_TERMS))
+    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("toks"))
+    kinds = tuple(d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    out = None
+    for i in range(passes):
+        wanted = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
+        part = _bm25_pass(rows, wanted, kinds, k, k1, b)
+        out = part if out is None else out.unionByName(part)
+    return top_ranked(out, k)
 
 
 # ---- n-gram search ----------------------------------------------------------

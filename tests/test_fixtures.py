@@ -229,6 +229,12 @@ def test_bm25_brute_force_and_salted(spark, monkeypatch):
                 want[q, c] = pytest.approx(sum(parts))
     got = lambda: {(r["query_id"], r["chunk_id"]): r["score"] for r in R.bm25_scores(chunks, queries).collect()}
     assert got() == want
+    ranked = lambda: sorted(tuple(r) for r in R.bm25_topk(chunks, queries, 3).select("query_id", "rank", "chunk_id").collect())
+    best = [(q, n + 1, c) for q in (1, 2) for n, (_, c) in enumerate(sorted((-round(s.expected, 9), c) for (p, c), s in want.items() if p == q)[:3])]
+    assert ranked() == best
+    monkeypatch.setattr(R, "PASS_TERMS", 2)
+    assert ranked() == best
+    assert R.bm25_topk(chunks, queries.filter("query_id = 3"), 3).collect() == R.bm25_topk(chunks.limit(0), queries, 3).collect() == []
     monkeypatch.setattr(joins, "within", lambda df, rows: False)
     assert got() == want
 
