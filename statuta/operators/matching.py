@@ -28,9 +28,11 @@ def cascade_enrich(corpus: DataFrame, known: DataFrame, heuristics: list[tuple[C
     texts = known.groupBy(by_text.alias("_text_key")).agg(F.max_by(value, "pos").alias("_by_text"))
     places = known.groupBy(by_place.alias("_place_key")).agg(F.max_by(value, "pos").alias("_by_place"))
     empty = blank(F.col("source_file"))
+    # rows that need nothing get keys of their own: they match nothing and do not meet in one task
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
     out = (
-        corpus.withColumn("_text_key", F.when(empty, by_text))
-        .withColumn("_place_key", F.when(empty, by_place))
+        corpus.withColumn("_text_key", F.when(empty, by_text).otherwise(own))
+        .withColumn("_place_key", F.when(empty, by_place).otherwise(own))
         .join(texts, "_text_key", "left")
         .join(places, "_place_key", "left")
     )

@@ -43,43 +43,121 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 # ---- versions ---------------------------------------------------------------
+# A version is a list of steps, each a folder: a part (chunks, vectors and postings of added rows), or a list of chunk ids that are gone
+# from the parts before it. A change writes its own rows only; what is published is one pointer row with the whole list.
 
+STORES = ("chunks", "vectors", "postings")
+_POINTER = "version string, published bigint, steps array<string>"
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Name of the published version: the latest pointer row."""
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        pointers = spark.read.schema("version string, published bigint").parquet(f"{root}/pointer")
-        row = pointers.orderBy(F.col("published").desc()).first()
+        return spark.read.schema(_POINTER).parquet(f"{root}/pointer")
     except Exception as error:  # a store never published has no pointer folder
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
+
+
+def _current(spark: SparkSession, root: str):
+    rows = _pointers(spark, root)
+    return rows.orderBy(F.col("published").desc(), "version").first() if rows is not None else None
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Name of the published version: the latest pointer row."""
+    row = _current(spark, root)
     return row["version"] if row else None
 
 
+def _tables(spark: SparkSession, root: str, steps: list[str]) -> dict[str, DataFrame]:
+    """The stores after all steps."""
+    out: dict[str, DataFrame] = {}
+    for step in steps:
+        for name in STORES:
+            if step.startswith("gone-"):
+                out[name] = out[name].join(spark.read.parquet(f"{root}/{step}"), "chunk_id", "left_anti")
+            else:
+                part = spark.read.parquet(f"{root}/{step}/{name}")
+                out[name] = out[name].unionByName(part) if name in out else part
+    return out
+
+
 def read_version(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in ("chunks", "vectors", "postings")}
+    steps = _pointers(spark, root).filter(F.col("version") == version).first()["steps"]
+    return _tables(spark, root, steps)
 
 
-def commit(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame) -> str:
-    """Write a new version of the three stores, check their counts, then publish it.
+def _write_part(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame) -> str:
+    part = f"part-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{root}/{part}/chunks")
+    vectors.write.parquet(f"{root}/{part}/vectors")
+    postings(spark.read.parquet(f"{root}/{part}/chunks")).write.parquet(f"{root}/{part}/postings")
+    return part
 
-    Nothing points at a version whose check fails, so the old one stays current.
-    """
-    previous = current_version(spark, root)
-    version = f"v-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{root}/{version}/chunks")
-    vectors.write.parquet(f"{root}/{version}/vectors")
-    staged = spark.read.parquet(f"{root}/{version}/chunks")
-    postings(staged).write.parquet(f"{root}/{version}/postings")
-    counts = store_stats(read_version(spark, root, version)).first()
-    if not counts["consistent"]:
+
+def _publish(spark: SparkSession, root: str, steps: list[str], chunks: int | None = None) -> str:
+    """Check the counts of what the steps give, then point at them; a check that fails leaves the old version current."""
+    counts = store_stats(_tables(spark, root, steps)).first()
+    if not counts["consistent"] or (chunks is not None and counts["n_chunks"] != chunks):
         raise ValueError(f"store counts disagree: {counts.asDict()}")
-    number = 1 if previous is None else spark.read.parquet(f"{root}/pointer").count() + 1
-    spark.createDataFrame([(version, number)], "version string, published bigint").write.mode("append").parquet(f"{root}/pointer")
+    old, version = _current(spark, root), f"v-{uuid.uuid4().hex}"
+    number = old["published"] + 1 if old else 1
+    spark.createDataFrame([(version, number, steps)], _POINTER).write.mode("append").parquet(f"{root}/pointer")
+    if _pointers(spark, root).filter(F.col("published") == number).count() > 1:
+        raise RuntimeError(f"version number {number} was taken by another writer")
     return version
 
 
+def commit(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame) -> str:
+    """Publish a version that holds exactly these rows."""
+    return _publish(spark, root, [_write_part(spark, root, chunks, vectors)])
+
+
+def append(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame) -> str:
+    """Publish the current version and further rows: new ids, vectors of the same length. Only the new rows are written."""
+    old = _current(spark, root)
+    if old is None:
+        return commit(spark, root, chunks, vectors)
+    before = _tables(spark, root, old["steps"])
+    counts = store_stats(before).first()
+    if not counts["consistent"]:
+        raise ValueError(f"store counts disagree before the change: {counts.asDict()}")
+    part = _write_part(spark, root, chunks, vectors)
+    new = {name: spark.read.parquet(f"{root}/{part}/{name}") for name in STORES}
+    lengths = before["vectors"].limit(1).unionByName(new["vectors"]).agg(F.count_distinct(F.size("embedding")).alias("n")).first()["n"]
+    if lengths > 1:
+        raise ValueError("vectors differ in length from those of the store")
+    if not new["chunks"].join(before["chunks"].select("chunk_id"), "chunk_id", "left_semi").isEmpty():
+        raise ValueError("chunk ids are already in the store")
+    return _publish(spark, root, [*old["steps"], part], counts["n_chunks"] + new["chunks"].count())
+
+
+def delete(spark: SparkSession, root: str, target: Column) -> str:
+    """Publish the current version without the targeted chunks, their vectors and postings; no such chunk is an error."""
+    old = _current(spark, root)
+    chunks = _tables(spark, root, old["steps"])["chunks"] if old else None
+    gone = f"gone-{uuid.uuid4().hex}"
+    if chunks is None or chunks.filter(target).isEmpty():
+        raise LookupError("no rows of these documents")
+    chunks.filter(target).select("chunk_id").distinct().write.parquet(f"{root}/{gone}")
+    left = chunks.count() - spark.read.parquet(f"{root}/{gone}").count()
+    return _publish(spark, root, [*old["steps"], gone], left)
+
+
+def repair_version(spark: SparkSession, root: str, target: Column, wrong: str, right: str) -> str:
+    """Publish the current version with a phrase replaced in the targeted chunks; only these are written anew. No hit is an error."""
+    old = _current(spark, root)
+    tables = _tables(spark, root, old["steps"]) if old else None
+    fixed = repair(tables["chunks"], target, wrong, right).filter("repaired").drop("repaired") if old else None
+    if fixed is None or fixed.isEmpty():
+        raise LookupError("no row holds the phrase")
+    gone = f"gone-{uuid.uuid4().hex}"
+    fixed.select("chunk_id").write.parquet(f"{root}/{gone}")
+    part = _write_part(spark, root, fixed, tables["vectors"].join(spark.read.parquet(f"{root}/{gone}"), "chunk_id", "left_semi"))
+    return _publish(spark, root, [*old["steps"], gone, part], tables["chunks"].count())
+
+
 def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the count of each store and whether vectors and chunks agree.
 

@@ -17,10 +17,9 @@ def parsed_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFr
     return kept.withColumn("row", row).withColumn("is_bad", F.col("row._bad").isNotNull())
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, one row with n_malformed). ``max_rows`` counts physical lines, as they come."""
-    lines = spark.read.text(path)
-    parsed = parsed_lines(lines if max_rows is None else lines.limit(max_rows), schema)
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, one row with n_malformed)."""
+    parsed = parsed_lines(spark.read.text(path), schema)
     names = spark.createDataFrame([], schema).columns
     good = parsed.filter("NOT is_bad").select(*[F.col(f"row.{n}").alias(n) for n in names])
     return good, parsed.agg(F.count_if("is_bad").alias("n_malformed"))

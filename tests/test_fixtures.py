@@ -447,6 +447,31 @@ def test_store_versions(spark, tmp_path):
         ST.doc_delete({"chunks": chunks.withColumn("_key", F.col("chunk_id"))}, spark.createDataFrame([(9,)], "_key long"))
 
 
+def test_store_changes(spark, tmp_path):
+    """Append, repair and delete write their own rows only; every version stays readable."""
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id long, text string")
+    vecs = lambda *ids, n=1: spark.createDataFrame([(i, [1.0] * n) for i in ids], "chunk_id long, embedding array<float>")
+    root = str(tmp_path / "store")
+    texts = lambda version: {r["chunk_id"]: r["text"] for r in ST.read_version(spark, root, version)["chunks"].collect()}
+    terms = lambda version: sorted(r["term"] for r in ST.read_version(spark, root, version)["postings"].collect())
+    with pytest.raises(LookupError):
+        ST.delete(spark, root, F.lit(True))
+    first = ST.append(spark, root, rows((0, "a b"), (1, "c")), vecs(0, 1))
+    second = ST.append(spark, root, rows((2, "d")), vecs(2))
+    assert texts(first) == {0: "a b", 1: "c"} and texts(second) == {0: "a b", 1: "c", 2: "d"} and terms(second) == ["a", "b", "c", "d"]
+    for chunks, vectors_, why in ((rows((2, "x")), vecs(2), "already"), (rows((3, "x")), vecs(3, n=2), "length"), (rows((3, "x")), vecs(3, 4), "disagree")):
+        with pytest.raises(ValueError, match=why):
+            ST.append(spark, root, chunks, vectors_)
+    third = ST.repair_version(spark, root, F.col("chunk_id") == 0, "b", "e")
+    assert texts(third)[0] == "a e" and terms(third) == ["a", "c", "d", "e"] and texts(second)[0] == "a b"
+    fourth = ST.delete(spark, root, F.col("chunk_id") < 2)
+    assert texts(fourth) == {2: "d"} and terms(fourth) == ["d"] and ST.read_version(spark, root, fourth)["vectors"].count() == 1
+    for change in (lambda: ST.delete(spark, root, F.col("chunk_id") == 0), lambda: ST.repair_version(spark, root, F.lit(True), "zzz", "y")):
+        with pytest.raises(LookupError):
+            change()
+    assert ST.current_version(spark, root) == fourth
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
     good, bad = SL.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a bigint")
