@@ -1,15 +1,16 @@
 """Joins of the corpus with expectations, citations, stores and phrases."""
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.citations import blank, matches
-from statuta.functions.keywords import word_runs
 from statuta.functions.text import bare_key
-from statuta.joins import lookup, sized_join
-from statuta.unfold import unfold
+from statuta.joins import lookup
 
 
 def cascade_enrich(corpus: DataFrame, known: DataFrame, heuristics: list[tuple[Column, str]]) -> DataFrame:
@@ -135,28 +136,47 @@ def duplicate_check(files: DataFrame, store: DataFrame) -> DataFrame:
     return out.withColumn("already_exists", F.col("stored_chunks") > 0)
 
 
+#: Phrases that one pass over the chunks looks for at most, about.
+PASS_PHRASES = 100_000
+
+
 def phrase_scan(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase_id, chunk_id) of chunks whose lower-case text holds the phrase.
 
-    A word inside a phrase, away from its ends, is a whole word of every text that holds
-    it. The longest one joins phrases and chunks; only those pairs are compared in full.
-    Phrases without such a word are tested everywhere, which is what they ask for.
+    Every text is read once, in the row that holds it, by an automaton over all phrases of a pass; nothing but the
+    result leaves the row. An empty phrase is in every text.
     """
-    inner = F.filter(
-        word_runs(F.regexp_replace(F.col("phrase"), r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+$", "")), lambda w: w != ""
-    )
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
-    anchored = phrases.withColumn("anchor", F.when(F.size(inner) > 0, longest["w"]))
-    low = chunks.select("chunk_id", F.lower("text").alias("low"))
-    words = unfold(low, ["chunk_id"], F.array_distinct(word_runs(F.col("low"))), "anchor")
-    pairs = sized_join(words, anchored.filter("anchor is not null").select("phrase_id", "anchor"), ["anchor"], ["chunk_id"], measure=phrases)
-    texts = low.join(pairs.select("phrase_id", "chunk_id"), "chunk_id")
-    verified = texts.join(phrases, "phrase_id").filter(F.contains("low", F.col("phrase"))).select("phrase_id", "chunk_id")
-    loose = anchored.filter("anchor is null").select("phrase_id", "phrase")
-    if loose.isEmpty():
-        return verified
-    everywhere = low.join(F.broadcast(loose) if loose.count() <= 1000 else loose, F.contains("low", F.col("phrase")))
-    return verified.unionByName(everywhere.select("phrase_id", "chunk_id"))
+    import ahocorasick
+
+    phrases = phrases.select("phrase_id", "phrase").filter(F.col("phrase").isNotNull())
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((phrases, "phrase_id"), (chunks, "chunk_id"))]
+    rows = chunks.filter(F.col("text").isNotNull()).select("chunk_id", F.lower("text").alias("low"))
+    passes = max(1, -(-phrases.count() // PASS_PHRASES))
+
+    def one_pass(part: int) -> DataFrame:
+        ids: dict[str, list] = {}
+        for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == part).toLocalIterator():
+            ids.setdefault(r["phrase"], []).append(r["phrase_id"])
+        always = ids.pop("", [])
+
+        def scan(batches):
+            automaton = ahocorasick.Automaton()
+            for phrase in ids:
+                automaton.add_word(phrase, phrase)
+            automaton.make_automaton()
+            for batch in batches:
+                found, at = [], []
+                for i, low in enumerate(batch.column("low").to_pylist()):
+                    held = {phrase for _, phrase in automaton.iter(low)} if ids else ()
+                    own = always + [number for phrase in held for number in ids[phrase]]
+                    found += own
+                    at += [i] * len(own)
+                yield pa.record_batch([pa.array(found, numbers), batch.column("chunk_id").take(pa.array(at, pa.int64()))], ["phrase_id", "chunk_id"])
+
+        numbers = {"string": pa.string(), "int": pa.int32()}.get(kinds[0], pa.int64())
+        return rows.mapInArrow(scan, f"phrase_id {kinds[0]}, chunk_id {kinds[1]}")
+
+    return reduce(DataFrame.unionByName, [one_pass(i) for i in range(passes)])
 
 
 def conversation_join(users: DataFrame, conversations: DataFrame, messages: DataFrame, owner: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.text import collapsed_key, strip
-from statuta.joins import sized_join
+from statuta.joins import BROADCAST_ROWS, within
 from statuta.operators.ranges import numbered, prefix_sum
 
 
@@ -166,7 +166,8 @@ def percentile_rank(rows: DataFrame, score: str) -> DataFrame:
     """Add ``percentile``: the share of scores strictly below."""
     counts = rows.groupBy(score).agg(F.count("*").alias("n"))
     below = prefix_sum(counts, score, "n", "below").select(score, "below")
-    out = sized_join(rows, below, [score], rows.columns, measure=below)
+    # where the values are many, so are the tasks that they are dealt to, and adaptive execution splits a common one
+    out = rows.join(F.broadcast(below) if within(below, BROADCAST_ROWS) else below, score)
     return out.withColumn("percentile", F.col("below") / rows.agg(F.count("*")).scalar()).drop("below")
 
 

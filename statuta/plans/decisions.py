@@ -217,7 +217,7 @@ b AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY start, stop ROWS UNBOUNDE
 def interval_merge(spark, d):
     start = F.unix_seconds(F.col("ts").cast("timestamp"))
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), start.alias("start"), (start + F.floor(F.col("value") * 60).cast("long")).alias("stop"))
-    return X.interval_merge(rows, 86400)
+    return X.interval_merge(rows)
 
 
 @query("context_assemble", f"""WITH RECURSIVE {DIVERSE}, x AS (SELECT query_id, position, '[' || position || '] [VB: ' || van_ban || ', Chương I, Điều ' || dieu || ', Khoản ' || (chunk_id % 7) || CASE WHEN chunk_id % 3 = 0 THEN ', Điểm a' ELSE '' END || ']' || chr(10) || text AS t FROM chosen JOIN keyed USING (query_id, chunk_id)),

@@ -278,10 +278,12 @@ def test_merger_boost(spark):
     assert forced["score"] == 1.30
 
 
-def test_phrase_scan_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_phrase_scan_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "PASS_PHRASES", most)
     docs = corpus(spark)
     chunks = spark.createDataFrame(docs, "chunk_id long, text string")
-    phrases = [(1, "w1 the w2"), (2, "w3"), (3, "1 w"), (4, "the the w5 t")]
+    phrases = [(1, "w1 the w2"), (2, "w3"), (3, "1 w"), (4, "the the w5 t"), (5, "w3"), (6, "")]
     got = {tuple(r) for r in M.phrase_scan(chunks, spark.createDataFrame(phrases, "phrase_id long, phrase string")).collect()}
     assert got == {(p, c) for p, ph in phrases for c, t in docs if ph in t}
 
@@ -379,11 +381,23 @@ def test_trim_keeps_a_legal_block(spark):
     assert trimmed(spark, text, ["đầu tiên", "muộn"]).startswith("b muộn....") and "Đầu tiên x" in trimmed(spark, text, ["đầu tiên", "muộn"])
 
 
-def test_interval_merge_blocks(spark):
-    rows = [(1, 0, 5), (1, 5, 9), (1, 12, 14), (1, 9, 11)]
+def test_interval_merge(spark):
+    rows = [(1, 0, 5), (1, 5, 9), (1, 12, 14), (1, 9, 11), (None, 3, 4), (None, 4, 6)]
     df = spark.createDataFrame(rows, "key long, start long, stop long")
-    for block in (3, 1000):
-        assert sorted(tuple(r) for r in X.interval_merge(df, block).collect()) == [(1, 0, 11), (1, 12, 14)]
+    assert sorted((tuple(r) for r in X.interval_merge(df).collect()), key=str) == [(1, 0, 11), (1, 12, 14), (None, 3, 6)]
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2]), s := rng.randrange(60_000), s + rng.choice([0, 3, 20, 2000 * (rng.random() < 0.02)])) for _ in range(3000)]
+    want = []
+    for key in (1, 2):
+        top = None
+        for _, a, b in sorted(r for r in rows if r[0] == key):
+            if top is not None and a <= top:
+                top = max(top, b)
+                want[-1] = (key, want[-1][1], top)
+            else:
+                top = b
+                want.append((key, a, b))
+    assert sorted(tuple(r) for r in X.interval_merge(spark.createDataFrame(rows, "key long, start long, stop long")).collect()) == want
 
 
 def test_follow_up(spark):
