@@ -126,14 +126,17 @@ def eval_hit_fallback(spark, d):
     return out.select("query_id", "abstain", "citation_hit")
 
 
-@query("version_comparison", "WITH " + f"{I.BM25}, {I.TFIDF}, {I.DENSE}, {I.sql_rrf(10)}, {MQ.GOLD}, " + """runs AS (SELECT 'bm25' AS version, query_id, chunk_id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'tfidf', query_id, chunk_id, rank FROM tfidf WHERE rank <= 10
-  UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rrf),
+@query("version_comparison", "WITH " + f"{I.BM25}, {I.TFIDF}, {I.DENSE}, {I.sql_rrf(10)}, {MQ.GOLD}, full_chain AS (WITH {RQ.HYBRID} SELECT query_id, chunk_id, rank FROM hybrid WHERE rank <= 10), " + """runs AS (SELECT 'bm25' AS version, query_id, chunk_id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'tfidf', query_id, chunk_id, rank FROM tfidf WHERE rank <= 10
+  UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM rrf
+  UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM full_chain),
 h AS (SELECT version, r.query_id, min(r.rank) AS best FROM runs r JOIN chunks c USING (chunk_id) WHERE """ + MQ.HIT + f""" GROUP BY ALL),
 pq AS (SELECT v.version, item_id, CASE WHEN best <= 1 THEN 1 ELSE 0 END AS hit1, CASE WHEN best <= 3 THEN 1 ELSE 0 END AS hit3, CASE WHEN best <= 5 THEN 1 ELSE 0 END AS hit5, CASE WHEN best <= 5 THEN round(1.0::DOUBLE / best, 4) ELSE 0.0::DOUBLE END AS mrr
-  FROM benchmark CROSS JOIN (VALUES ('bm25'), ('tfidf'), ('dense'), ('hybrid')) v(version) LEFT JOIN h ON h.query_id = item_id AND h.version = v.version)
+  FROM benchmark CROSS JOIN (VALUES ('bm25'), ('tfidf'), ('dense'), ('rrf'), ('hybrid')) v(version) LEFT JOIN h ON h.query_id = item_id AND h.version = v.version)
 SELECT version, {_RECALL} FROM pq GROUP BY version""")
 def version_comparison(spark, d):
-    runs = {"bm25": I.bm25_run, "tfidf": I.tfidf_run, "dense": I.dense_run, "hybrid": I.rrf_run}
+    """Three single lists, their fusion, and the full chain with pair scores."""
+    chain = lambda spark, d: RQ.hybrid(spark, d, 10).withColumn("score", F.col("score_rerank"))
+    runs = {"bm25": I.bm25_run, "tfidf": I.tfidf_run, "dense": I.dense_run, "rrf": I.rrf_run, "hybrid": chain}
     shaped = {name: MQ.run_rows(spark, d, run(spark, d)) for name, run in runs.items()}
     return E.compare_versions(shaped, I.queries(spark, d), MQ.gold(spark, d))
 

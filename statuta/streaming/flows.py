@@ -54,18 +54,24 @@ _PROGRESS = "doc_id long, line_no long, line string, step int"
 
 
 def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     step = state.get[0] if state.exists else 0
     frames = list(batches)
     rows = pd.concat(frames).sort_values(["ts", "line_no"])
     steps = rows["own"].cummax().clip(lower=step)
     state.update((int(steps.iloc[-1]),))
+    # without further lines the state goes once the watermark is past the last one
+    state.setTimeoutTimestamp(max(int(rows["us"].max()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"doc_id": key[0], "line_no": rows["line_no"], "line": rows["line"], "step": steps.astype("int32")})
 
 
-def progress_stream(lines: DataFrame) -> DataFrame:
-    """The same over a stream; the state is one number per document."""
-    kept = lines.filter(F.rtrim("line") != "").withColumn("own", line_step(F.col("line")))
-    return kept.groupBy("doc_id").applyInPandasWithState(_progress, _PROGRESS, "step int", "append", GroupStateTimeout.NoTimeout)
+def progress_stream(lines: DataFrame, idle: str = "1 day") -> DataFrame:
+    """The same over a stream; the state is one number per document, held until the document is ``idle``."""
+    kept = lines.filter(F.rtrim("line") != "").withColumns({"own": line_step(F.col("line")), "ts": F.col("ts").cast("timestamp")})
+    kept = kept.withWatermark("ts", idle).withColumn("us", F.unix_micros("ts"))
+    return kept.groupBy("doc_id").applyInPandasWithState(_progress, _PROGRESS, "step int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- outcomes ---------------------------------------------------------------
