@@ -73,18 +73,19 @@ def features(texts: pa.Array):
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Distinct features and their counts of the given rows (label, text)."""
+    """(doc_id, label, ids, counts): distinct features as 16-bit numbers, and their counts as 32-bit ones, of the given rows (doc_id, label, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 found = [(text << BITS) + bucket for bucket, text in features(part.column("text"))]
                 both, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-                cuts = np.searchsorted(both, np.arange(part.num_rows + 1) << BITS).astype(np.int32)
-                ids = pa.ListArray.from_arrays(cuts, pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))
-                yield pa.record_batch([part.column("label"), ids, pa.ListArray.from_arrays(cuts, pa.array(counts.astype(np.float32)))], ["label", "ids", "counts"])
+                cuts = np.searchsorted(both, np.arange(part.num_rows + 1) << BITS)
+                ids, counts = (both & ((1 << BITS) - 1)).astype(np.uint16), counts.astype(np.float32)
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (ids, counts)]
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), *packed], ["doc_id", "label", "ids", "counts"])
 
-    return docs.mapInArrow(run, "label int, ids array<int>, counts array<float>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, ids binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
@@ -93,9 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     Only the sample's feature counts reach the driver.
     """
     chosen = labelled.labelled(labels, label, sample, parts, held_out)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
-    table = counted(rows.select("label", "text")).toArrow()
-    return train([np.asarray(x, np.int64) for x in table["ids"].to_numpy()], list(table["counts"].to_numpy()), table["label"].to_numpy())
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    table = counted(rows).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # the same order however the rows arrived
+    ids, counts = ([np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("ids", np.uint16), ("counts", np.float32)))
+    model = train(ids, counts, table["label"].to_numpy())
+    # the driver holds no more than the weights from here on
+    del table, ids, counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def train(ids: list, counts: list, label: np.ndarray, seed: int = 1) -> Model:
@@ -104,9 +110,7 @@ def train(ids: list, counts: list, label: np.ndarray, seed: int = 1) -> Model:
     size, n = 1 << BITS, len(ids)
     if not n:
         return Model(np.zeros(size), 0.0)
-    # the same order however the rows arrived
-    order = sorted(range(n), key=lambda i: (int(label[i]), len(ids[i]), ids[i].tobytes(), np.asarray(counts[i]).tobytes()))
-    ids, counts, label = [ids[i] for i in order], [np.asarray(counts[i], np.float32) for i in order], np.asarray(label)[order]
+    label = np.asarray(label)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (size, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     layer[0, 1], layer[0, 0] = 0.1, -0.1
