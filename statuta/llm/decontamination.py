@@ -4,11 +4,12 @@ The test items are the indexed collection and every passage of every document is
 a share of the item's score for itself, so one threshold means the same for all items. Postings are kept in blocks of a few items with
 the greatest impact of each block. Passages are evaluated many at once: a passage whose terms' greatest impacts sum to less than the
 threshold has no pivot and ends there; of the rest, only the blocks whose block maxima reach the threshold have their postings
-scored. All items at or above the threshold are retrieved.
+scored. All items at or above the threshold are retrieved. Where the heaviest words that a passage can lack while it still holds enough
+of the item's shingles would take an item below the threshold, its impacts are raised, so retrieval loses no passage that counts.
 
-A retrieved item counts when the passage holds enough of its shingles of five words: overall, of those inside the question, and of those
-that reach into the answer. The answer is what follows the last question mark, or else the last line, the last sentence, or the last
-third of the words.
+A retrieved item counts when the passage holds enough of its shingles of five words, wherever in the item they lie. The shares of the
+shingles inside the question, and of those that reach into the answer, are reported and decide nothing: the answer is what follows the
+last question mark, or else the last line, the last sentence, or the last third of the words, which is a guess.
 
 Passages overlap by half and are long enough that every run of words up to 1.25 times the longest item lies in one.
 
@@ -35,8 +36,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Items a block of postings covers.
 BLOCK = 4
-#: Shares of shingles: all, of the question, of the answer.
-OVERLAP, QUESTION, ANSWER = 0.8, 0.5, 0.5
+#: Share of an item's shingles from which it counts.
+OVERLAP = 0.8
 SHINGLE = 5
 #: Items, and bytes of their texts, that one pass over the documents looks for at most, about.
 PASS_ITEMS, PASS_BYTES = 2000, 4 << 20
@@ -57,6 +58,16 @@ def question_words(text: str, total: int) -> int:
     return total - max(1, total // 3)
 
 
+def least_score(runs: np.ndarray, weight: np.ndarray) -> float:
+    """No passage with ``OVERLAP`` of the runs scores less; ``weight``: of each word of the item, as a share of the item's score.
+
+    A word is missing only where every run over it is, so no more words can be missing than runs: at worst the heaviest.
+    """
+    repeats = np.sort(np.unique(runs, return_counts=True)[1])[::-1]
+    missing = len(repeats) - int(np.ceil(OVERLAP * len(repeats) - 1e-9))
+    return 1.0 - float(np.sort(weight)[::-1][: repeats[:missing].sum()].sum()) - 1e-9
+
+
 def joined(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of n words."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
@@ -76,6 +87,8 @@ class Index:
     impacts: np.ndarray
     #: Of each item: shingles within the question, and shingles that reach into the answer.
     shingles: list[tuple[np.ndarray, np.ndarray]]
+    #: Of each item: what its impacts add up to, 1 or more.
+    raised: np.ndarray
     stride: int
     map: np.ndarray
 
@@ -89,17 +102,19 @@ class Index:
         df = np.array([frequency[int(t)] for t in terms], float)
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
         blocks = np.zeros((len(terms), -(-n // BLOCK)), np.float32)
-        keys, impacts, shingles, longest = [], [], [], 0
+        keys, impacts, shingles, raised, longest = [], [], [], np.ones(n), 0
         for k, i in enumerate(use):
             own = words[cuts[i] : cuts[i + 1]]
-            distinct, count = np.unique(own, return_counts=True)
+            distinct, place, count = np.unique(own, return_inverse=True, return_counts=True)
             at = np.searchsorted(terms, distinct)
             weight = idf[at] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(own) / mean))
             weight /= weight.sum()
+            runs, asked = joined(own), question_words(texts[i], len(own))
+            raised[k] = max(1.0, THRESHOLD / max(1e-9, least_score(runs, (weight / count)[place])))
+            weight *= raised[k]
             keys.append(at * n + k)
             impacts.append(weight)
             blocks[at, k // BLOCK] = np.maximum(blocks[at, k // BLOCK], weight.astype(np.float32) * np.float32(1 + 1e-6))
-            runs, asked = joined(own), question_words(texts[i], len(own))
             inside = np.arange(len(runs)) + SHINGLE <= asked
             shingles.append((np.unique(runs[inside]), np.unique(runs[~inside])))
             longest = max(longest, len(own))
@@ -107,7 +122,7 @@ class Index:
         order = np.argsort(keys)
         seen = np.zeros(1 << MAP_BITS, bool)
         seen[(terms >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-        return cls([ids[i] for i in use], terms, blocks, keys[order], impacts[order], shingles, -(-5 * longest // 4), seen)
+        return cls([ids[i] for i in use], terms, blocks, keys[order], impacts[order], shingles, raised, -(-5 * longest // 4), seen)
 
     def retrieve(self, words: np.ndarray, cuts: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
         """(text, first word, item number, score) of all passages and items that reach the threshold."""
@@ -170,8 +185,11 @@ class Index:
             asked, told = int(np.isin(question, inside).sum()), int(np.isin(answer, inside).sum())
             share_q = asked / len(question) if len(question) else 1.0
             share_a = told / len(answer) if len(answer) else 1.0
-            if asked + told >= OVERLAP * (len(question) + len(answer)) - 1e-9 and share_q >= QUESTION and share_a >= ANSWER:
-                row = (asked + told, score, -first, share_q, share_a)
+            # question and answer may have a shingle in common; the item has it once
+            both = np.intersect1d(question, answer, True)
+            held, size = asked + told - int(np.isin(both, inside).sum()), len(question) + len(answer) - len(both)
+            if held >= OVERLAP * size - 1e-9:
+                row = (held, score / float(self.raised[item]), -first, share_q, share_a)
                 best[text, item] = max(best.get((text, item), row), row)
         return [(text, self.items[item], score, q, a, -first) for (text, item), (_, score, first, q, a) in sorted(best.items())]
 

@@ -192,6 +192,36 @@ def test_decontamination_brute_force(spark, monkeypatch):
     assert kept == {r["doc_id"] for r in rows} - {d for d, _ in want}
 
 
+def test_decontamination_finds_edited_and_cut_copies(spark):
+    """Every copy with one word changed, and every copy cut off at either end, that keeps 0.8 of the item's shingles; no other."""
+    items = dict(table(spark, "benchmark").orderBy("item_id").limit(12).collect())
+    copies = []
+    for text in items.values():
+        parts = text.split()
+        copies += [" ".join([*parts[:k], "changed", *parts[k + 1 :]]) for k in range(len(parts))]
+        copies += [" ".join(cut) for k in range(1, len(parts) // 3) for cut in (parts[:-k], parts[k:])]
+    rows = [(i, "before it " + text + " and after") for i, text in enumerate(copies)]
+    want = contained(rows, items)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontamination.matches(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(rows) > len(want) > 100
+    assert any(r["answer_overlap"] < 0.5 for r in got) and all(r["score"] <= 1 + 1e-6 for r in got)
+    assert {r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()} == set(range(len(rows))) - {d for d, _ in want}
+
+
+def test_decontamination_of_items_with_few_heavy_words(spark):
+    """Copies that lack just the two words that tell the items apart."""
+    common = " ".join(f"w{i}" for i in range(13))
+    items = {i: f"{common} rare{i} last{i}" for i in range(40)}
+    rows = [(0, common), (1, common.removesuffix(" w12")), (2, items[7])]
+    want = contained(rows, items)
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and {d for d, _ in want} == {0, 2}
+    assert all(abs(r["score"] - 1) < 1e-6 for r in got if r["doc_id"] == 2 and r["item_id"] == 7) and all(r["score"] < 0.6 for r in got if r["doc_id"] == 0)
+
+
 def test_retrieval_is_complete(spark):
     """Block-max pruning loses no passage and item that reach the threshold."""
     import pyarrow as pa
