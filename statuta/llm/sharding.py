@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve.
 
 Metadata columns are quantised to cells by their quantiles, a row's cells give its place on the curve, and the rows in curve order are
-cut into runs of equal row counts. Neighbours on the curve are close in every column, so each run covers a small range of each.
+cut into runs of equal row counts. Neighbours on the curve are close in every column, so each run covers a small range of each. Cell
+numbers are spread over the whole range, so a column of few values turns the curve as early as one of many. Strings are compared whole.
 
 The law is ``rows``: with n rows, shard s holds the ranks from ceil(s*n/shards) on, so counts are at most one apart. Equal texts of one
 cell lie next to each other (the checksum orders rows within a cell).
@@ -13,6 +14,8 @@ given as metadata may have any name.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,11 +60,36 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def ordinal(docs: DataFrame, column: str) -> Column:
-    """A long in the order of the values; strings count by their first seven bytes."""
+    """A long or a string in the order of the values."""
     kind, c = docs.schema[column].dataType, F.col(f"`{column}`")
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return c.try_cast("long")
-    return F.conv(F.rpad(F.substring(F.hex(c.cast("string").cast("binary")), 1, 14), 14, "0"), 16, 10).cast("long")
+    return c.try_cast("long") if isinstance(kind, (T.NumericType, T.BooleanType)) else c.cast("string")
+
+
+def string_cuts(values: DataFrame, cells: int) -> tuple[list[bytes], bytes]:
+    """Cuts between cells of whole strings, in byte order, and the greatest string: all strings where there are few, else quantiles."""
+    counts = stored(values.filter("_value is not null").groupBy("_value").agg(F.count("*").alias("_n")), "values")
+    few = [r["_value"].encode() for r in counts.select("_value").limit(cells + 1).collect()]
+    if len(few) <= cells:
+        return sorted(few), max(few, default=b"")
+    ranged = stored(counts.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_rows"))  # one row a range
+    before = parts.select("_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(W.partitionBy()).alias("_total"))
+    upto = ranged.withColumn("_inside", F.sum("_n").over(W.partitionBy("_part").orderBy("_value"))).join(F.broadcast(before), "_part").withColumn("_upto", F.expr("_before + _inside"))
+    # the strings at which the running count reaches the next cell
+    cuts = upto.filter(F.expr(f"_upto < _total and _upto * {cells} div _total > (_upto - _n) * {cells} div _total")).select("_value").collect()
+    return sorted(r["_value"].encode() for r in cuts), ranged.agg(F.max("_value")).first()[0].encode()
+
+
+def cell_numbers(values: pa.Array, cuts, greatest, bits: int = BITS) -> np.ndarray:
+    """Cells spread from 0, which nulls have too, to the highest one, which the greatest value has."""
+    out = np.zeros(len(values), np.int64)
+    known = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    if len(known):
+        coded = values.drop_null().dictionary_encode()
+        distinct = [x.encode() if isinstance(x, str) else x for x in coded.dictionary.to_pylist()]
+        cell = np.array([bisect_left(cuts, x) for x in distinct], np.int64)
+        out[known] = cell[coded.indices.to_numpy()]
+    return out * ((1 << bits) - 1) // max(1, bisect_left(cuts, greatest))
 
 
 def placed(docs: DataFrame, dimensions=DIMENSIONS, shards: int = SHARDS, bits: int = BITS, carry=(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,16 +104,19 @@ def placed(docs: DataFrame, dimensions=DIMENSIONS, shards: int = SHARDS, bits: i
     )
     names = [f"_d{i}" for i in range(len(dimensions))]
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = docs.select(*[ordinal(docs, d).alias(n) for n, d in zip(names, dimensions)]).agg(*[F.percentile_approx(n, F.array(*map(F.lit, share)), 10_000).alias(n) for n in names]).first()
-    cuts = [np.unique(np.array(found[n] or [], np.int64)) for n in names]
+    numbers = [n for n in names if isinstance(rows.schema[n].dataType, T.LongType)]
+    measures = [x for n in numbers for x in (F.percentile_approx(n, F.array(*map(F.lit, share)), 10_000).alias(n), F.max(n).alias(f"{n}_max"))]
+    found = docs.select(*[ordinal(docs, d).alias(n) for n, d in zip(names, dimensions)]).agg(F.lit(0), *measures).first()
+    cuts = [
+        (sorted(set(found[n] or [])), found[f"{n}_max"] or 0) if n in numbers else string_cuts(docs.select(ordinal(docs, d).alias("_value")), 1 << bits)
+        for n, d in zip(names, dimensions)
+    ]
 
     def curve(batches):
         for batch in batches:
             cells = np.empty((batch.num_rows, len(cuts)), np.int64)
-            for i, cut in enumerate(cuts):
-                values = batch.column(f"_d{i}")
-                # cell 0 is that of nulls and of the values up to the first cut
-                cells[:, i] = np.where(values.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cut, values.fill_null(0).to_numpy(zero_copy_only=False), "left"))
+            for i, (cut, greatest) in enumerate(cuts):
+                cells[:, i] = cell_numbers(batch.column(f"_d{i}"), cut, greatest, bits)
             yield pa.record_batch([*(batch.column(c) for c in ("_key", "_size", "_crc", "_carry")), pa.array(hilbert(cells, bits))], ["_key", "_size", "_crc", "_carry", "_curve"])
 
     kind = rows.schema["_carry"].dataType

@@ -382,6 +382,22 @@ def test_sharding_prunes(spark):
     assert spread < 0.75 * (np.log(got.n_chars.max() + 1) - np.log(got.n_chars.min() + 1)) and got.groupby("shard").source.nunique().mean() < 0.6 * got.source.nunique()
 
 
+def test_sharding_prunes_columns_of_few_values(spark):
+    docs = table(spark, "documents", LARGER)
+    got = sharding.placed(docs, carry=["lang"]).toPandas()
+    assert got.lang.nunique() == 4 and got.groupby("shard").lang.nunique().mean() < 2
+
+
+@pytest.mark.parametrize("sources", [20, 400])
+def test_sharding_by_whole_strings(spark, sources):
+    """Sources that only differ far behind their common beginning."""
+    docs = spark.createDataFrame([(i, f"text {i}", f"https://example.org/source/{i % sources:03d}") for i in range(2000)] + [(2000, "none", None)], "doc_id long, text string, source string")
+    got = sharding.placed(docs, dimensions=["source"], shards=20, carry=["source"]).toPandas()
+    assert len(got) == 2001 and got.curve.nunique() == min(sources, 64) and got.curve.max() == 63
+    assert got.groupby("shard").source.nunique().max() <= sources // 20 + 2 * -(-sources // 64)
+    assert got.dropna().sort_values("source").curve.is_monotonic_increasing and got[got.source.isna()].curve.item() == 0
+
+
 def test_sharding_odd(spark, odd, none, tmp_path):
     got = sharding.assign(odd).toPandas()
     assert len(got) == len(ODD) and sorted(got.shard) == sorted(r * 40 // len(ODD) for r in range(len(ODD)))
