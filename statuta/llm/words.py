@@ -20,6 +20,11 @@ _MASK = (1 << 64) - 1
 #: Separators: for words all ASCII but letters and digits, for chunks white space only.
 WORD_SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SPACE_SEPARATORS = np.array([b in b" \t\n\r\v\f" for b in range(256)])
+#: Punctuation, symbols and spaces beyond ASCII, and characters of scripts without spaces between words, with their marks.
+APART = r"[\p{P}\p{S}\p{Z}\x{85}\x{200B}]"
+SINGLE = r"[\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\x{FF70}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
+#: First bytes of UTF-8 characters that may be among those, and those of Latin letters, which are not (but for two signs).
+_LEADS = np.array([b == 0xC2 or b >= 0xCA for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,6 +96,21 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with spaces for all separators beyond ASCII and around each character of a script without spaces."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends = texts.buffers()[1]
+    if ends is None or not len(texts):
+        return texts
+    ends = np.frombuffer(ends, np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = data[ends[0] : ends[-1]]
+    # a times or division sign is the only such character among Latin letters
+    signs = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    if not (_LEADS[data].any() or signs.any()):
+        return texts
+    return pc.replace_substring_regex(pc.replace_substring_regex(texts, SINGLE, r" \0 "), APART, " ")
+
+
 def pieces(texts: pa.Array, separators: np.ndarray) -> Iterator[tuple[Piece, np.ndarray]]:
     """Pieces in order, each with the number of the text that every word of the piece lies in.
 
@@ -121,9 +141,12 @@ def pieces(texts: pa.Array, separators: np.ndarray) -> Iterator[tuple[Piece, np.
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and where each text's words start (one more entry than texts)."""
+    """Hashes of the lower-cased words of all texts, and where each text's words start (one more entry than texts).
+
+    Words end at Unicode punctuation, symbols and spaces; in scripts without spaces each character is a word.
+    """
     found, of = [], []
-    for piece, text in pieces(lowered(texts), WORD_SEPARATORS):
+    for piece, text in pieces(spaced(lowered(texts)), WORD_SEPARATORS):
         found.append(piece.words())
         of.append(text)
     counts = np.bincount(np.concatenate(of), minlength=len(texts)) if of else np.zeros(len(texts), np.int64)

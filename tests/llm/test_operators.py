@@ -459,6 +459,16 @@ def test_near_duplicates_in_hot_buckets(spark, monkeypatch):
     assert dict(bagminhash.classes(docs).select("doc_id", "class_id").collect()) == near_brute(rows)
 
 
+def test_unspaced_scripts(spark):
+    """A near copy, and a test item inside a document, of a text without spaces."""
+    random = np.random.default_rng(6)
+    text = "".join(chr(c) for c in random.integers(0x4E00, 0x9000, 200))
+    docs = spark.createDataFrame([(1, text), (2, text[:100] + "字" + text[101:]), (3, text[:60]), (4, "“other—words”")], "doc_id long, text string")
+    assert dict(bagminhash.classes(docs).select("doc_id", "class_id").collect()) == {1: 1, 2: 1, 3: 3, 4: 4}
+    items = spark.createDataFrame([(9, text[10:40])], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, items).collect()} == {(1, 9), (2, 9), (3, 9)}
+
+
 def test_near_duplicates_odd(odd, none):
     got = Counter((r["doc_id"], r["class_id"]) for r in bagminhash.classes(odd).collect())
     assert got == {(1, 1): 1, (2, 2): 1, (3, 3): 2, (4, 4): 1, (5, 3): 1, (None, None): 2, (6, 6): 1, (7, 6): 1, (8, 4): 1, (9, 9): 1, (10, 10): 1}

@@ -34,6 +34,22 @@ def test_words_over_pieces(monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_words_beyond_ascii():
+    """Unicode punctuation and spaces part words, and characters of unspaced scripts are words."""
+    pairs = [
+        ("“don’t”—stop…here\u00a0now\u2003you\u3000¿qué? 3×4 a÷b", "don t stop here now you qué 3 4 a b"), ("今日は、晴れ。", "今 日 は 晴 れ"), ("ラーメンabc", "ラ ー メ ン abc"),
+        ("ไปที่นี่", "ไ ป ที่ นี่"), ("naïve Straße привет", "naïve straße привет"), ("", ""), ("a b", "a b"), ("हिन्दी शब्द", "हिन्दी शब्द"),
+    ]
+    for texts in ([p[0] for p in pairs], [p[0] for p in pairs[4:]]):
+        got, cuts = words.word_hashes(pa.array([*texts, None]))
+        want, ends = words.word_hashes(pa.array([*(dict(pairs)[t] for t in texts), None]))
+        assert (got == want).all() and (cuts == ends).all()
+    for text, n in zip(pairs, (11, 5, 5, 4, 3, 0, 2, 2)):
+        assert len(words.word_hashes(pa.array([text[0]]))[0]) == n == len(text[1].split())
+    part = pa.array(["x", "今日", "ab—c", "y"])[1:3]  # a slice of a larger array
+    assert words.word_hashes(part)[1].tolist() == [0, 2, 4]
+
+
 @pytest.mark.parametrize("window", [8, 50, 2048])
 def test_plan_is_best_fit_decreasing(window):
     random.seed(window)
