@@ -13,7 +13,9 @@ last question mark, or else the last line, the last sentence, or the last third
 
 Passages overlap by half and are long enough that every run of words up to 1.25 times the longest item lies in one.
 
-Defined cases: a null or empty text has no passage; a null item, and an item of fewer than five words, is not searched for; items with equal
+An item of fewer than five words counts where the passage holds one run of all its words.
+
+Defined cases: a null or empty text has no passage; a null item, and an item of fewer than ``shortest`` words, is not searched for; items with equal
 texts are all reported; documents with equal rows are reported one by one; an empty benchmark leaves every document; texts are
 read whole; other columns are not read.
 """
@@ -87,42 +89,48 @@ class Index:
     impacts: np.ndarray
     #: Of each item: shingles within the question, and shingles that reach into the answer.
     shingles: list[tuple[np.ndarray, np.ndarray]]
-    #: Of each item: what its impacts add up to, 1 or more.
+    #: Of each item: what its impacts add up to.
     raised: np.ndarray
+    #: Of each item: words of its shingles.
+    sizes: list[int]
     stride: int
     map: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, texts: list[str], frequency: dict[int, int], total: int, mean: float) -> Index | None:
+    def of(cls, ids: list, texts: list[str], frequency: dict[int, int], total: int, mean: float, shortest: int = SHINGLE) -> Index | None:
         words, cuts = word_hashes(pa.array(texts, pa.string()))
-        use = [i for i in range(len(ids)) if cuts[i + 1] - cuts[i] >= SHINGLE]
+        use = [i for i in range(len(ids)) if cuts[i + 1] - cuts[i] >= max(1, shortest)]
         if not use:
             return None
         n, terms = len(use), np.unique(np.concatenate([words[cuts[i] : cuts[i + 1]] for i in use]))
         df = np.array([frequency[int(t)] for t in terms], float)
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
         blocks = np.zeros((len(terms), -(-n // BLOCK)), np.float32)
-        keys, impacts, shingles, raised, longest = [], [], [], np.ones(n), 0
+        keys, impacts, shingles, raised, sizes, longest = [], [], [], np.ones(n), [], 0
         for k, i in enumerate(use):
             own = words[cuts[i] : cuts[i + 1]]
             distinct, place, count = np.unique(own, return_inverse=True, return_counts=True)
             at = np.searchsorted(terms, distinct)
             weight = idf[at] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(own) / mean))
             weight /= weight.sum()
-            runs, asked = joined(own), question_words(texts[i], len(own))
-            raised[k] = max(1.0, THRESHOLD / max(1e-9, least_score(runs, (weight / count)[place])))
+            size = min(SHINGLE, len(own))
+            runs, asked = joined(own, size), question_words(texts[i], len(own))
+            raised[k] = THRESHOLD / max(1e-9, least_score(runs, (weight / count)[place]))
+            if size == SHINGLE:  # a short item has to be there with all its words
+                raised[k] = max(1.0, raised[k])
+            sizes.append(size)
             weight *= raised[k]
             keys.append(at * n + k)
             impacts.append(weight)
             blocks[at, k // BLOCK] = np.maximum(blocks[at, k // BLOCK], weight.astype(np.float32) * np.float32(1 + 1e-6))
-            inside = np.arange(len(runs)) + SHINGLE <= asked
+            inside = np.arange(len(runs)) + size <= asked
             shingles.append((np.unique(runs[inside]), np.unique(runs[~inside])))
             longest = max(longest, len(own))
         keys, impacts = np.concatenate(keys), np.concatenate(impacts)
         order = np.argsort(keys)
         seen = np.zeros(1 << MAP_BITS, bool)
         seen[(terms >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-        return cls([ids[i] for i in use], terms, blocks, keys[order], impacts[order], shingles, raised, -(-5 * longest // 4), seen)
+        return cls([ids[i] for i in use], terms, blocks, keys[order], impacts[order], shingles, raised, sizes, -(-5 * longest // 4), seen)
 
     def retrieve(self, words: np.ndarray, cuts: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
         """(text, first word, item number, score) of all passages and items that reach the threshold."""
@@ -180,7 +188,7 @@ class Index:
         words, cuts = word_hashes(texts)
         best: dict = {}
         for text, first, item, score in zip(*(x.tolist() for x in self.retrieve(words, cuts))):
-            inside = joined(words[cuts[text] + first : min(cuts[text] + first + 2 * self.stride, cuts[text + 1])])
+            inside = joined(words[cuts[text] + first : min(cuts[text] + first + 2 * self.stride, cuts[text + 1])], self.sizes[item])
             question, answer = self.shingles[item]
             asked, told = int(np.isin(question, inside).sum()), int(np.isin(answer, inside).sum())
             share_q = asked / len(question) if len(question) else 1.0
@@ -194,15 +202,15 @@ class Index:
         return [(text, self.items[item], score, q, a, -first) for (text, item), (_, score, first, q, a) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of bounded size over all items; term frequencies and lengths are those of all items."""
+def indexes(benchmark: DataFrame, shortest: int = SHINGLE) -> list[Index]:
+    """Indexes of bounded size over all items of at least ``shortest`` words; term frequencies and lengths are those of all of these."""
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
 
     def terms(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words, cuts = word_hashes(part.column("text"))
-                runs = [np.unique(words[a:b]) if b - a >= SHINGLE else words[:0] for a, b in zip(cuts, cuts[1:])]
+                runs = [np.unique(words[a:b]) if b - a >= max(1, shortest) else words[:0] for a, b in zip(cuts, cuts[1:])]
                 yield pa.record_batch(
                     [part.column("item_id"), pa.array([r.view(np.int64) for r in runs], pa.list_(pa.int64())), pa.array(np.diff(cuts)), pa.array([len(r) > 0 for r in runs])],
                     ["item_id", "terms", "words", "used"],
@@ -222,14 +230,14 @@ def indexes(benchmark: DataFrame) -> list[Index]:
         own = frequency.join(counted.filter(part).select(F.explode("terms").alias("term")).distinct(), "term").toArrow()
         rows = items.filter(part).orderBy("item_id", "text").toArrow()
         df = dict(zip(own["term"].to_numpy().view(np.uint64).tolist(), own["n"].to_pylist()))
-        index = Index.of(rows["item_id"].to_pylist(), rows["text"].to_pylist(), df, n, mean)
+        index = Index.of(rows["item_id"].to_pylist(), rows["text"].to_pylist(), df, n, mean, shortest)
         if index:
             out.append(index)
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every document and test item that it holds."""
+def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = SHINGLE) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every document and test item of at least ``shortest`` words that it holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
@@ -246,13 +254,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return rows.mapInArrow(run, schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shortest):
         out = out.unionByName(scan(index))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SHINGLE) -> DataFrame:
+    """The documents that hold no test item of at least ``shortest`` words, with all columns."""
 
     def scan(index: Index):
         def run(batches):
@@ -264,6 +272,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shortest):
         docs = docs.mapInArrow(scan(index), docs.schema)
     return docs

@@ -40,7 +40,7 @@ def op3_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), shortest=1)
 
 
 @query("op5_topk")

@@ -222,6 +222,18 @@ def test_decontamination_of_items_with_few_heavy_words(spark):
     assert all(abs(r["score"] - 1) < 1e-6 for r in got if r["doc_id"] == 2 and r["item_id"] == 7) and all(r["score"] < 0.6 for r in got if r["doc_id"] == 0)
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    """Items of one to four words count where all their words follow one another; the query and the pipeline search for them."""
+    items = [(1, "quick brown"), (2, "Fox!"), (3, "a b c d"), (4, ""), (5, "one two three four five six"), (6, None), (7, "?!")]
+    docs = [(1, "the Quick, brown dog"), (2, "brown quick"), (3, "x a b c d y fox"), (4, "a b d c"), (5, "one two three four five six"), (6, "quick red brown")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 2), (3, 3), (5, 5)] and all(abs(r["score"] - 1) < 1e-6 for r in got)
+    kept = corpus_pipeline.decontaminated(spark, table(spark, "documents", str(tmp_path)), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 6]
+
+
 def test_retrieval_is_complete(spark):
     """Block-max pruning loses no passage and item that reach the threshold."""
     import pyarrow as pa
