@@ -3,7 +3,10 @@
 Tokens are lower-cased words and their beginnings of 4, 5 and 6 bytes. A token's log-odds of lying in a toxic document have a
 Dirichlet prior: its centre is the estimate of the next shorter beginning (for the shortest, the rate of all labelled documents),
 its weight follows the token's document frequency in the whole corpus. A word takes the log-odds of its longest known token, less
-a drift that makes ordinary text score below zero. One linear scan finds all maximal segments of a text. Their scores, against the
+a drift that makes ordinary text score below zero, where that is positive. Every other word takes the constant ``NEUTRAL``: a score of
+zero or less is clamped to it, and a word of a family without a positive token has no score of its own. So clean evidence is not summed,
+an ordinary word costs 0.25 where its log-odds of 0 less the drift would be -1.5, segments bridge longer clean stretches (six clean words
+cost what one would), and the scan passes over all but a few words. One linear scan finds all maximal segments of a text. Their scores, against the
 length of the text, become extreme-value scores (Karlin and Altschul); the sum over significant segments is mapped to a
 probability by a logistic curve fitted on labelled documents that the log-odds were not learned from.
 
