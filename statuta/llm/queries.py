@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import bagminhash, decontamination, language, packing, quality, revisits, sharding, topk, toxicity, urlrules
+from statuta.llm import alignment, bagminhash, decontamination, language, packing, quality, revisits, sentencepieces, sharding, spelling, topk, toxicity, urlrules
 from statuta.sources.tables import table
 
 QUERIES: dict = {}
@@ -73,6 +73,21 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_spelling", spelling.SQL)
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.digest(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -68,7 +68,7 @@ def test_sql_twin(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q != "pipeline"} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q != "pipeline"} == set(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 # ---- language -----------------------------------------------------------------
