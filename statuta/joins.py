@@ -1,7 +1,9 @@
 """Joins whose small side is measured before it is broadcast, and salted when it is not small."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -37,10 +39,42 @@ def sized_join(
     return salted.join(repeated, [*on, "_salt"]).drop("_salt")
 
 
-def lookup(ranked: DataFrame, table: DataFrame, on: list[str], bound: int) -> DataFrame:
+#: A Bloom filter has blocks of so many bits, so many blocks at most (16 MB), about so many bits a key, and sets so many of them.
+BLOCK_BITS = 1 << 15
+MOST_BLOCKS = 4096
+BITS_A_KEY = 16
+SET_BITS = 3
+
+
+def maybe_listed(table: DataFrame, keys: DataFrame, on: list[str], bound: int, otherwise: Column | None = None) -> DataFrame:
+    """Rows of ``table`` whose key may be among the at most ``bound`` rows of ``keys``, and those where ``otherwise`` holds.
+
+    A blocked Bloom filter of the keys, never over 16 MB, is broadcast to where the table is read, so what is not listed is
+    dropped before anything is shuffled. A few rows too many pass; none is lost.
+    """
+    blocks = 1
+    while blocks < MOST_BLOCKS and blocks * BLOCK_BITS < bound * BITS_A_KEY:
+        blocks *= 2
+    shifted = lambda n: F.call_function("shiftrightunsigned", F.xxhash64(*on), F.lit(n))
+    block = F.pmod(shifted(48), F.lit(blocks)).cast("int")
+    bits = [F.pmod(shifted(15 * k), F.lit(BLOCK_BITS)).cast("int") for k in range(SET_BITS)]
+    word, at = (lambda b: F.floor(b / 64).cast("int")), (lambda b: F.pmod(b, F.lit(64)).cast("int"))
+    one = keys.select(block.alias("_block"), F.explode(F.array(*bits)).alias("b")).select("_block", word(F.col("b")).alias("w"), at(F.col("b")).alias("b"))
+    words = one.groupBy("_block", "w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("v"))
+    filled = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")))
+    sketch = F.broadcast(filled.select("_block", dense.alias("_words")))
+    hit = reduce(lambda a, b: a & b, [F.call_function("getbit", F.get("_words", word(b)), at(b)) == 1 for b in bits])
+    marked = table.withColumn("_block", block).join(sketch, "_block", "inner" if otherwise is None else "left")
+    return marked.filter(hit if otherwise is None else F.coalesce(hit, F.lit(False)) | otherwise).drop("_block", "_words")
+
+
+def lookup(ranked: DataFrame, table: DataFrame, on: list[str], bound: int, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach columns of a large table to a list of at most ``bound`` rows.
 
-    A short list is broadcast and the table scanned in place; a long one is shuffled,
-    where adaptive execution splits a row that very many list rows want.
+    A short list is broadcast and the table scanned in place. For a long one, only rows of the table that may be listed are
+    shuffled; adaptive execution splits a row that very many list rows want.
     """
-    return table.join(F.broadcast(ranked), on) if bound <= BROADCAST_ROWS else ranked.join(table, on)
+    if bound <= rows:
+        return table.join(F.broadcast(ranked), on)
+    return ranked.join(maybe_listed(table, ranked.select(*on), on, bound), on)

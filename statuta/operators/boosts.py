@@ -12,7 +12,7 @@ from statuta.functions import fixed_values as V
 from statuta.functions.keywords import strings, word_runs
 from statuta.functions.text import all_of, any_of, naming, tokens
 from statuta.operators import retrieval as R
-from statuta.joins import lookup, sized_join
+from statuta.joins import lookup, maybe_listed, sized_join
 from statuta.session import stored
 
 
@@ -100,6 +100,14 @@ def bonus_amount(text_lower: Column, boosts: Boosts) -> Column:
     return topic_amount(text_lower, boosts) + F.when(F.col("merger"), merger).otherwise(0.0)
 
 
+def forcing(text_lower: Column, features: DataFrame, boosts: Boosts = VIETNAMESE) -> Column:
+    """Whether a text can be forced in by any of the queries, as far as the topics that some query asks tell."""
+    flags = [F.max(F.array_contains("topics", t.name)) for t in boosts.topics] + [F.max("merger")]
+    asked = features.agg(*flags).first()  # one row
+    marks = [any_of(text_lower, t.must) for t, wanted in zip(boosts.topics, asked) if wanted and t.must]
+    return reduce(lambda a, b: a | b, [*marks, F.contains(text_lower, F.lit(boosts.source)) if asked[-1] else F.lit(False)])
+
+
 def with_text(ranked: DataFrame, chunks: DataFrame, bound: int, columns=("text",)) -> DataFrame:
     """Attach chunk columns to a ranked list of at most ``bound`` rows."""
     return lookup(ranked, chunks.select("chunk_id", *columns), ["chunk_id"], bound)
@@ -290,11 +298,17 @@ def hybrid_search(
         stored(R.dense_topk(vectors, query_vectors, k_retrieve), "dense"),
     )
     n = queries.count()
-    lifted = stored(boosted(R.rrf_merge([keyword, dense]), queries, chunks, boost_amount, 2 * k_retrieve * n, boosts), "fused")
+    merged = stored(R.rrf_merge([keyword, dense]), "merged")
+    # one scan of the corpus: the texts that are listed or can be forced in; all below reads these
+    mark = forcing(F.lower("text"), query_features(queries, boosts), boosts)
+    chunks = stored(maybe_listed(chunks.select("chunk_id", "text"), merged.select("chunk_id"), ["chunk_id"], 2 * k_retrieve * n, mark), "relevant")
+    lifted = stored(boosted(merged, queries, chunks, boost_amount, 2 * k_retrieve * n, boosts), "fused")
     # forcing needs keyword results, as the fallback to the dense list knows no boosts
     forced = must_include(lifted, queries, chunks, boosts, cap).join(keyword.select("query_id").distinct(), "query_id", "left_semi")
     kept = candidate_cap(candidate_union(lifted, forced), cap)
-    candidates = stored(prefix_dedup(with_text(kept, chunks, cap * n), length=dedup_length), "candidates")
+    shortened = F.col("text") if dedup_length is None else F.left("text", F.lit(dedup_length))
+    first = stored(prefix_dedup(with_text(kept, chunks.select("chunk_id", shortened.alias("text")), cap * n), length=dedup_length).drop("text"), "kept")
+    candidates = stored(with_text(first, chunks, cap * n), "candidates")
     return rerank(candidates, keyword, dense, queries, k_final, boosts, scorer)
 
 

@@ -1,16 +1,15 @@
 """Joins of the corpus with expectations, citations, stores and phrases."""
 from __future__ import annotations
 
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta.functions.citations import blank, matches
 from statuta.functions.text import bare_key
-from statuta.joins import lookup
+from statuta.joins import BROADCAST_ROWS, lookup, maybe_listed, sized_join, within
+from statuta.session import stored
+from statuta.unfold import unfold
 
 
 def cascade_enrich(corpus: DataFrame, known: DataFrame, heuristics: list[tuple[Column, str]]) -> DataFrame:
@@ -136,47 +135,80 @@ def duplicate_check(files: DataFrame, store: DataFrame) -> DataFrame:
     return out.withColumn("already_exists", F.col("stored_chunks") > 0)
 
 
-#: Phrases that one pass over the chunks looks for at most, about.
-PASS_PHRASES = 100_000
+#: A text is read as runs of word characters and runs of others.
+_RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_GRAM = 3
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
+
+
+def _grams(run: str) -> Column:
+    """(kind, gram) of a run: its first and last 1 to ``_GRAM`` characters, and all ranges of that many characters."""
+    size = F.length(run)
+    n = lambda k: F.lit(k)
+    starts = [F.struct(F.lit("start").alias("kind"), F.left(run, n(k)).alias("gram")) for k in range(1, _GRAM + 1)]
+    ends = [F.struct(F.lit("end").alias("kind"), F.right(run, n(k)).alias("gram")) for k in range(1, _GRAM + 1)]
+
+    def inside(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1)))
+        return F.transform(at, lambda i: F.struct(F.lit("inside").alias("kind"), F.substring(F.col(run), i, n(k)).alias("gram")))
 
+    return F.array_distinct(F.concat(F.array(*starts, *ends), *map(inside, range(1, _GRAM + 1))))
 
-def phrase_scan(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase_id, chunk_id) of chunks whose lower-case text holds the phrase.
 
-    Every text is read once, in the row that holds it, by an automaton over all phrases of a pass; nothing but the
-    result leaves the row. An empty phrase is in every text.
+def phrase_anchors(low: DataFrame, phrases: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(phrase, run): the runs of which a text must have one to hold the phrase; those of the phrase's place where they are rarest.
+
+    A run inside a phrase is a whole run of any text that holds it. The first run of a phrase ends a run of the text, the last one
+    starts one, and the only one lies in one; the runs of the corpus that do are found by 3-grams.
     """
-    import ahocorasick
+    vocabulary = stored(unfold(low, [], F.array_distinct(_runs(F.col("low"))), "run").groupBy("run").agg(F.count("*").alias("df")), "runs")
+    placed = phrases.select("phrase", F.size(_runs(F.col("phrase"))).alias("n"), F.posexplode(_runs(F.col("phrase"))).alias("place", "own"))
+    kind = F.when(F.col("n") == 1, "inside").when(F.col("place") == 0, "end").when(F.col("place") == F.col("n") - 1, "start").otherwise("whole")
+    placed = stored(placed.select("phrase", "place", "own", kind.alias("kind")), "places")
+    whole = placed.filter("kind = 'whole'").select("phrase", "place", F.col("own").alias("run"))
+    whole = sized_join(vocabulary, whole, ["run"], ["df"], measure=whole, rows=rows).select("phrase", "place", "run", "df")
+    gram = F.when(F.col("kind") == "end", F.right("own", F.lit(_GRAM))).otherwise(F.left("own", F.lit(_GRAM)))
+    edges = placed.filter("kind <> 'whole'").select("phrase", "place", "own", "kind", gram.alias("gram"))
+    split = unfold(vocabulary, ["run", "df"], _grams("run"), "g").select("run", "df", "g.*")
+    fits = (
+        F.when(F.col("kind") == "end", F.endswith("run", "own")).when(F.col("kind") == "start", F.startswith("run", "own")).otherwise(F.contains("run", "own"))
+    )
+    edge = sized_join(split, edges, ["kind", "gram"], ["run"], measure=edges, rows=rows).filter(fits).select("phrase", "place", "run", "df")
+    found = stored(whole.unionByName(edge), "anchors")
+    # a place that no text fills has no cost, and leaves its phrase without anchors
+    cost = placed.select("phrase", "place").join(found.groupBy("phrase", "place").agg(F.sum("df").alias("cost")), ["phrase", "place"], "left")
+    best = cost.groupBy("phrase").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "place")).alias("b"))
+    return stored(found.join(best.select("phrase", F.col("b.place").alias("place")), ["phrase", "place"], "left_semi").select("phrase", "run"), "chosen")
+
 
+def phrase_scan(chunks: DataFrame, phrases: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(phrase_id, chunk_id) of chunks whose lower-case text holds the phrase, a row for each row of either table.
+
+    Texts meet phrases by the rarest runs of the phrases, and what meets is looked through. Where the anchors are within ``rows`` they
+    are broadcast and a text is looked through in its row; else only runs are shuffled, then the texts that met some phrase.
+    An empty phrase is in every text.
+    """
     phrases = phrases.select("phrase_id", "phrase").filter(F.col("phrase").isNotNull())
-    kinds = [d.schema[c].dataType.simpleString() for d, c in ((phrases, "phrase_id"), (chunks, "chunk_id"))]
-    rows = chunks.filter(F.col("text").isNotNull()).select("chunk_id", F.lower("text").alias("low"))
-    passes = max(1, -(-phrases.count() // PASS_PHRASES))
-
-    def one_pass(part: int) -> DataFrame:
-        ids: dict[str, list] = {}
-        for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == part).toLocalIterator():
-            ids.setdefault(r["phrase"], []).append(r["phrase_id"])
-        always = ids.pop("", [])
-
-        def scan(batches):
-            automaton = ahocorasick.Automaton()
-            for phrase in ids:
-                automaton.add_word(phrase, phrase)
-            automaton.make_automaton()
-            for batch in batches:
-                found, at = [], []
-                for i, low in enumerate(batch.column("low").to_pylist()):
-                    held = {phrase for _, phrase in automaton.iter(low)} if ids else ()
-                    own = always + [number for phrase in held for number in ids[phrase]]
-                    found += own
-                    at += [i] * len(own)
-                yield pa.record_batch([pa.array(found, numbers), batch.column("chunk_id").take(pa.array(at, pa.int64()))], ["phrase_id", "chunk_id"])
-
-        numbers = {"string": pa.string(), "int": pa.int32()}.get(kinds[0], pa.int64())
-        return rows.mapInArrow(scan, f"phrase_id {kinds[0]}, chunk_id {kinds[1]}")
-
-    return reduce(DataFrame.unionByName, [one_pass(i) for i in range(passes)])
+    wanted = stored(phrases.select("phrase").distinct(), "phrases")
+    low = chunks.filter(F.col("text").isNotNull()).select("chunk_id", F.lower("text").alias("low"))
+    anchors = phrase_anchors(low, wanted.filter(F.col("phrase") != ""), rows)
+    numbered = low.withColumn("row", F.monotonically_increasing_id())
+    distinct = F.array_distinct(_runs(F.col("low")))
+    if within(anchors, rows):
+        met = unfold(numbered, ["row", "chunk_id", "low"], distinct, "run").join(F.broadcast(anchors), "run")
+        held = met.filter(F.contains("low", "phrase")).select("row", "chunk_id", "phrase").distinct()
+    else:
+        met = sized_join(unfold(low, ["chunk_id"], distinct, "run"), anchors, ["run"], ["chunk_id"]).select("chunk_id", "phrase").distinct()
+        met = stored(met, "met")
+        texts = maybe_listed(numbered, met.select("chunk_id"), ["chunk_id"], met.count())
+        held = texts.join(met, "chunk_id").filter(F.contains("low", "phrase")).select("row", "chunk_id", "phrase")
+    held = held.select("chunk_id", "phrase")
+    if not wanted.filter("phrase = ''").isEmpty():
+        held = held.unionByName(low.select("chunk_id", F.lit("").alias("phrase")))
+    return sized_join(held, phrases, ["phrase"], ["chunk_id"], measure=phrases, rows=rows).select("phrase_id", "chunk_id")
 
 
 def conversation_join(users: DataFrame, conversations: DataFrame, messages: DataFrame, owner: Column) -> DataFrame:

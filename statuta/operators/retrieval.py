@@ -256,22 +256,32 @@ def tfidf_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, **options) ->
 # ---- vector search ----------------------------------------------------------
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, batches, k: int) -> pd.DataFrame:
-    """The ``k`` best chunks per query over the batches, ties to the smaller chunk."""
+def _best(query_ids: np.ndarray, queries: np.ndarray, batches, k: int, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+    """The ``k`` best chunks per query over the batches, ties to the smaller chunk; none that comes after a query's bound (score, chunk)."""
     ids = [np.empty(0, np.int64)] * len(query_ids)
     scores = [np.empty(0)] * len(query_ids)
+    least, last = bounds if bounds else (np.full(len(query_ids), -np.inf), np.zeros(len(query_ids), np.int64))
+    least, last = least.copy(), last.copy()
     for pdf in batches:
         if pdf.empty:
             continue
         block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         block_ids = pdf["chunk_id"].to_numpy()
         product = np.round(queries @ block.T, 9)
-        for i, row in enumerate(product):
-            near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
+        # most queries gain nothing from most blocks once their bound is known
+        for i in np.flatnonzero(np.fmax.reduce(product, axis=1) >= least):
+            row = product[i]
+            near = np.flatnonzero(row >= least[i])
+            if len(near) > k:
+                near = near[row[near] >= np.partition(row[near], -k)[-k]]
+            if np.isfinite(least[i]):
+                near = near[(row[near] > least[i]) | (block_ids[near] <= last[i])]
             all_ids = np.concatenate([ids[i], block_ids[near]])
             all_scores = np.concatenate([scores[i], row[near]])
             keep = np.lexsort((all_ids, -all_scores))[:k]
             ids[i], scores[i] = all_ids[keep], all_scores[keep]
+            if len(keep) == k and (scores[i][-1], -ids[i][-1]) > (least[i], -last[i]):
+                least[i], last[i] = scores[i][-1], ids[i][-1]
     sizes = [len(x) for x in ids]
     return pd.DataFrame(
         {
@@ -283,49 +293,65 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, batches, k: int) -> pd.Dat
 
 
 _BEST_SCHEMA = "query_id long, chunk_id long, score double"
+#: One of so many vectors is scored first, for bounds; a table of fewer tasks than that is scored at once.
+SLICES = 16
+_SLICE_TASKS = 8
 
 
-def dense_topk(vectors: DataFrame, query_vectors: DataFrame, k: int = 150) -> DataFrame:
-    """Exact inner-product top-k: block products in tasks, each keeping its own best ``k``.
+def _bounds(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    if "least" not in pdf:
+        return None
+    return pdf["least"].fillna(-np.inf).to_numpy(float), pdf["last"].fillna(0).to_numpy(np.int64)
+
 
-    A query matrix counted within ``QUERY_MATRIX_ROWS`` travels to every vector task.
-    A larger one is cut into blocks that meet cells of the vector table in a grid of
-    bounded groups, so neither side has to fit anywhere whole.
+def dense_partial(vectors: DataFrame, query_vectors: DataFrame, k: int, matrix_rows: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of each task's best ``k``, and with columns (least, last) of the queries only those up to that bound.
+
+    A query matrix counted within ``matrix_rows`` travels to every vector task. A larger one is cut into blocks that meet cells of
+    the vector table in a grid of bounded groups, so neither side has to fit anywhere whole.
     """
-    spark = vectors.sparkSession
-    vectors = vectors.select("chunk_id", "embedding")
-    query_vectors = query_vectors.select("query_id", "embedding")
-    if within(query_vectors, QUERY_MATRIX_ROWS):
+    matrix_rows = QUERY_MATRIX_ROWS if matrix_rows is None else matrix_rows
+    if within(query_vectors, matrix_rows):
         local = query_vectors.toPandas()
         if local.empty:
-            return spark.createDataFrame([], _BEST_SCHEMA + ", rank int")
+            return vectors.sparkSession.createDataFrame([], _BEST_SCHEMA)
         matrix = np.stack(local["embedding"].to_numpy()).astype(np.float64)
-        shared = spark.sparkContext.broadcast((local["query_id"].to_numpy(), matrix))
+        shared = vectors.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), matrix, _bounds(local)))
 
         def scan(batches):
-            names, values = shared.value
-            yield _best(names, values, batches, k)
-
-        partial = vectors.mapInPandas(scan, _BEST_SCHEMA)
-    else:
-        blocks = -(-query_vectors.count() // (QUERY_MATRIX_ROWS // 2))
-        cells = -(-max(1, vectors.count()) // VECTOR_CELL_ROWS)
-        seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-        left = query_vectors.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-            "c", seq(cells)
-        )
-        right = vectors.withColumn("c", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")).withColumn(
-            "b", seq(blocks)
-        )
+            names, values, bounds = shared.value
+            yield _best(names, values, batches, k, bounds)
+
+        return vectors.mapInPandas(scan, _BEST_SCHEMA)
+    blocks = -(-query_vectors.count() // max(1, matrix_rows // 2))
+    cells = -(-max(1, vectors.count()) // VECTOR_CELL_ROWS)
+    seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    left = query_vectors.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("c", seq(cells))
+    right = vectors.withColumn("c", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")).withColumn("b", seq(blocks))
 
-        def cell(queries_pdf: pd.DataFrame, vectors_pdf: pd.DataFrame) -> pd.DataFrame:
-            if queries_pdf.empty or vectors_pdf.empty:
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-            values = np.stack(queries_pdf["embedding"].to_numpy()).astype(np.float64)
-            return _best(queries_pdf["query_id"].to_numpy(), values, [vectors_pdf], k)
+    def cell(queries_pdf: pd.DataFrame, vectors_pdf: pd.DataFrame) -> pd.DataFrame:
+        if queries_pdf.empty or vectors_pdf.empty:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        values = np.stack(queries_pdf["embedding"].to_numpy()).astype(np.float64)
+        return _best(queries_pdf["query_id"].to_numpy(), values, [vectors_pdf], k, _bounds(queries_pdf))
 
-        partial = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(cell, _BEST_SCHEMA)
-    return top_ranked(partial, k)
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(cell, _BEST_SCHEMA)
+
+
+def dense_topk(vectors: DataFrame, query_vectors: DataFrame, k: int = 150, slices: int = SLICES, matrix_rows: int | None = None) -> DataFrame:
+    """Exact inner-product top-k: block products in tasks, each keeping its own best ``k``.
+
+    Over many tasks that would be k rows a query and task. So one vector of ``slices``, by hash, is scored first, in a few tasks; the
+    k-th best of each query there is a bound that all others must meet, and what is shuffled is about ``slices`` times k rows a query.
+    """
+    vectors = vectors.select("chunk_id", "embedding")
+    query_vectors = query_vectors.select("query_id", "embedding")
+    if vectors.rdd.getNumPartitions() > slices:
+        few = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == 0).repartition(_SLICE_TASKS)
+        first = top_ranked(dense_partial(few, query_vectors, k, matrix_rows), k).filter(F.col("rank") == k)
+        bounds = stored(first.select("query_id", F.col("score").alias("least"), F.col("chunk_id").alias("last")), "bounds")
+        query_vectors = query_vectors.join(bounds, "query_id", "left")
+    return top_ranked(dense_partial(vectors, query_vectors, k, matrix_rows), k)
 
 
 # ---- fusion -----------------------------------------------------------------

@@ -19,7 +19,7 @@ from statuta.plans import ranking as RQ
 from statuta.plans import reports as PQ
 from statuta.plans.inputs import lit, sql_tokens
 from statuta.plans.registry import query
-from statuta.session import shared_folder
+from statuta.session import shared_folder, stored
 from statuta.sources import documents as SD
 from statuta.sources import lines as SL
 from statuta.sources.tables import table
@@ -134,10 +134,13 @@ pq AS (SELECT v.version, item_id, CASE WHEN best <= 1 THEN 1 ELSE 0 END AS hit1,
   FROM benchmark CROSS JOIN (VALUES ('bm25'), ('tfidf'), ('dense'), ('rrf'), ('hybrid')) v(version) LEFT JOIN h ON h.query_id = item_id AND h.version = v.version)
 SELECT version, {_RECALL} FROM pq GROUP BY version""")
 def version_comparison(spark, d):
-    """Three single lists, their fusion, and the full chain with pair scores."""
-    chain = lambda spark, d: RQ.hybrid(spark, d, 10).withColumn("score", F.col("score_rerank"))
-    runs = {"bm25": I.bm25_run, "tfidf": I.tfidf_run, "dense": I.dense_run, "rrf": I.rrf_run, "hybrid": chain}
-    shaped = {name: MQ.run_rows(spark, d, run(spark, d)) for name, run in runs.items()}
+    """Three single lists, their fusion, and the full chain with pair scores; the chain's own two lists serve all that need them."""
+    keyword = stored(R.bm25_topk(I.chunks(spark, d), I.queries(spark, d), RQ.K), "keyword")
+    dense = stored(R.dense_topk(I.chunk_vectors(spark, d), I.query_vectors(spark, d), RQ.K), "dense")
+    first = {"bm25": keyword.filter(F.col("rank") <= I.RUN_K), "dense": dense.filter(F.col("rank") <= I.RUN_K)}
+    chain = RQ.hybrid(spark, d, 10, first_stage=(keyword, dense)).withColumn("score", F.col("score_rerank"))
+    runs = {**first, "tfidf": I.tfidf_run(spark, d), "rrf": stored(R.rrf_merge(list(first.values())), "rrf"), "hybrid": stored(chain, "chain")}
+    shaped = {name: MQ.run_rows(spark, d, run) for name, run in runs.items()}
     return E.compare_versions(shaped, I.queries(spark, d), MQ.gold(spark, d))
 
 
@@ -315,11 +318,18 @@ def store_commit(spark, d):
 y AS (SELECT doc_id, hit AS repaired, CASE WHEN hit THEN replace(text, ' the ', ' THEE ') ELSE text END AS text FROM x), t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM y)
 SELECT doc_id, repaired, md5(text) AS text_md5, (SELECT count(*) FROM t WHERE term = 'thee') AS n_term FROM y""")
 def store_repair(spark, d):
-    chunks = I.chunks(spark, d)
+    root = fresh(spark, "store")
+    old = ST.commit(spark, root, I.chunks(spark, d), I.chunk_vectors(spark, d))
     target = F.col("van_ban").startswith("src1") & (F.col("dieu") == "en") & F.col("khoan").isin("1", "3")
-    fixed = ST.repair(chunks, target, " the ", " THEE ")
-    again = R.term_stats(fixed).filter("term = 'thee'").agg(F.sum("cf")).scalar()
-    return fixed.select(F.col("chunk_id").alias("doc_id"), "repaired", F.md5("text").alias("text_md5")).withColumn("n_term", F.coalesce(again, F.lit(0)))
+    try:
+        new = ST.repair_version(spark, root, target, " the ", " THEE ")
+    except LookupError:  # a table without such rows: the version stays
+        new = old
+    before, after = ST.read_version(spark, root, old), ST.read_version(spark, root, new)
+    again = after["postings"].filter("term = 'thee'").agg(F.sum("tf")).scalar()
+    was = before["chunks"].select("chunk_id", F.md5("text").alias("was"))
+    rows = after["chunks"].select("chunk_id", F.md5("text").alias("text_md5")).join(was, "chunk_id")
+    return rows.select(F.col("chunk_id").alias("doc_id"), (F.col("text_md5") != F.col("was")).alias("repaired"), "text_md5", F.coalesce(again, F.lit(0)).alias("n_term"))
 
 
 @query("store_stats", f"SELECT (SELECT count(*) FROM documents) AS n_chunks, (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents WHERE len({sql_tokens('text')}) > 0) AS n_postings, (SELECT count(*) FROM documents) = (SELECT count(*) FROM embeddings) AS consistent")

@@ -1,6 +1,8 @@
 """Queries over boosts, rerank decisions, hybrid search, mining, and ordered outputs."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
@@ -11,6 +13,7 @@ from statuta.operators import store as ST
 from statuta.plans import inputs as I
 from statuta.plans.inputs import lit, sql_all, sql_any, sql_list, sql_strip, sql_tokens, sql_words
 from statuta.plans.registry import query
+from statuta.session import shared_folder
 from statuta.sources.tables import table
 
 K, CAP, FINAL = 50, 30, 10
@@ -102,7 +105,8 @@ def candidate_union_except(spark, d):
 def candidate_cap(spark, d):
     capped = B.candidate_cap(I.rrf_run(spark, d), 12)
     bound = I.queries(spark, d).count() * 12
-    out = B.prefix_dedup(B.with_text(capped, I.chunks(spark, d), bound))
+    starts = I.chunks(spark, d).select("chunk_id", F.left("text", F.lit(200)).alias("text"))
+    out = B.prefix_dedup(B.with_text(capped, starts, bound))
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -205,10 +209,10 @@ fin AS (SELECT query_id, chunk_id, dense_score, skip OR bypass AS proxied, CASE
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score_rerank, 9) DESC, chunk_id) AS rank FROM fin)"""
 
 
-def hybrid(spark, d, k_final=FINAL, queries=None, query_vectors=None):
+def hybrid(spark, d, k_final=FINAL, queries=None, query_vectors=None, first_stage=None):
     return B.hybrid_search(
         I.chunks(spark, d), I.chunk_vectors(spark, d), queries if queries is not None else I.queries(spark, d),
-        query_vectors if query_vectors is not None else I.query_vectors(spark, d), K, k_final, CAP, BOOSTS,
+        query_vectors if query_vectors is not None else I.query_vectors(spark, d), K, k_final, CAP, BOOSTS, first_stage=first_stage,
     )
 
 
@@ -279,19 +283,25 @@ def corpus_append(spark, d):
     return ST.corpus_append(old, docs.filter("NOT is_old"), "doc_id")
 
 
-@query("doc_delete", """WITH gone AS (SELECT doc_id FROM documents WHERE source = 'src3'), k AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)),
-v AS (SELECT * FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM gone))
-SELECT (SELECT count(*) FROM gone) AS n_deleted, (SELECT count(*) FROM k) AS n_chunks, (SELECT count(*) FROM v) AS n_vectors, (SELECT CAST(sum(doc_id) AS BIGINT) FROM k) AS id_sum,
-  (SELECT count(*) FROM k WHERE doc_id < (SELECT count(*) FROM embeddings)) = (SELECT count(*) FROM v WHERE vec_id < (SELECT count(*) FROM documents)) AS consistent""")
+@query("doc_delete", f"""WITH k AS (SELECT doc_id, text FROM documents WHERE source <> 'src3' OR source IS NULL)
+SELECT (SELECT count(*) FROM documents WHERE source = 'src3') AS n_deleted, (SELECT count(*) FROM k) AS n_chunks, (SELECT count(*) FROM k) AS n_vectors, (SELECT count(*) FROM k WHERE len({I.sql_tokens('text')}) > 0) AS n_postings,
+  (SELECT CAST(sum(doc_id) AS BIGINT) FROM k) AS id_sum, (SELECT CAST(sum(doc_id) AS BIGINT) FROM k) AS vector_id_sum, true AS consistent, true AS unknown_is_error""")
 def doc_delete(spark, d):
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    gone = docs.filter("source = 'src3'").select("doc_id")
-    kept = ST.doc_delete({"chunks": docs.withColumn("_key", F.col("doc_id")), "vectors": vectors.withColumn("_key", F.col("vec_id"))}, gone.select(F.col("doc_id").alias("_key")))
-    n_vec, n_doc = vectors.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
-    chunks = kept["chunks"].withColumn("n", n_vec).agg(F.count("*").alias("n_chunks"), F.sum("doc_id").alias("id_sum"), F.count_if(F.col("doc_id") < F.col("n")).alias("a"))
-    left = kept["vectors"].withColumn("n", n_doc).agg(F.struct(F.count("*").alias("n_vectors"), F.count_if(F.col("vec_id") < F.col("n")).alias("b"))).scalar()
-    return chunks.withColumn("v", left).withColumn("g", gone.agg(F.count("*")).scalar()).select(
-        F.col("g").alias("n_deleted"), "n_chunks", "v.n_vectors", "id_sum", (F.col("a") == F.col("v.b")).alias("consistent")
+    """Publish a store without the documents of one source, read it back, and try to delete them again."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    before = ST.commit(spark, root, I.chunks(spark, d), I.chunk_vectors(spark, d))
+    target = F.col("van_ban") == "src3"
+    n = ST.read_version(spark, root, before)["chunks"].filter(target).count()
+    after = ST.delete(spark, root, target)
+    try:
+        ST.delete(spark, root, target)
+        refused = False
+    except LookupError:
+        refused = ST.current_version(spark, root) == after
+    tables = ST.read_version(spark, root, after)
+    sums = {name: tables[name].agg(F.sum("chunk_id")).scalar() for name in ("chunks", "vectors")}
+    return ST.store_stats(tables).withColumns(
+        {"n_deleted": F.lit(n).cast("long"), "id_sum": sums["chunks"], "vector_id_sum": sums["vectors"], "unknown_is_error": F.lit(refused)}
     )
 
 

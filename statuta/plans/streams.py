@@ -24,6 +24,20 @@ def stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def arriving(spark, d, name, order, out, parts=4):
+    """A table of the data folder as a stream of ``parts`` files, one a batch: in order of time, or dealt by hash of ``order``."""
+    df = table(spark, d, name)
+    if order == "ts":
+        first, last = df.select(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp")) + 1).first()
+        part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * parts / (last - first))
+    else:
+        part = F.pmod(F.xxhash64(order), F.lit(parts))
+    # file by file, as files come in the order of their times
+    for k in range(parts):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(f"{out}/incoming")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/incoming")
+
+
 _LINES = ["Step 1: x", "noise", "Running OCR", "Merging", "Parse it", "Generated nothing", "Generated 5 chunks", "  ", "Embedding", "Step 3: again", "Committing to Production"]
 
 
@@ -43,8 +57,8 @@ y AS (SELECT *, [{', '.join(map(lit, _LINES))}][i] AS line, [{_STEPS}]::INTEGER[
 SELECT doc_id, line_no, line, max(own) OVER (PARTITION BY doc_id ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING) AS step FROM y WHERE trim(line) <> ''""".replace("[1, 0, 2, 3, 3, 0, 4, 0, 5, 3, 5]::INTEGER[][i]", "([1, 0, 2, 3, 3, 0, 4, 0, 5, 3, 5]::INTEGER[])[i]"))
 def ingest_progress_stream(spark, d):
     out, checkpoint = folders(spark, "progress")
-    L.run_available(L.progress_stream(lines(stream(spark, d, "events"))), out, checkpoint)
-    return spark.read.schema(L._PROGRESS).parquet(out)
+    L.run_available(L.progress_stream(lines(arriving(spark, d, "events", "event_id", checkpoint))), out, f"{checkpoint}/log")
+    return L.settled(spark.read.schema(L._PROGRESS).parquet(out))
 
 
 @query("progress_outcome", f"""WITH e AS (SELECT {_DOC} AS doc_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS code, CAST(floor(value) AS BIGINT) AS n FROM events WHERE event_type IN ('purchase', 'error')),
@@ -52,13 +66,13 @@ f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts
 SELECT doc_id, CASE WHEN stored IS NOT NULL THEN 'already_exists' WHEN code = 0 THEN 'success' ELSE 'failed' END AS status, CASE WHEN stored IS NOT NULL THEN stored WHEN code = 0 THEN n ELSE 0 END AS num_chunks FROM f LEFT JOIN s USING (doc_id)""")
 def progress_outcome(spark, d):
     out, checkpoint = folders(spark, "outcome")
-    events = stream(spark, d, "events").filter(F.col("event_type").isin("purchase", "error"))
+    events = arriving(spark, d, "events", "ts", checkpoint).filter(F.col("event_type").isin("purchase", "error"))
     ends = events.select(
         (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("doc_id"), "ts", F.col("event_id").alias("line_no"),
         F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("exit_code"), F.floor("value").cast("long").alias("num_chunks"),
     )
     store = table(spark, d, "labels").select((F.col("doc_id") * 1000 + 5).alias("doc_id"), F.col("doc_id").alias("num_chunks"))
-    L.outcome_stream(ends, store, out, checkpoint)
+    L.outcome_stream(ends, store, out, f"{checkpoint}/log")
     return spark.read.schema(L.OUTCOME).parquet(out).select("doc_id", "status", "num_chunks")
 
 
@@ -69,12 +83,12 @@ s AS (SELECT client, 0::BIGINT AS n, NULL::BIGINT AS request_id, NULL::INTEGER A
 SELECT client, request_id, status FROM s WHERE n > 0""")
 def rate_limit_admission(spark, d):
     out, checkpoint = folders(spark, "requests")
-    requests = stream(spark, d, "events").select(
+    requests = arriving(spark, d, "events", "ts", checkpoint).select(
         F.col("user_id").alias("client"), F.col("event_id").alias("request_id"),
         F.when(F.col("event_type") == "view", F.lit("/health")).otherwise("/api/chat").alias("path"), F.col("ts").cast("timestamp").alias("ts"),
     )
-    L.run_available(L.rate_limit(requests, 3, 86400), out, checkpoint)
-    return spark.read.schema(L._ADMITTED).parquet(out).drop("ts")
+    L.run_available(L.rate_limit(requests, 3, 86400), out, f"{checkpoint}/log")
+    return spark.read.schema(L._ADMITTED).parquet(out).select("client", "request_id", "status")
 
 
 @query("incremental_ingest_stream", f"""WITH x AS (SELECT sha256(text) AS sha256, any_value(text) AS text FROM documents GROUP BY 1), l AS (SELECT sha256, unnest(string_split(text, chr(10))) AS t FROM x)

@@ -1,10 +1,11 @@
 """Live flows as Structured Streaming jobs, each with the batch form of its result."""
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,28 +51,43 @@ def progress_batch(lines: DataFrame) -> DataFrame:
     return kept.select("doc_id", "line_no", "line", F.max("own").over(upto).alias("step"))
 
 
-_PROGRESS = "doc_id long, line_no long, line string, step int"
+_PROGRESS = "doc_id long, line_no long, ts timestamp, line string, step int"
+
+
+_TOP = max(step for step, _ in V.PROGRESS_RULES)
+_NEVER = 2**63 - 1
 
 
 def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    step = state.get[0] if state.exists else 0
-    frames = list(batches)
-    rows = pd.concat(frames).sort_values(["ts", "line_no"])
-    steps = rows["own"].cummax().clip(lower=step)
-    state.update((int(steps.iloc[-1]),))
-    # without further lines the state goes once the watermark is past the last one
-    state.setTimeoutTimestamp(max(int(rows["us"].max()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"doc_id": key[0], "line_no": rows["line_no"], "line": rows["line"], "step": steps.astype("int32")})
-
-
-def progress_stream(lines: DataFrame, idle: str = "1 day") -> DataFrame:
-    """The same over a stream; the state is one number per document, held until the document is ``idle``."""
+    # where each step was first reached: times and line numbers, of the steps 1, 2, ...
+    us, line = (list(x) for x in state.get) if state.exists else ([_NEVER] * _TOP, [_NEVER] * _TOP)
+    rows = pd.concat(list(batches)).sort_values(["us", "line_no"])
+    t, n, own = (rows[c].to_numpy() for c in ("us", "line_no", "own"))
+    steps = np.zeros(len(rows), np.int32)
+    for k in range(_TOP):
+        hit = np.flatnonzero(own > k)
+        if len(hit):
+            us[k], line[k] = min((us[k], line[k]), (int(t[hit[0]]), int(n[hit[0]])))
+        steps[(t > us[k]) | ((t == us[k]) & (n >= line[k]))] = k + 1
+    state.update((us, line))
+    yield pd.DataFrame({"doc_id": key[0], "line_no": rows["line_no"], "ts": rows["ts"], "line": rows["line"], "step": steps})
+
+
+def progress_stream(lines: DataFrame) -> DataFrame:
+    """The same over a stream: each line once, with its document's highest step up to its time among the lines that came so far.
+
+    No line is too late, as there is no watermark, and no state is dropped: that of a document is where each step was first reached,
+    a few numbers on the state store's disk. A late line can raise lines given out before; ``settled`` tells.
+    """
     kept = lines.filter(F.rtrim("line") != "").withColumns({"own": line_step(F.col("line")), "ts": F.col("ts").cast("timestamp")})
-    kept = kept.withWatermark("ts", idle).withColumn("us", F.unix_micros("ts"))
-    return kept.groupBy("doc_id").applyInPandasWithState(_progress, _PROGRESS, "step int", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = kept.withColumn("us", F.unix_micros("ts"))
+    return kept.groupBy("doc_id").applyInPandasWithState(_progress, _PROGRESS, "us array<long>, line array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """What the stream gave out, in the state of ``progress_batch`` over the same lines, in whatever order they came."""
+    upto = W.partitionBy("doc_id").orderBy("ts", "line_no").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select("doc_id", "line_no", "line", F.max("step").over(upto).alias("step"))
 
 
 # ---- outcomes ---------------------------------------------------------------
@@ -93,63 +109,78 @@ def outcome_batch(ends: DataFrame, store: DataFrame) -> DataFrame:
 OUTCOME = "doc_id bigint, status string, num_chunks bigint"
 
 
+_END = "doc_id long, ts timestamp, line_no long, exit_code int, num_chunks long"
+
+
+def _first_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.exists:
+        return
+    state.update((True,))
+    yield pd.concat(list(batches)).sort_values(["ts", "line_no"]).head(1)[["doc_id", "ts", "line_no", "exit_code", "num_chunks"]]
+
+
 def outcome_stream(ends: DataFrame, store: DataFrame, path: str, checkpoint: str) -> None:
-    """Append each document's outcome once. A batch owns one folder, so a repeated batch replaces itself."""
+    """Append each document's outcome once, from the first end of the first batch that has one.
+
+    The state store remembers which documents have one, so a batch reads nothing of earlier batches. A batch owns one folder, so a
+    repeated batch replaces itself.
+    """
+    cast = ends.select("doc_id", F.col("ts").cast("timestamp").alias("ts"), "line_no", F.col("exit_code").cast("int").alias("exit_code"), F.col("num_chunks").cast("long").alias("num_chunks"))
+    first = cast.groupBy("doc_id").applyInPandasWithState(_first_end, _END, "done boolean", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = outcome_batch(batch, store)
-        if number > 0:
-            new = new.join(_earlier(spark, path, OUTCOME, number).select("doc_id"), "doc_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        outcome_batch(batch, store).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run_available(ends, path, checkpoint, write)
+    run_available(first, path, checkpoint, write)
 
 
-def _earlier(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
-    """Rows of the batches before ``number``."""
-    return spark.read.schema(schema + ", batch int").parquet(path).filter(F.col("batch") < number).drop("batch")
+# ---- rate limit -------------------------------------------------------------
 
+_ADMITTED = "client long, request_id long, ts timestamp, status int, late boolean"
 
-# ---- rate limit -------------------------------------------------------------
 
-_ADMITTED = "client long, request_id long, ts timestamp, status int"
+def _late_fits(passed: list[int], us: int, limit: int, span: int) -> bool:
+    """Whether no window that holds ``us`` would have more than ``limit`` of the sorted ``passed`` and it."""
+    i = bisect_right(passed, us)
+    firsts = range(max(0, i - limit), min(i, len(passed) - limit) + 1)
+    return all(max(passed[j + limit - 1], us) - min(passed[j], us) >= span for j in firsts)
 
 
-def _admission(limit: int, seconds: int):
-    span = seconds * 1_000_000
+def _admission(limit: int, seconds: int, late: int):
+    span, memory = seconds * 1_000_000, late * 1_000_000
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        passed = deque(state.get[0] if state.exists else [], maxlen=limit)
+        newest, passed = state.get if state.exists else (None, [])
+        passed = list(passed)
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        status = []
-        for us in rows["us"]:
-            # times come in order, so the oldest of the last `limit` that passed decides alone
-            held = len(passed) == limit and us - passed[0] < span
-            status.append(429 if held else 200)
-            if not held:
-                passed.append(int(us))
-        state.update((list(passed),))
-        last = max(int(rows["us"].iloc[-1]) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(last)
-        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "ts": rows["ts"], "status": pd.array(status, dtype="int32")})
+        status, behind = [], []
+        for us in rows["us"].tolist():
+            behind.append(newest is not None and us < newest)
+            if not behind[-1]:
+                # times come in order, so the oldest of the last `limit` that passed decides alone
+                fits, newest = len(passed) < limit or us - passed[-limit] >= span, us
+            else:
+                fits = us >= newest - memory and _late_fits(passed, us, limit, span)
+            status.append(200 if fits else 429)
+            if fits:
+                insort(passed, us)
+        state.update((newest, passed[bisect_right(passed, newest - memory - span) :]))
+        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "ts": rows["ts"], "status": pd.array(status, dtype="int32"), "late": behind})
 
     return admit
 
 
-def rate_limit(requests: DataFrame, limit: int = V.RATE_LIMIT_REQUESTS, seconds: int = V.RATE_LIMIT_SECONDS) -> DataFrame:
-    """``requests(client, request_id, path, ts)`` on API paths with status 200 or 429.
+def rate_limit(requests: DataFrame, limit: int = V.RATE_LIMIT_REQUESTS, seconds: int = V.RATE_LIMIT_SECONDS, late: int = 600) -> DataFrame:
+    """``requests(client, request_id, path, ts)`` on API paths, each answered once with status 200 or 429.
 
-    A request passes when fewer than ``limit`` passed in the window before it. The state
-    holds only those, at most ``limit`` times, and goes once the watermark is past them.
+    A request passes when fewer than ``limit`` passed in the window before it. A ``late`` one, older than a request of its client that a
+    batch before answered, passes when no window around it gets more than ``limit``; one that is over ``late`` seconds behind is
+    answered with 429, as what passed then is no longer known. The state of a client, which stays, holds the times that passed since then.
     """
-    api = requests.filter(F.col("path").startswith(V.RATE_LIMIT_PREFIX)).withWatermark("ts", "10 minutes")
+    api = requests.filter(F.col("path").startswith(V.RATE_LIMIT_PREFIX))
     keyed = api.select("client", "request_id", "ts", F.unix_micros("ts").alias("us"))
     return keyed.groupBy("client").applyInPandasWithState(
-        _admission(limit, seconds), _ADMITTED, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        _admission(limit, seconds, late), _ADMITTED, "newest long, passed array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -162,24 +193,22 @@ CHUNKS = "sha256 string, doc_id bigint, chunk_index int, text string"
 def ingest_stream(documents: DataFrame, path: str, checkpoint: str) -> None:
     """``documents(doc_id, text)``: new content is registered once and cut into line chunks.
 
-    Every batch writes its own folder of both tables, so a repeated batch replaces itself.
+    The state store remembers the hashes, so a batch reads nothing of earlier batches; of equal contents within one batch any one is
+    registered. Every batch writes its own folder of both tables, so a repeated batch replaces itself.
     """
+    hashed = documents.withColumn("sha256", F.sha2("text", 256)).dropDuplicates(["sha256"])
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.withColumn("sha256", F.sha2("text", 256))
-        first = hashed.groupBy("sha256").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("sha256", "d.*")
-        if number > 0:
-            first = first.join(_earlier(spark, f"{path}/registry", REGISTRY, number).select("sha256"), "sha256", "left_anti")
         target = f"{path}/new/batch={number}"
+        first = batch.select("sha256", "doc_id", "text")
         first.write.mode("overwrite").parquet(target)
-        new = spark.read.schema(first.schema).parquet(target)
+        new = batch.sparkSession.read.schema(first.schema).parquet(target)
         lines = unfold(new, ["sha256", "doc_id"], F.split("text", "\n"), "text", "chunk_index")
         lines.filter(strip(F.col("text")) != "").write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         # the registry comes last: what it names is complete
         new.select("doc_id", "sha256").write.mode("overwrite").parquet(f"{path}/registry/batch={number}")
 
-    run_available(documents, path, checkpoint, write)
+    run_available(hashed, path, checkpoint, write)
 
 
 # ---- log sink ---------------------------------------------------------------

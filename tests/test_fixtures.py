@@ -1,6 +1,7 @@
 """Small cases with known answers: the Vietnamese word lists, the quirks, the exact ways beside the fast ones."""
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -278,14 +279,72 @@ def test_merger_boost(spark):
     assert forced["score"] == 1.30
 
 
-@pytest.mark.parametrize("most", [100_000, 2])
-def test_phrase_scan_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(M, "PASS_PHRASES", most)
-    docs = corpus(spark)
+@pytest.mark.parametrize("rows", [joins.BROADCAST_ROWS, 0])
+def test_phrase_scan_brute_force(spark, rows):
+    """Phrases with whole words, with parts of words only, of marks only, of one letter, absent, repeated and empty; repeated chunks."""
+    docs = corpus(spark) + [(900, "a--b, c!  d"), (900, "a--b, c!  d"), (901, "--"), (902, ""), (903, "Ünïcode über--alles w3"), (904, None)]
     chunks = spark.createDataFrame(docs, "chunk_id long, text string")
-    phrases = [(1, "w1 the w2"), (2, "w3"), (3, "1 w"), (4, "the the w5 t"), (5, "w3"), (6, "")]
-    got = {tuple(r) for r in M.phrase_scan(chunks, spark.createDataFrame(phrases, "phrase_id long, phrase string")).collect()}
-    assert got == {(p, c) for p, ph in phrases for c, t in docs if ph in t}
+    phrases = [(1, "w1 the w2"), (2, "w3"), (3, "1 w"), (4, "the the w5 t"), (5, "w3"), (6, ""), (7, "--"), (8, "-"), (9, "b, c!"), (10, ", c!"), (11, "x"), (12, None), (13, "über--a"), (14, "cod"), (15, " the zz "), (16, "!  "), (2, "w4 w")]
+    got = sorted(tuple(r) for r in M.phrase_scan(chunks, spark.createDataFrame(phrases, "phrase_id long, phrase string"), rows).collect())
+    assert got == sorted((p, c) for p, ph in phrases for c, t in docs if ph is not None and t is not None and ph in t.lower())
+
+
+def test_phrase_scan_has_no_python_and_no_nested_loop(spark):
+    chunks = spark.createDataFrame(corpus(spark), "chunk_id long, text string")
+    for rows in (joins.BROADCAST_ROWS, 0):
+        plan = plan_of(M.phrase_scan(chunks, spark.createDataFrame([(1, "the w2"), (2, "")], "phrase_id long, phrase string"), rows))
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
+
+
+# ---- text fetch ---------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("bound", [1, 5_000, 10**9])
+def test_maybe_listed_loses_nothing(spark, bound):
+    table = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("text"))
+    listed = table.filter("chunk_id % 7 = 3").select("chunk_id")
+    got = {r[0] for r in joins.maybe_listed(table, listed, ["chunk_id"], bound).select("chunk_id").collect()}
+    want = {i for i in range(20_000) if i % 7 == 3}
+    assert want <= got and (bound < 5_000 or len(got - want) < 0.02 * 20_000)
+    other = {r[0] for r in joins.maybe_listed(table, listed, ["chunk_id"], 5_000, F.col("text").endswith("1")).select("chunk_id").collect()}
+    assert {i for i in range(20_000) if i % 7 == 3 or i % 10 == 1} <= other and len(other) < 6_500
+    assert joins.maybe_listed(table, listed.limit(0), ["chunk_id"], bound).count() == 0
+
+
+def test_lookup_beyond_the_bound_shuffles_listed_rows_only(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("x"), 100).alias("text")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    ranked = spark.createDataFrame([(q, q * 17 % 20_000) for q in range(50)] + [(77, 17)], "query_id long, chunk_id long")
+    out = joins.lookup(ranked, table, ["chunk_id"], 51, rows=0)
+    assert out.count() == 51 and out.filter("length(text) = 100").count() == 51
+    before_exchange = joins.maybe_listed(table, ranked.select("chunk_id"), ["chunk_id"], 51)
+    assert before_exchange.count() < 150
+
+
+# ---- vector search ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("matrix_rows", [4096, 4])
+def test_dense_topk_over_many_tasks(spark, matrix_rows):
+    """Exact with a bound from a slice, also where very many vectors are alike; what is shuffled follows queries x k, not the tasks."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(-3, 4, (3000, 6)).astype(float)
+    values[::3] = [1, 2, 0, 1, 2, 0]
+    asked = rng.integers(-3, 4, (11, 6)).astype(float)
+    frame = lambda m, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{key} long, embedding array<double>")
+    vectors, queries = frame(values, "chunk_id").repartition(60), frame(asked, "query_id")
+    k = 5
+    want = {(q, int(c), r + 1) for q, a in enumerate(asked) for r, c in enumerate(np.lexsort((np.arange(3000), -(values @ a)))[:k])}
+    got = R.dense_topk(vectors, queries, k, matrix_rows=matrix_rows)
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got.collect()} == want
+    few = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(R.SLICES)) == 0)
+    first = R.top_ranked(R.dense_partial(few, queries, k), k).filter(F.col("rank") == k)
+    bounded = queries.join(first.select("query_id", F.col("score").alias("least"), F.col("chunk_id").alias("last")), "query_id", "left")
+    assert R.dense_partial(vectors, bounded, k).count() < 2 * R.SLICES * k * 11 / 2 < R.dense_partial(vectors, queries, k).count()
 
 
 # ---- citations --------------------------------------------------------------
@@ -486,6 +545,41 @@ def test_store_changes(spark, tmp_path):
     assert ST.current_version(spark, root) == fourth
 
 
+def test_store_of_two_writers(spark, tmp_path, monkeypatch):
+    """Both read version 1 and write; exactly one version 2 comes of it, and the loser's rows are in none."""
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id long, text string")
+    vecs = lambda *ids: spark.createDataFrame([(i, [1.0]) for i in ids], "chunk_id long, embedding array<float>")
+    root = str(tmp_path / "store")
+    ST.append(spark, root, rows((0, "a")), vecs(0))
+    old = ST._entry(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(ST, "_entry", lambda *_: old)
+        won = ST.append(spark, root, rows((1, "b")), vecs(1))
+        for late in (lambda: ST.append(spark, root, rows((2, "c")), vecs(2)), lambda: ST.delete(spark, root, F.col("chunk_id") == 0)):
+            with pytest.raises(RuntimeError, match="another writer"):
+                late()
+    assert ST.current_version(spark, root) == won and sorted(p.name for p in (tmp_path / "store/log").glob("*.json")) == [f"v{1:020d}.json", f"{won}.json"]
+    assert sorted(r["chunk_id"] for r in ST.read_version(spark, root, won)["chunks"].collect()) == [0, 1]
+
+
+def test_store_appends_and_compaction(spark, tmp_path):
+    """An append reads no earlier postings; after compaction a version is one part with the same rows."""
+    root = str(tmp_path / "store")
+    for i in range(5):
+        ST.append(spark, root, spark.createDataFrame([(i, f"w{i} x")], "chunk_id long, text string"), spark.createDataFrame([(i, [1.0 * i])], "chunk_id long, embedding array<float>"))
+    fifth = ST._entry(spark, root)
+    assert (fifth["n_chunks"], fifth["n_vectors"], fifth["n_postings"], len(fifth["steps"])) == (5, 5, 5, 5)
+    ST.delete(spark, root, F.col("chunk_id") == 3)
+    state = lambda version: {name: sorted(map(str, df.collect())) for name, df in ST.read_version(spark, root, version).items()}
+    before = ST.current_version(spark, root)
+    packed = ST.compact(spark, root)
+    assert state(packed) == state(before) and len(ST._entry(spark, root)["steps"]) == 1
+    for file in (tmp_path / "store" / ST._entry(spark, root)["steps"][0] / "postings").glob("*.parquet"):
+        file.write_bytes(b"unreadable")
+    entry = ST._entry(spark, root, ST.append(spark, root, spark.createDataFrame([(9, "!")], "chunk_id long, text string"), spark.createDataFrame([(9, [0.5])], "chunk_id long, embedding array<float>")))
+    assert (entry["n_chunks"], entry["n_vectors"], entry["n_postings"]) == (5, 5, 5)
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
     good, bad = SL.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a bigint")
@@ -500,6 +594,13 @@ def as_stream(spark, df, folder):
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
+def file_by_file(spark, frames, folder):
+    """A stream that takes the frames one a batch, in this order."""
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def test_progress_stream(spark, tmp_path):
     rows = [(1, 1, "Step 6: x"), (1, 2, "Parse"), (1, 3, "Generated 4 chunks"), (2, 4, "Merging")]
     df = spark.createDataFrame(rows, "doc_id long, line_no long, line string").withColumn("ts", F.timestamp_seconds("line_no"))
@@ -508,6 +609,87 @@ def test_progress_stream(spark, tmp_path):
     assert got == {1: 5, 2: 5, 3: 5, 4: 3} == {r["line_no"]: r["step"] for r in L.progress_batch(df).collect()}
 
 
+def test_progress_stream_of_late_lines(spark, tmp_path):
+    """Four files out of order of time, lines days behind, documents that miss files."""
+    rng = random.Random(7)
+    texts = ["Step 1: x", "noise", "Merging", "Parse", "Embedding", "Running OCR", "Generated 3 chunks", "other"]
+    rows = [(i % 5 + 10 * (i // 60), i, rng.choice(texts), rng.randrange(10) * 100_000 + 1_000_000_000) for i in range(240)]
+    rng.shuffle(rows)
+    # the first three documents come in the first and third file only
+    of = lambda r: rng.choice([0, 2]) if r[0] < 3 else rng.randrange(4)
+    parts = [[], [], [], []]
+    for r in rows:
+        parts[of(r)].append(r)
+    frames = [spark.createDataFrame(p, "doc_id long, line_no long, line string, s long").withColumn("ts", F.timestamp_seconds("s")) for p in parts]
+    L.run_available(L.progress_stream(file_by_file(spark, frames, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
+    out = spark.read.schema(L._PROGRESS).parquet(str(tmp_path / "out"))
+    step = lambda df: {r["line_no"]: r["step"] for r in df.collect()}
+    want = step(L.progress_batch(reduce(lambda a, b: a.unionByName(b), frames)))
+    assert step(L.settled(out)) == want and out.count() == len(rows)
+    # what was given out at the time: the highest step up to the line among all that had come
+    live, seen = step(out), {}
+    own = {}
+    for part, frame in zip(parts, frames):
+        own |= {r["line_no"]: r["own"] for r in frame.select("line_no", L.line_step(F.col("line")).alias("own")).collect()}
+        seen |= {n: (d, s) for d, n, _, s in part}
+        for d, n, _, s in part:
+            assert live[n] == max(own[m] for m, (e, t) in seen.items() if e == d and (t, m) <= (s, n))
+
+
+def test_rate_limit_answers_late_requests(spark, tmp_path):
+    """Requests 11 minutes and longer behind are answered, against what passed then; every request has one row."""
+    at = lambda *rows: spark.createDataFrame(rows, "client long, request_id long, s long").select(
+        "client", "request_id", F.lit("/api/x").alias("path"), F.timestamp_seconds(F.col("s") + 10**9).alias("ts")
+    )
+    frames = [
+        at((1, 1, 0), (1, 2, 10), (1, 3, 20), (2, 4, 0)),
+        at((1, 5, 700), (1, 6, 705), (2, 7, 2000)),
+        at((1, 8, 40), (1, 9, 650), (1, 10, 648), (1, 11, 660), (2, 12, 1940)),
+        at((1, 13, 760), (1, 14, 765), (2, 15, 2001), (3, 16, 5)),
+    ]
+    L.run_available(L.rate_limit(file_by_file(spark, frames, str(tmp_path / "in")), 3, 60), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {r["request_id"]: (r["status"], r["late"]) for r in spark.read.schema(L._ADMITTED).parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got) == list(range(1, 17))
+    assert [got[i] for i in (1, 2, 3, 5, 6)] == [(200, False)] * 5
+    assert got[8] == (429, True)  # 665 s behind, beyond what is remembered
+    # at 648 there is room; then 648, 700 and 705 fill a minute
+    assert got[10] == (200, True) and got[9] == got[11] == (429, True)
+    assert got[12] == (200, True) and got[13] == (200, False) and got[14] == (200, False) and got[15] == got[16] == (200, False)
+    remembered = L.rate_limit(file_by_file(spark, frames, str(tmp_path / "in2")), 3, 60, late=1000)
+    L.run_available(remembered, str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    again = {r["request_id"]: r["status"] for r in spark.read.schema(L._ADMITTED).parquet(str(tmp_path / "out2")).collect()}
+    assert again[8] == 429 and len(again) == 16  # 0, 10 and 20 passed within its minute
+
+
+def test_late_fits_brute_force():
+    rng = random.Random(9)
+    for _ in range(3000):
+        limit, span = rng.randrange(1, 5), rng.randrange(1, 20)
+        passed = []
+        for t in sorted(rng.randrange(60) for _ in range(12)):
+            if sum(t - p < span for p in passed) < limit:
+                passed.append(t)
+        us = rng.randrange(60)
+        both = sorted([*passed, us])
+        want = all(sum(e - span < p <= e for p in both) <= limit for e in both)
+        assert L._late_fits(passed, us, limit, span) == want, (passed, us, limit, span)
+
+
+def test_outcomes_and_contents_once_over_batches(spark, tmp_path):
+    ends = [
+        spark.createDataFrame(rows, "doc_id long, s long, line_no long, exit_code int, num_chunks long").withColumn("ts", F.timestamp_seconds("s"))
+        for rows in ([(1, 5, 2, 0, 7), (1, 4, 1, 1, 0), (2, 1, 1, 0, 3)], [(1, 1, 0, 0, 9), (3, 1, 1, 0, 4)], [(2, 9, 9, 1, 0), (4, 1, 1, 1, 5)])
+    ]
+    store = spark.createDataFrame([(3, 40)], "doc_id long, num_chunks long")
+    L.outcome_stream(file_by_file(spark, ends, str(tmp_path / "ends")), store, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.schema(L.OUTCOME).parquet(str(tmp_path / "out")).select("doc_id", "status", "num_chunks").collect()
+    assert sorted(map(tuple, got)) == [(1, "failed", 0), (2, "success", 3), (3, "already_exists", 40), (4, "failed", 0)]
+    docs = [spark.createDataFrame(rows, "doc_id long, text string") for rows in ([(1, "a\nb"), (2, "c")], [(3, "a\nb"), (4, "d\n\ne")], [(5, "c"), (6, "f")])]
+    L.ingest_stream(file_by_file(spark, docs, str(tmp_path / "docs")), str(tmp_path / "store"), str(tmp_path / "cp2"))
+    chunks = spark.read.schema(L.CHUNKS).parquet(str(tmp_path / "store/chunks")).select("doc_id", "chunk_index", "text").collect()
+    assert sorted(map(tuple, chunks)) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (4, 0, "d"), (4, 2, "e"), (6, 0, "f")]
+
+
 def test_rate_limit(spark, tmp_path):
     rng = random.Random(2)
     rows = [(1, i, "/api/x", i / 3.5) for i in range(31)] + [(2, 100 + i, "/api/x", rng.random() * 200) for i in range(150)] + [(1, 999, "/health", 1.0)]
