@@ -16,7 +16,7 @@ task, at most one a row. So every pair that shares a band is verified, joined by
 signatures: a pair of similarity 0.8 shares no band with a probability of 7e-5, and falls below ``LIKELY`` with one of 2e-5.
 
 Defined cases: a null key or text is in no class with others; texts without a word are a class where they are equal; rows of one key
-are one document; ties go to the smaller id; the class id is the smallest id of the class; an empty table gives an empty result;
+are told apart by their rows, and keys may be of any type with an order; ties go to the smaller id; the class id is the smallest id of the class; an empty table gives an empty result;
 texts are read whole; other columns are not read.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.joins import BROADCAST_ROWS, within
@@ -329,8 +329,8 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return _together(full, verify, "a long, b long", ["a", "b"])
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copy_of) of every row: the smallest id of the near-duplicate class, and of the rows with the same multiset."""
+def _classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, copy_of) of every row; ids are whole numbers, none of them twice."""
     keys = ["one", "two", "n"]
     found = stored(signed(docs), "signed")
     # written, so that the join can split a multiset that very many rows have
@@ -358,27 +358,75 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
-    named = members.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
-    rest = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    return named.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
+    return members.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+
+
+def _there() -> Column:
+    return F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether the ids of the rows that take part are whole numbers, none of them twice; only the ids are looked at."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return docs.filter(_there()).groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows that take part, written with a number each, and the name of that column."""
+    number = "row_number"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    return stored(docs.filter(_there()).withColumn(number, F.monotonically_increasing_id()), "rows"), number
+
+
+def _named(rows: DataFrame, number: str, similarity: float) -> DataFrame:
+    """(row, doc_id, class_id, copy_of) of numbered rows: the smallest ids of the class, and of the rows with the same multiset."""
+    found = _classes(rows.select(F.col(number).alias("doc_id"), "text"), similarity).withColumnRenamed("doc_id", "row")
+    found = stored(found.join(rows.select(F.col(number).alias("row"), "doc_id"), "row"), "found")
+    for column in ("class_id", "copy_of"):
+        least = found.groupBy(column).agg(F.min("doc_id").alias("_least"))
+        found = found.join(least, column).drop(column).withColumnRenamed("_least", column)
+    return found.select("row", "doc_id", "class_id", "copy_of")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, copy_of) of every row: the smallest id of the near-duplicate class, and of the rows with the same multiset.
+
+    Rows are told apart even where they share an id: unlike texts of one id fall to classes of their own. Ids of any type that has an order do.
+    """
+    if _plain(docs):
+        found, key = _classes(docs.filter(_there()), similarity), F.col("doc_id").cast("long").alias("doc_id")
+    else:
+        found, key = _named(*_rows(docs), similarity).drop("row"), F.col("doc_id")
+    rest = docs.filter(~_there()).select(key)
+    return found.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one of the smallest id, with all columns; rows without a key or text stay."""
-    found = classes(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
-    ids = stored(found.groupBy("doc_id").agg(F.min("class_id").alias("class"), F.count("*").alias("rows")), "ids")
-    key = "out_id"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-
-    def named(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias(key))
-        return F.broadcast(rows) if within(rows, BROADCAST_ROWS) else rows
-
-    same = (docs["doc_id"].cast("long") == F.col(key)) & docs["text"].isNotNull()
-    # the documents that go are far fewer than those that stay; rows of one id are rare
-    out = docs.join(named(ids.filter("doc_id != class or rows > 1")), same, "left_anti")
-    repeated = ids.filter("doc_id = class and rows > 1")
-    if repeated.limit(1).count():
-        out = out.unionByName(docs.join(named(repeated), same, "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    """One row of each class, the one of the smallest id, with all columns; rows without a key or text stay.
+
+    Rows that share an id but not their text are different documents.
+    """
+    if _plain(docs):
+        found = _classes(docs.filter(_there()))
+        # the documents that go are far fewer than those that stay
+        gone = stored(found.filter("doc_id != class_id").select(F.col("doc_id").alias("out_id")), "gone")
+        gone, key = _renamed(gone, docs), "doc_id"
+        return docs.join(gone, (F.col(key) == F.col(gone.columns[0])) & F.col("text").isNotNull(), "left_anti")
+    rows, number = _rows(docs)
+    found = _classes(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
+    found = stored(found.join(rows.select(F.col(number).alias("row"), "doc_id"), "row"), "found")
+    kept = found.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    gone = _renamed(stored(found.join(kept, "row", "left_anti").select(F.col("row").alias("out_id")), "gone"), rows)
+    left = rows.join(gone, F.col(number) == F.col(gone.columns[0]), "left_anti").select(*docs.columns)
+    return left.unionByName(docs.filter(~_there()))
+
+
+def _renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The one column of ``rows`` under a name that ``docs`` has not; broadcast where it is counted within the bound."""
+    name = rows.columns[0]
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    rows = rows.toDF(name)
+    return F.broadcast(rows) if within(rows, BROADCAST_ROWS) else rows

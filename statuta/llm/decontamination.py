@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from statuta.llm.words import mix, slices, word_hashes
 from statuta.session import stored
@@ -237,19 +238,22 @@ def indexes(benchmark: DataFrame, shortest: int = SHINGLE) -> list[Index]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, shortest: int = SHINGLE) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every document and test item of at least ``shortest`` words that it holds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): every document and test item of at least ``shortest`` words that it holds.
+
+    Keys keep their types.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kinds = [df.schema[c].dataType for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
+    item = to_arrow_type(kinds[1])
 
     def scan(index: Index):
         def run(batches):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = index.matches(part.column("text"))
-                    ids = part.column("doc_id").to_pylist()
-                    columns = list(zip(*((ids[text], *rest) for text, *rest in found))) or [()] * 6
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+                    text, *rest = list(zip(*index.matches(part.column("text")))) or [()] * 6
+                    columns = [pa.array(c, k) for c, k in zip(rest, (item, pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
+                    yield pa.record_batch([part.column("doc_id").take(pa.array(text, pa.int64())), *columns], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         return rows.mapInArrow(run, schema)
 

@@ -32,8 +32,8 @@ CLOSING = 1
 #: Rows of equal length that one task numbers, about.
 BLOCK_ROWS = 50_000
 LEAST_SALTS = 64
-#: Words a task remembers the ids of.
-REMEMBERED = 200_000
+#: Bytes of words and their ids that a task remembers, about.
+REMEMBERED = 48 << 20
 
 
 class Tokenizer:
@@ -54,6 +54,7 @@ class Tokenizer:
 
         self._loaded = Loaded.from_file(path)
         self._ids: dict[str, bytes] = {"": b""}
+        self._held = 0
         self._quick = _byte_merges(self._loaded)
 
     @classmethod
@@ -89,10 +90,12 @@ class Tokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self._ids) > REMEMBERED:
-            self._ids = {"": b""}
+        if self._held > REMEMBERED:
+            self._ids, self._held = {"": b""}, 0
         for own in words:
-            self._learn(set(own).difference(self._ids))
+            new = set(own).difference(self._ids)
+            self._learn(new)
+            self._held += sum(150 + 5 * len(word) for word in new)
         get = self._ids.__getitem__
         return [b"".join(map(get, own)) for own in words]
 

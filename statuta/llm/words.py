@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
+#: Bytes of a word at most; a longer run without a separator is several words.
+RUN = 2 << 20
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -114,32 +116,47 @@ def spaced(texts: pa.Array) -> pa.Array:
 def pieces(texts: pa.Array, separators: np.ndarray) -> Iterator[tuple[Piece, np.ndarray]]:
     """Pieces in order, each with the number of the text that every word of the piece lies in.
 
-    Nulls count as empty. Words of one text come in order, over one piece or several.
+    Nulls count as empty. Words of one text come in order, over one piece or several. A piece has at most ``RUN`` bytes and its ends;
+    a run of more bytes without a separator is cut, from its start on, into several words.
     """
-    raw = [x or b"" for x in pc.cast(texts, pa.binary() if texts.type == pa.string() else pa.large_binary()).to_pylist()]
-    at, n = 0, len(raw)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, n = 0, len(texts)
     while at < n:
         size, to = 0, at
-        while to < n and (to == at or size + len(raw[to]) < PIECE):
-            size += len(raw[to]) + 1
+        while to < n and (to == at or size + lengths[to] < PIECE):
+            size += lengths[to] + 1
             to += 1
-        data = np.frombuffer(b"\n" + b"\n".join(raw[at:to]) + b"\n", np.uint8)
-        marks = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw[at:to]])])
-        if len(data) <= 2 * PIECE:
+        own = texts.slice(at, to - at)
+        raw = [x or b"" for x in pc.cast(own, pa.binary() if own.type == pa.string() else pa.large_binary()).to_pylist()]
+        if size <= PIECE:
+            data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+            marks = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
             piece = Piece(data, separators)
             yield piece, at + np.searchsorted(marks, piece.starts, "right") - 1
         else:  # one long text
-            cut = 0
-            while cut < len(data) - 1:
-                end = min(cut + PIECE, len(data) - 1)
-                while end < len(data) - 1 and not separators[data[end]]:
-                    end += 1
-                piece = Piece(data[cut : end + 1], separators)
+            for data in _cuts(np.frombuffer(raw[0], np.uint8), separators):
+                piece = Piece(data, separators)
                 yield piece, np.full(len(piece.starts), at)
-                cut = end
         at = to
 
 
+_LINE = np.array([10], np.uint8)
+
+
+def _cuts(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts that start and end with a separator: the last one within ``PIECE`` bytes, else the first one after, else one put in."""
+    at, n = 0, len(data)
+    while at < n:
+        near = np.flatnonzero(separators[data[at : at + PIECE]])
+        stop = at + int(near[-1]) + 1 if len(near) else 0
+        if not len(near):
+            far = np.flatnonzero(separators[data[at + PIECE : at + RUN]])
+            stop = at + PIECE + int(far[0]) + 1 if len(far) else min(at + RUN, n)
+        before = data[at - 1 : at] if at and separators[data[at - 1]] else _LINE
+        yield np.concatenate([before, data[at:stop], _LINE[: not separators[data[stop - 1]]]])
+        at = stop
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and where each text's words start (one more entry than texts).
 

@@ -71,6 +71,33 @@ def test_one_query_for_each_operator():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q != "pipeline"} == set(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
+# ---- keys that are no plain numbers -------------------------------------------
+
+
+A = "one two three four five six seven eight nine ten eleven twelve"
+B = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_are_rows_not_ids(spark, kind):
+    """Ids that unlike texts share: each text stays; ids of text."""
+    rows = [(1, A), (1, B), (2, "quite another text with some other words in it here"), (3, A + "."), (3, B), (4, B), (None, A), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("row", F.lit("extra")).withColumn("row_number", F.lit("extra"))
+    k = int if kind == "long" else str
+    got = Counter((r["doc_id"], r["class_id"]) for r in bagminhash.classes(docs).collect())
+    assert got == Counter({(k(1), k(1)): 2, (k(2), k(2)): 1, (k(3), k(1)): 2, (k(4), k(1)): 1, (None, None): 1, (k(5), k(5)): 1})
+    kept = bagminhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("1", A), ("1", B), ("2", rows[2][1]), ("None", A), ("5", "")])
+
+
+def test_decontamination_of_text_keys(spark):
+    docs = spark.createDataFrame([("x1", "so " + A + " end"), ("x2", B)], "doc_id string, text string")
+    items = spark.createDataFrame([("i", A)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, items).collect()] == [("x1", "i")]
+    assert decontamination.matches(docs, items.limit(0)).collect() == []
+
+
 # ---- language -----------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from bisect import bisect_left, insort
 from collections import Counter
 
@@ -178,3 +179,28 @@ def test_question_and_answer():
     assert decontamination.question_words("one two\nthree", 3) == 2
     assert decontamination.question_words("one two. three four", 4) == 2
     assert decontamination.question_words("one two three", 3) == 2
+
+
+@pytest.mark.parametrize("text", ["a" * 50, "語" * 40, "ab " * 30 + "x" * 70 + " yz" * 20, "x" * 33 + " " + "x" * 33, " " * 80, "a b", "ñ" * 16 + ". ñ"])
+def test_pieces_are_bounded_whatever_the_bytes(monkeypatch, text):
+    """With pieces of 16 bytes and words of 32: no piece over that and its ends, all bytes in order, words cut from their start on only when too long."""
+    whole = list(words.pieces(pa.array(["", text, None, "end"]), words.WORD_SEPARATORS))
+    monkeypatch.setattr(words, "PIECE", 16)
+    monkeypatch.setattr(words, "RUN", 32)
+    parts = list(words.pieces(pa.array(["", text, None, "end"]), words.WORD_SEPARATORS))
+    assert max(len(p.data) for p, _ in parts) <= 34
+    texts = [np.concatenate([of for _, of in x]) for x in (whole, parts)]
+    spans = [[bytes(p.data[a:b]) for p, _ in x for a, b in zip(p.starts, p.ends)] for x in (whole, parts)]
+    want = [(i, w[k : k + 32]) for i, w in zip(texts[0], spans[0]) for k in range(0, len(w), 32)]
+    assert [(i, w) for i, w in zip(texts[1], spans[1])] == want
+
+
+def test_memory_of_a_long_text_without_separators():
+    """The words of 24 MB of one letter, and of as much Han, stay within some times a piece."""
+    for text in ("a" * (24 << 20), "語" * (8 << 20)):
+        tracemalloc.start()
+        before = tracemalloc.get_traced_memory()[0]
+        n = sum(len(piece.words()) for piece, _ in words.pieces(pa.array([text]), words.WORD_SEPARATORS))
+        peak = tracemalloc.get_traced_memory()[1] - before
+        tracemalloc.stop()
+        assert n == 12 and peak < 300 << 20
