@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     """
     chosen = labelled.labelled(labels, label, sample, parts, held_out)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    table = counted(rows).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # the same order however the rows arrived
+    # one row a sampled key, however many rows have it
+    one = counted(rows).groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts")).alias("r")).select("doc_id", "label", "r.ids", "r.counts")
+    table = one.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # the same order however the rows arrived
     ids, counts = ([np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("ids", np.uint16), ("counts", np.float32)))
     model = train(ids, counts, table["label"].to_numpy())
     # the driver holds no more than the weights from here on

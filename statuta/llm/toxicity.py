@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from statuta.llm import labelled
 from statuta.llm.words import WORD_SEPARATORS, lowered, pieces, slices
+from statuta.session import stored
 
 #: Labelled rows to learn from at most; one in CALIBRATION of them only fits the curve.
 SAMPLE = 12_000
@@ -190,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = labelled.labelled(labels, label, sample, parts, held_out).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0)
     chosen = chosen.sparkSession.createDataFrame(chosen.toArrow().to_pandas(), chosen.schema)  # bounded; chosen once
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("label", "text", "curve")
+    # one row a sampled key, however many rows have it; written once, as it is read three times
+    rows = stored(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "curve").agg(F.min("text").alias("text")), "sample")
     sizes = {(r["curve"], r["label"]): r["n"] for r in rows.groupBy("curve", "label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
     share = sum(n for (_, y), n in sizes.items() if y) / max(1, sum(sizes.values()))

@@ -311,7 +311,7 @@ def test_topk_brute_force(spark, shard_rows):
     vectors = table(spark, "embeddings")
     rows = vectors.toPandas()
     want = nearest_brute(rows.vec_id.to_numpy(), np.floor(256 * np.stack(rows.embedding).astype(float)))
-    got = topk.nearest(vectors, F.col("id") % 50 == 0, shard_rows=shard_rows, query_rows=4 if shard_rows == 60 else 2048)
+    got = topk.nearest(vectors, F.col("id") % 50 == 0, shard_rows=shard_rows)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
@@ -325,6 +325,14 @@ def test_topk_odd(spark):
     assert topk.fiftieth(vectors.limit(0)).collect() == []
 
 
+def test_topk_of_repeated_ids(spark):
+    """Unlike vectors of one id are rows of their own: each asks, and each is a candidate of the other."""
+    vectors = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.fiftieth(vectors).select("query_id", "rank", "vec_id", "score").collect())
+    one, two = [(50, 1, 1, 65536), (50, 2, 50, 0)], [(50, 1, 1, 131072), (50, 2, 50, 0)]
+    assert got == sorted(one + two)
+
+
 # ---- URL rules ----------------------------------------------------------------
 
 

@@ -174,6 +174,32 @@ def test_search_against_brute_force():
             assert [(-int(x), int(i)) for x, i in zip(s, g)] == true
 
 
+def test_descent_visits_few_leaves_of_clusters():
+    """A query takes the leaves of its own cluster and few others; rows that are all alike are split too."""
+    random = np.random.default_rng(5)
+    centres = random.integers(-200, 200, (64, 8)).astype(float)
+    rows = np.repeat(centres, 200, 0) + random.integers(-3, 4, (12_800, 8))
+    ids = np.arange(len(rows))
+    tree = topk.Tree(ids, rows)
+    leaves = int((tree.left < 0).sum())
+    got, scores = topk.search(tree, ids[:100], rows[:100], 5, np.full(100, -np.inf))
+    for q in range(100):
+        true = sorted((-int(x), int(i)) for x, i in zip(rows @ rows[q], ids) if i != q)[:5]
+        assert [(-int(x), int(i)) for x, i in zip(scores[q], got[q])] == true
+    assert leaves >= 100 and tree.visited < 0.15 * 100 * leaves
+    # a floor above all scores prunes the whole tree
+    before = tree.visited
+    assert (topk.search(tree, ids[:100], rows[:100], 5, np.full(100, 1e9))[0] == -1).all() and tree.visited == before
+    alike = topk.Tree(ids[:1000], np.ones((1000, 3)))
+    assert (topk.search(alike, ids[:1], np.ones((1, 3)), 5, np.full(1, -np.inf))[0] == [[1, 2, 3, 4, 5]]).all()
+
+
+def test_sums_beyond_64_bits_are_an_error():
+    rows = np.full((3, 2), 2.0**40)
+    with pytest.raises(OverflowError):
+        topk.search(topk.Tree(np.arange(3), rows), np.arange(1), rows[:1], 2, np.full(1, -np.inf))
+
+
 def test_question_and_answer():
     assert decontamination.question_words("What is it? A dog.", 5) == 3
     assert decontamination.question_words("one two\nthree", 3) == 2
