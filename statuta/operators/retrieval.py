@@ -104,6 +104,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
 
 #: Rows (query, term) that one pass over the chunks scores at most, about.
 PASS_TERMS = 100_000
+#: Pairs of a row and a query term that are scored together, about.
+PASS_PAIRS = 2_000_000
+#: Scores that wait in a task before they are ranked with those it holds, at least.
+WAITING = 200_000
 
 
 def _found_terms(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ...]:
@@ -117,7 +121,7 @@ def _found_terms(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ..
     return key // len(terms), key % len(terms), tf, lengths
 
 
-def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k: int, k1: float, b: float) -> DataFrame:
+def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k: int, k1: float, b_: float) -> DataFrame:
     """Best ``k`` chunks of each task for the queries of ``wanted(query_id, term, qtf)``: a chunk is scored where its text is."""
     names = sorted(set(wanted["term"]))
     terms = pa.array(names, pa.string())
@@ -151,19 +155,40 @@ def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k:
         return q[keep], chunk[keep], score[keep]
 
     def scored(batches):
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        held, waiting, n_waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        least = np.full(len(ids), -np.inf)  # the k-th score of each query so far
+
+        def settle():
+            nonlocal held, waiting, n_waiting
+            held = best(*(np.concatenate(x) for x in zip(held, *waiting)))
+            q, at, n = np.unique(held[0], return_index=True, return_counts=True)
+            full = n == k
+            least[q[full]] = np.round(held[2][at[full] + k - 1], 9)
+            waiting, n_waiting = [], 0
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, number, tf, lengths = _found_terms(part, terms)
-                share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / average)) if len(row) else np.zeros(0)
-                size = starts[number + 1] - starts[number]
-                pair = np.repeat(np.arange(len(row)), size)
-                own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-                key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
-                score = np.bincount(inverse, weight[own] * share[pair], len(key))
-                chunk = part.column("chunk_id").to_numpy()[key // len(ids)]
-                held = best(*(np.concatenate(x) for x in zip(held, (key % len(ids), chunk, score))))
+                rows_, numbers, tfs, lengths = _found_terms(part, terms)
+                sizes = starts[numbers + 1] - starts[numbers]
+                ends, a = np.cumsum(sizes), 0
+                while a < len(rows_):  # whole rows, of about so many pairs of row and query term
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PASS_PAIRS, "right")))
+                    b = int(np.searchsorted(rows_, rows_[b - 1], "right"))
+                    row, number, tf, size = rows_[a:b], numbers[a:b], tfs[a:b], sizes[a:b]
+                    a = b
+                    share = tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * lengths[row] / average))
+                    pair = np.repeat(np.arange(len(row)), size)
+                    own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+                    key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
+                    score = np.bincount(inverse, weight[own] * share[pair], len(key))
+                    near = np.round(score, 9) >= least[key % len(ids)]
+                    key, score = key[near], score[near]
+                    waiting.append((key % len(ids), part.column("chunk_id").to_numpy()[key // len(ids)], score))
+                    n_waiting += len(key)
+                    if n_waiting > max(WAITING, len(held[0])):
+                        settle()
+        settle()
         yield pa.record_batch([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "chunk_id", "score"])
 
     return rows.mapInArrow(scored, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")

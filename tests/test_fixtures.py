@@ -24,6 +24,7 @@ from statuta.operators import reports as P
 from statuta.operators import retrieval as R
 from statuta.operators import store as ST
 from statuta.operators import structure as S
+from statuta.operators import vectors as VE
 from statuta.sources import documents as SD
 from statuta.sources import lines as SL
 from statuta.streaming import flows as L
@@ -234,6 +235,8 @@ def test_bm25_brute_force_and_salted(spark, monkeypatch):
     best = [(q, n + 1, c) for q in (1, 2) for n, (_, c) in enumerate(sorted((-round(s.expected, 9), c) for (p, c), s in want.items() if p == q)[:3])]
     assert ranked() == best
     monkeypatch.setattr(R, "PASS_TERMS", 2)
+    monkeypatch.setattr(R, "PASS_PAIRS", 1)
+    monkeypatch.setattr(R, "WAITING", 1)
     assert ranked() == best
     assert R.bm25_topk(chunks, queries.filter("query_id = 3"), 3).collect() == R.bm25_topk(chunks.limit(0), queries, 3).collect() == []
     monkeypatch.setattr(joins, "within", lambda df, rows: False)
@@ -296,6 +299,20 @@ def test_phrase_scan_has_no_python_and_no_nested_loop(spark):
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
 
 
+def test_mean_pool_brute_force(spark):
+    """Keys over many tasks, single parts, vectors of one component, empty vectors, a null key."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), rng.normal(size=3).tolist()) for k in rng.integers(0, 9, 400)] + [(50, [3.0, 4.0, 0.0]), (None, [1.0, 1.0, 0.0]), (None, [1.0, 1.0, 0.0]), (60, []), (61, [2.0])]
+    got = {r["key"]: r["embedding"] for r in VE.mean_pool(spark.createDataFrame(rows, "key long, embedding array<double>").repartition(7)).collect()}
+    assert set(got) == {k for k, _ in rows} and got[50] == [3.0, 4.0, 0.0] and got[60] == [] and got[61] == [2.0]
+    for key in set(got) - {50, 60, 61}:
+        mean = np.mean([v for k, v in rows if k == key], 0)
+        assert np.allclose(got[key], mean / np.linalg.norm(mean))
+    texts = VE.mean_pool(spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [5.0, 5.0])], "key string, embedding array<float>")).collect()
+    assert {r["key"]: [round(x, 6) for x in r["embedding"]] for r in texts} == {"a": [0.707107, 0.707107], "b": [5.0, 5.0]}
+    assert VE.mean_pool(spark.createDataFrame([], "key long, embedding array<double>")).collect() == []
+
+
 # ---- text fetch ---------------------------------------------------------------
 
 
