@@ -189,6 +189,10 @@ CONCLUSION_PATTERN = (
 )
 CITATION_HEADING = r"(?is)^(.*?)\n\s*(?:Trích dẫn|Căn cứ pháp lý|📎 \*\*Trích dẫn:\*\*)\s*\n"
 
+# Patterns of reading errors and what replaces them, before and after the list of replacements.
+REPAIRS_BEFORE = [(r"\n[lI]\.\s", "\n1. "), (r"(?U)\bS0\b", "SỐ")]
+REPAIRS_AFTER = [(r"[|¬~`]", ""), (r"-\s*\n\s*", "")]
+
 # ---- text cleaning ----------------------------------------------------------
 # Fixed value: page lines dropped when pages are merged.
 PAGE_NOISE = r"(?i)^(VGP|CÔNG THÔNG TIN|Trang \d+|Page \d+)"

@@ -70,13 +70,15 @@ def single_pass_spaces(text: Column) -> Column:
 
 def repaired(text: Column, replacements: list[tuple[str, str]] = V.OCR_REPLACEMENTS) -> Column:
     """Ordered repair of reading errors."""
-    out = F.regexp_replace(text, r"\n[lI]\.\s", "\n1. ")
-    out = F.regexp_replace(out, r"(?U)\bS0\b", "SỐ")
+    out = text
+    for pattern, replacement in V.REPAIRS_BEFORE:
+        out = F.regexp_replace(out, pattern, replacement)
     for wrong, right in replacements:
         out = F.replace(out, F.lit(wrong), F.lit(right))
         out = F.replace(out, F.lit(wrong.lower()), F.lit(right.lower()))
-    out = F.regexp_replace(out, r"[|¬~`]", "")
-    return F.regexp_replace(out, r"-\s*\n\s*", "")
+    for pattern, replacement in V.REPAIRS_AFTER:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
 
 
 def guarded(original: Column, corrected: Column) -> Column:

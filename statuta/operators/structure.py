@@ -105,9 +105,8 @@ def marked(lines: DataFrame) -> DataFrame:
     return kept.withColumn("in_appendix", F.max("is_appendix").over(ORDER.upto))
 
 
-def titles(lines: DataFrame) -> DataFrame:
-    """(doc_id, ten_van_ban): from the first document-type line to the end of the header."""
-    m = marked(lines)
+def with_title_parts(m: DataFrame) -> DataFrame:
+    """Marked lines with their document's title lines, from the first document-type line to the end of the header."""
     body = ~F.col("in_appendix")
     finish = (F.col("is_header_stop") | F.col("is_chapter") | F.col("is_article")) & body
     whole = W.partitionBy("doc_id")
@@ -120,11 +119,17 @@ def titles(lines: DataFrame) -> DataFrame:
     )
     end = F.coalesce(F.col("finish"), F.col("foot") + 1)
     part = (F.col("pos") >= F.col("start")) & (F.col("pos") < end) & ~F.col("line").rlike(V.HEADER_TRASH_LINE)
-    joined = bounds.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(part, F.struct("pos", "line")))).alias("parts")
-    )
-    title = F.array_join(F.col("parts.line"), " ")
-    return joined.select("doc_id", F.when(title == "", F.lit(V.UNKNOWN_TITLE)).otherwise(title).alias("ten_van_ban"))
+    return bounds.withColumn("title_parts", F.collect_list(F.when(part, F.struct("pos", "line"))).over(whole)).drop("finish", "foot", "start")
+
+
+def title_of(parts: Column) -> Column:
+    title = F.array_join(F.array_sort(parts)["line"], " ")
+    return F.when(title == "", F.lit(V.UNKNOWN_TITLE)).otherwise(title).alias("ten_van_ban")
+
+
+def titles(lines: DataFrame) -> DataFrame:
+    """(doc_id, ten_van_ban) of every document with lines."""
+    return with_title_parts(marked(lines)).groupBy("doc_id").agg(F.first("title_parts").alias("parts")).select("doc_id", title_of(F.col("parts")))
 
 
 def appendices(lines: DataFrame) -> DataFrame:
@@ -147,9 +152,10 @@ def inline_point(text: Column) -> Column:
     return F.struct(part(1).alias("prefix"), part(2).alias("letter"), F.trim(part(3)).alias("rest"))
 
 
-def _items(lines: DataFrame) -> DataFrame:
-    """One row per line piece with its kind and the open chapter, article and clause."""
-    m = marked(lines).filter(~F.col("in_appendix"))
+def _items(lines: DataFrame, titled: bool = False) -> DataFrame:
+    """One row per line piece with its kind and the open chapter, article and clause; ``titled`` adds the document's title lines."""
+    m = marked(lines)
+    m = (with_title_parts(m) if titled else m).filter(~F.col("in_appendix"))
     line = F.col("line")
     # chapter names: first upper-case line of a chapter, up to a footer
     seg = F.sum((F.col("is_chapter") | F.col("is_footer")).cast("long")).over(ORDER.upto)
@@ -218,25 +224,26 @@ def _items(lines: DataFrame) -> DataFrame:
     piece = lambda sub, node_, text, diem: F.struct(F.lit(sub).alias("sub"), node_.alias("node"), text.alias("content"), diem.alias("diem"))
     first = piece(0, F.col("node"), F.when(F.col("inline.letter").isNull(), F.col("own")).otherwise(lead), letter)
     second = F.when(F.col("inline.letter").isNotNull(), piece(1, F.lit("inline_point"), F.col("inline.rest"), F.col("inline.letter")))
-    return m.select(
-        "doc_id", "pos", "page", "chuong", "chuong_ten", "article_at", "clause_at",
-        F.explode(F.array_compact(F.array(first, second))).alias("piece"),
-    ).select("doc_id", "pos", "page", "chuong", "chuong_ten", "article_at", "clause_at", "piece.*")
+    kept = ["doc_id", "pos", "page", "chuong", "chuong_ten", "article_at", "clause_at", *(["title_parts"] if titled else [])]
+    return m.select(*kept, F.explode(F.array_compact(F.array(first, second))).alias("piece")).select(*kept, "piece.*")
 
 
-def _noded(lines: DataFrame) -> DataFrame:
+def _noded(lines: DataFrame, titled: bool = False) -> DataFrame:
     """Pieces with the number of the node they belong to and whether that node is kept."""
     order = W.partitionBy("doc_id").orderBy("pos", "sub").rowsBetween(W.unboundedPreceding, 0)
     opening = F.col("node").isin("footer", "chapter", "article", "clause", "point", "inline_point")
-    items = _items(lines).filter("node <> 'skip'").withColumn("opens", opening)
+    items = _items(lines, titled).filter("node <> 'skip'").withColumn("opens", opening)
     items = items.withColumn("node_id", F.sum(F.col("opens").cast("long")).over(order))
     attached = F.col("node").isin("article", "clause", "inline_point") | ((F.col("node") == "point") & F.col("clause_at.khoan").isNotNull())
     return items.withColumn("keeps", F.last(F.when(F.col("opens"), attached), ignorenulls=True).over(order))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """(doc_id, node_id, level, chuong, chuong_ten, dieu, khoan, diem, page_number, noi_dung) in reading order."""
-    kept = _noded(lines).filter(F.coalesce(F.col("keeps"), F.lit(False)))
+def parse(lines: DataFrame, titled: bool = False) -> DataFrame:
+    """(doc_id, node_id, level, chuong, chuong_ten, dieu, khoan, diem, page_number, noi_dung) in reading order.
+
+    ``titled`` adds ten_van_ban, from the same pass over the lines.
+    """
+    kept = _noded(lines, titled).filter(F.coalesce(F.col("keeps"), F.lit(False)))
     by_clause = F.col("node").isin("clause", "point", "inline_point")
     head = F.struct(
         F.when(F.col("node") == "inline_point", F.lit("point")).otherwise(F.col("node")).alias("level"),
@@ -250,8 +257,10 @@ def parse(lines: DataFrame) -> DataFrame:
     grouped = kept.groupBy("doc_id", "node_id").agg(
         F.max(F.when(F.col("opens"), head)).alias("head"),
         F.array_sort(F.collect_list(F.when(F.col("content") != "", F.struct("pos", "sub", "content")))).alias("parts"),
+        *([F.first("title_parts").alias("title_parts")] if titled else []),
     )
-    return grouped.select("doc_id", "node_id", "head.*", F.array_join(F.col("parts.content"), " ").alias("noi_dung"))
+    title = [title_of(F.col("title_parts"))] if titled else []
+    return grouped.select("doc_id", "node_id", "head.*", F.array_join(F.col("parts.content"), " ").alias("noi_dung"), *title)
 
 
 def dropped_lines(lines: DataFrame) -> DataFrame:

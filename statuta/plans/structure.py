@@ -91,7 +91,7 @@ SELECT doc_id, level, CAST(chuong AS VARCHAR) AS chuong, 'TÊN CHƯƠNG ' || chu
   CASE WHEN doc_id % 4 = 0 THEN 'Không xác định' ELSE 'NGHỊ ĐỊNH Về việc ' || doc_id END AS ten_van_ban FROM nodes""")
 def hierarchy_parse(spark, d):
     lines = structured_lines(spark, d)
-    return S.parse(lines).join(S.titles(lines), "doc_id").drop("node_id")
+    return S.parse(lines, titled=True).drop("node_id")
 
 
 @query("appendix_collect", """WITH x AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)

@@ -597,6 +597,13 @@ def test_store_appends_and_compaction(spark, tmp_path):
     assert (entry["n_chunks"], entry["n_vectors"], entry["n_postings"]) == (5, 5, 5)
 
 
+def test_titled_nodes_come_from_one_shuffle_of_the_lines(spark):
+    lines = S.lines_of(spark.createDataFrame([(1, "NGHỊ ĐỊNH\nVề hộ tịch\nCăn cứ\nĐiều 1. X\n1. y"), (2, "x")], "doc_id long, text string"))
+    out = S.parse(lines, titled=True)
+    assert {(r["level"], r["ten_van_ban"]) for r in out.collect()} == {("article", "NGHỊ ĐỊNH Về hộ tịch"), ("clause", "NGHỊ ĐỊNH Về hộ tịch")}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": \n{"a": 2}\n')
     good, bad = SL.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a bigint")
