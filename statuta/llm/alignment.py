@@ -4,8 +4,8 @@ Tokenizer A is a byte-level one of ``tokenizers``, B one of ``sentencepiece``. B
 libraries give (character offsets of A, piece spans of B) are coarse cuts; where they stop inside a character, or put several tokens
 on one, the decoded bytes of the tokens give the exact ends. Byte offsets where tokens of both end cut the text into groups.
 
-Neither tokenizer joins what a space after a visible character parts, nor (checked for B) a line feed and what follows it. So a text
-is aligned unit by unit, and a task remembers units within ``REMEMBERED`` bytes. Each row keeps its distinct links with their numbers;
+Neither tokenizer joins what a space after a visible character parts, nor (checked for B) a line feed and what follows it, or a letter
+and a mark after it. So a text is aligned unit by unit, and a task remembers units within ``REMEMBERED`` bytes. Each row keeps its distinct links with their numbers;
 counts of links over the corpus come from an aggregation, and go back to the rows by a join: a broadcast one within ``PAIRS`` counted
 links, else a shuffled, salted one.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,16 @@ from statuta.llm.words import slices
 from statuta.session import stored
 
 SPACE = "▁"
-REMEMBERED = 96 << 20
+REMEMBERED = 256 << 20
 PAIRS = 1_000_000
 #: A link's code is A's id times this plus B's id.
 _B = 1 << 15
-#: A space run is cut off where it follows a visible character; so is what follows a single line feed between visible characters.
-_CUT = re.compile(r"(?<=\S)(?= )|(?<=\S\n)(?=\S)")
-_GLUED = re.compile(r"\s |\n")
+#: Where a text is cut: before a space run that follows a visible character.
+_CUT = re.compile(r"(?<=\S)(?= )")
+_SPACES = re.compile(r"\s ")
+#: Where what lies between is cut further: after a single line feed between visible characters, and between a letter and a mark.
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+_SUB = re.compile(rf"(?<=\S\n)(?=\S)|(?<=[{_LATIN}])(?=[{_MARKS}])")
 
 
 class Aligner:
@@ -53,13 +57,22 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in shown)}
-        self.a_bytes = {i: bytes(byte[c] for c in entry) for entry, i in self.a.get_vocab().items() if all(c in byte for c in entry)}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            if all(c in byte for c in entry):
+                self.a_bytes[i] = bytes(byte[c] for c in entry)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes((int(x[3:5], 16),)) if self.b.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
-        if len(names) > _B or any(re.search(f"[^{SPACE}]{SPACE}|\n", x) for x in names) or not self.b.is_byte(self.b.encode("\n")[-1]):
-            raise ValueError(f"{b}: pieces that hold a line feed, or go on past a space, are not covered")
+        beyond = re.compile(f"[^{SPACE}]{SPACE}|\n|[{_LATIN}][{_MARKS}]")
+        if len(names) > _B or any(beyond.search(x) for x in names) or not self.b.is_byte(self.b.encode("\n")[-1]):
+            raise ValueError(f"{b}: pieces that hold a line feed, go on past a space, or join a letter to a mark, are not covered")
         self.b_space = self.b.encode("\na ")[-1]
         self.b_lead = len(self.b.encode("\n"))
+        self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # decimal ids with what follows them
+        self.shown = [f"{i}{after}" for i in range(max(len(names), len(self.a_bytes))) for after in (",", "|", ";", "")]
+        self._words: dict[str, tuple | None] = {}
         self._units: dict[str, tuple | None] = {}
         self._held = 0
 
@@ -71,75 +84,111 @@ class Aligner:
         return cls._made[a, b]
 
     def _learn(self, units: list[str]) -> None:
-        spans = [(e.ids, [end for _, end in e.offsets]) for e in self.a.encode_batch(units, add_special_tokens=False)]
-        # B puts a space in front itself; a unit without one follows a line feed, which nothing joins
-        pieces = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], return_type="proto")
-        for unit, (a_ids, a_ends), proto in zip(units, spans, pieces):
-            found = [(p.id, p.end) for p in proto.pieces]
-            if unit[0] == " ":
-                b_ids, b_ends = [i for i, _ in found] or [self.b_space], [end + 1 for _, end in found] or [1]
-            else:
-                b_ids, b_ends = [i for i, _ in found[self.b_lead :]], [end - 1 for _, end in found[self.b_lead :]]
-            data = unit.encode()
-            if not unit.isascii():
-                upto = np.cumsum([0] + [len(c.encode()) for c in unit])
-                a_ends = upto[a_ends].tolist()
-            a_ends = refined(a_ends, [self.a_bytes[i] for i in a_ids], data)
-            b_ends = refined(b_ends, [self.b_bytes[i] for i in b_ids], data)
-            made = None if a_ends is None or b_ends is None else aligned(a_ids, a_ends, b_ids, b_ends)
-            self._units[unit] = made
-            self._held += 2 * len(unit) + 400 + (len(made[0]) + len(made[4]) if made else 0)
+        """Alignments of new units, all at once: their bytes lie one after another in both tokenizers."""
+        # in plain ASCII the tokens' bytes alone are exact; the libraries' spans are asked for where characters have several bytes
+        plain, odd = [u for u in units if u.isascii()], [u for u in units if not u.isascii()]
+        units = plain + odd
+        # B puts a space in front itself; a unit without one follows what nothing is joined to, as a line feed
+        for_b = [u[1:] if u[0] == " " else "\n" + u for u in units]
+        lead, space = self.b_lead, [self.b_space]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(plain, add_special_tokens=False)]
+        b_ids = [(ids or space) if u[0] == " " else ids[lead:] for u, ids in zip(plain, self.b.encode(for_b[: len(plain)], num_threads=1))]
+        raw = [u.encode() for u in units]
+        base = np.cumsum([0] + [len(x) for x in raw])
+        a_ends, b_ends = [], []
+        found = self.a.encode_batch(odd, add_special_tokens=False)
+        protos = self.b.encode(for_b[len(plain) :], return_type="proto", num_threads=1)
+        for unit, start, one, proto in zip(odd, base[len(plain) :].tolist(), found, protos):
+            upto = list(accumulate((len(c.encode()) for c in unit), initial=start))
+            a_ids.append(one.ids)
+            a_ends.append([upto[end] for _, end in one.offsets])
+            pieces = proto.pieces[0 if unit[0] == " " else lead :]
+            shift = start + (1 if unit[0] == " " else -1)
+            b_ids.append([p.id for p in pieces])
+            b_ends.append([shift + p.end for p in pieces])
+        whole = b"".join(raw)
+        if not all(b"".join(map(of.__getitem__, chain.from_iterable(ids))) == whole for ids, of in ((a_ids, self.a_bytes), (b_ids, self.b_bytes))):
+            # some unit is not given back: told apart one by one
+            bad = [any(b"".join(map(of.__getitem__, own)) != data for own, of in ((x, self.a_bytes), (y, self.b_bytes))) for x, y, data in zip(a_ids, b_ids, raw)]
+            if any(bad):
+                self._units.update((u, None) for u, no in zip(units, bad) if no)
+                good = [u for u, no in zip(units, bad) if not no]
+                return self._learn(good) if good else None
+        a, spans_a, b, spans_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, a_ends, b_ids, b_ends))
+        made = aligned(a, refined(spans_a, self.a_size[a]), b, refined(spans_b, self.b_size[b]), base[1:])
+        codes, links, shown, tokens, groups = made
+        parts, data = list(map(self.shown.__getitem__, shown.tolist())), codes.tobytes()
+        n_a, n_b = ([len(x) for x in ids] for ids in (a_ids, b_ids))
+        at = t = 0
+        for unit, x, y, n, k, g in zip(units, n_a, n_b, links.tolist(), tokens.tolist(), groups.tolist()):
+            self._units[unit] = ("".join(parts[t : t + k]), x, y, g, data[4 * at : 4 * (at + n)])
+            at, t = at + n, t + k
+        self._held += 500 * len(units) + 8 * len(data)
+
+    def _join(self, words: list[str]) -> None:
+        """New words, from the units they are made of."""
+        split = [_SUB.split(" " + word) for word in words]
+        new = list(set().union(*split).difference(self._units))
+        for at in range(0, len(new), 20_000):
+            self._learn(new[at : at + 20_000])
+        get = self._units.__getitem__
+        for word, units in zip(words, split):
+            self._words[word] = joined([get(u) for u in units]) if len(units) > 1 else get(units[0])
+        self._held += sum(map(len, words)) + 500 * len(words)
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """For each text the groups as text, numbers of tokens of A and B, groups and links, and the codes of all links as bytes."""
         split = []
         for text in texts:
-            text = " " + text
-            split.append(_CUT.split(text) if _GLUED.search(text) else [" " + w for w in text[1:].split(" ")] if len(text) > 1 else [])
+            if _SPACES.search(" " + text):
+                split.append([w[1:] for w in _CUT.split(" " + text)])
+            else:
+                split.append(text.split(" ") if text else [])
         if self._held > REMEMBERED:
-            self._units, self._held = {}, 0
-        new = list(set().union(*split).difference(self._units))
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        get = self._units.__getitem__
-        out = []
-        for units in split:
-            own = list(map(get, units))
-            if not own or None in own:
-                out.append(None)
-                continue
-            shown, n_a, n_b, n_groups, codes = zip(*own)
-            out.append((";".join(shown), sum(n_a), sum(n_b), sum(n_groups), b"".join(codes)))
-        return out
+            self._words, self._units, self._held = {}, {}, 0
+        self._join(list(set().union(*split).difference(self._words)))
+        get = self._words.__getitem__
+        return [joined(list(map(get, own))) if own else None for own in split]
+
+
+def joined(parts: list[tuple | None]) -> tuple | None:
+    """One alignment of those of neighbouring parts."""
+    if None in parts:
+        return None
+    shown, n_a, n_b, n_groups, codes = zip(*parts)
+    return ";".join(shown), sum(n_a), sum(n_b), sum(n_groups), b"".join(codes)
 
 
-def refined(coarse: list[int], tokens: list[bytes], data: bytes) -> list[int] | None:
-    """Byte offsets where the tokens end, or None where they do not make up ``data``.
+def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte offsets where tokens end that follow one another; ``coarse`` are the library's, of the last tokens.
 
-    A coarse end holds where it is as far from the one before as its token is long; else the token's bytes decide.
+    A coarse end holds where it is as far from the one before as its token is long; else, inside characters and at trimmed space, the
+    token's decoded bytes decide.
     """
-    if b"".join(tokens) != data:
-        return None
-    ends, before = [], 0
-    for end, token in zip(coarse, tokens):
-        before = end if end - before == len(token) else before + len(token)
-        ends.append(before)
+    ends = np.cumsum(sizes)
+    last = len(ends) - len(coarse)
+    ends[last:] = np.where(coarse - (ends - sizes)[last:] == sizes[last:], coarse, ends[last:])
     return ends
 
 
-def aligned(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> tuple[str, int, int, int, bytes]:
-    """Groups and links of one unit, from where the tokens end."""
-    groups, codes = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a_ids):
-        codes.append(a_ids[i] * _B + b_ids[j])
-        end_a, end_b = a_ends[i], b_ends[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
-        if end_a == end_b:
-            groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-            i0, j0 = i, j
-    return ";".join(groups), len(a_ids), len(b_ids), len(groups), np.array(codes, np.int32).tobytes()
+def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links and groups of units that lie one after another, from where the tokens of both end.
+
+    Codes of the links, how many each unit has, the tokens in the order of the groups as id * 4 + what follows (comma, bar, semicolon,
+    nothing), how many of these and how many groups each unit has.
+    """
+    # between two neighbouring ends of either lies one token of each
+    ends = np.union1d(a_ends, b_ends)
+    codes = (a[np.searchsorted(a_ends, ends)] * _B + b[np.searchsorted(b_ends, ends)]).astype(np.int32)
+    per = lambda at: np.diff(np.searchsorted(at, unit_ends, "right"), prepend=0)
+    common = np.intersect1d(a_ends, b_ends)
+    of_a, of_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    count_a, count_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+    shown = np.empty(len(a) + len(b), np.int64)
+    after_b = np.where(np.isin(common, unit_ends), 3, 2)
+    shown[np.arange(len(a)) + (np.cumsum(count_b) - count_b)[of_a]] = a * 4 + (a_ends == common[of_a])
+    shown[np.arange(len(b)) + np.cumsum(count_a)[of_b]] = b * 4 + np.where(b_ends == common[of_b], after_b[of_b], 0)
+    return codes, per(ends), shown, per(a_ends) + per(b_ends), per(common)
 
 
 _FOUND = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
