@@ -1,6 +1,8 @@
 """Joins of the corpus with expectations, citations, stores and phrases."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,15 +124,21 @@ def citation_backfill(citations: DataFrame, ranked: DataFrame) -> DataFrame:
 def duplicate_check(files: DataFrame, store: DataFrame) -> DataFrame:
     """``files(file_id, doc_id, sha256)`` with the number of stored chunks of the same document or content.
 
-    ``store(doc_id, sha256)`` is counted per (doc_id, sha256) first, so a document of very
-    many chunks is one row in the joins.
+    ``store(doc_id, sha256)`` is counted per document, per content and per both: a file's number is that of its document
+    and that of its content less that of both, so no file meets the single contents of its document.
     """
     counts = store.groupBy("doc_id", "sha256").agg(F.count("*").alias("n"))
-    by_doc = files.join(counts.select("doc_id", F.col("sha256").alias("s_sha"), "n"), "doc_id").select("file_id", "doc_id", "s_sha", "n")
-    by_sha = files.select("file_id", "sha256").join(counts.select(F.col("doc_id").alias("doc_id"), "sha256", "n"), "sha256").select(
-        "file_id", "doc_id", F.col("sha256").alias("s_sha"), "n"
-    )
-    found = by_doc.unionByName(by_sha).distinct().groupBy("file_id").agg(F.sum("n").alias("stored_chunks"))
+    asked = files.filter(F.col("file_id").isNotNull())
+    by_doc = asked.select("file_id", "doc_id").distinct()
+    by_sha = asked.select("file_id", "sha256").distinct()
+    total = lambda *keys: counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    parts = [
+        by_doc.join(total("doc_id"), "doc_id").select("file_id", "n"),
+        by_sha.join(total("sha256"), "sha256").select("file_id", "n"),
+        # what both ways found counts once
+        by_doc.join(by_sha, "file_id").join(counts, ["doc_id", "sha256"]).select("file_id", (-F.col("n")).alias("n")),
+    ]
+    found = reduce(DataFrame.unionByName, parts).groupBy("file_id").agg(F.sum("n").alias("stored_chunks"))
     out = files.join(found, "file_id", "left").fillna(0, ["stored_chunks"])
     return out.withColumn("already_exists", F.col("stored_chunks") > 0)
 
