@@ -7,6 +7,8 @@ comparable; nothing here is logic.
 # ---- tokens -----------------------------------------------------------------
 # Fixed value: letters (with Vietnamese diacritics) and digits that form a token of a lower-case text.
 VI_TOKEN_PATTERN = "[a-záàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ0-9]+"
+# The same class in the order in which Java tests it fastest: a plain list is one nested test per letter, and all of them run for every character.
+VI_TOKEN_RUNS = "[a-z0-9[à-ỹ&&[" + VI_TOKEN_PATTERN.removeprefix("[a-z").removesuffix("0-9]+") + "]]]+"
 
 # ---- keywords ---------------------------------------------------------------
 # Words that carry no meaning for keyword matching.

@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def tokens(text: Column, pattern: str = V.VI_TOKEN_PATTERN) -> Column:
+def tokens(text: Column, pattern: str = V.VI_TOKEN_RUNS) -> Column:
     """Lower-case tokens; a text without any falls back to its whitespace words."""
     low = F.lower(text)
     found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))

@@ -26,6 +26,8 @@ from statuta.unfold import unfold
 K1, B = 1.5, 0.75
 QUERY_MATRIX_ROWS = 4096
 VECTOR_CELL_ROWS = 20_000
+#: Scores of queries and vectors that a task computes at once, about.
+BLOCK_SCORES = 500_000
 
 
 def top_ranked(scored: DataFrame, k: int | None = None, score: str = "score") -> DataFrame:
@@ -38,7 +40,7 @@ def top_ranked(scored: DataFrame, k: int | None = None, score: str = "score") ->
 # ---- keyword search ---------------------------------------------------------
 
 
-def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
+def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_RUNS) -> DataFrame:
     """(chunk_id, dl, term, tf): term frequencies, counted before they are shuffled."""
     split = chunks.select("chunk_id", tokens(F.col("text"), pattern).alias("toks"))
     return (
@@ -48,7 +50,7 @@ def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFrame:
+def query_terms(queries: DataFrame, pattern: str = V.VI_TOKEN_RUNS) -> DataFrame:
     return (
         unfold(queries, ["query_id"], tokens(F.col("query"), pattern), "term")
         .groupBy("query_id", "term")
@@ -56,7 +58,7 @@ def query_terms(queries: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> DataFr
     )
 
 
-def corpus_size(chunks: DataFrame, pattern: str = V.VI_TOKEN_PATTERN) -> Column:
+def corpus_size(chunks: DataFrame, pattern: str = V.VI_TOKEN_RUNS) -> Column:
     """struct(n, avgdl) as a scalar subquery."""
     lengths = chunks.select(F.size(tokens(F.col("text"), pattern)).alias("dl"))
     return lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
@@ -104,12 +106,21 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
 
 #: Rows (query, term) that one pass over the chunks scores at most, about.
 PASS_TERMS = 100_000
-#: Pairs of a row and a query term that are scored together, about.
-PASS_PAIRS = 2_000_000
+#: Rows whose terms are looked up together, and pairs of a row and a query term that are scored together, about: what a task holds in
+#: memory depends on these, not on how many rows a batch has.
+SLICE_ROWS = 256
+PASS_PAIRS = 250_000
 #: Scores that wait in a task before they are ranked with those it holds, at least.
 WAITING = 200_000
 
 
+def _slices(batches):
+    """The batches in parts of ``SLICE_ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _found_terms(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, term number, tf) of the wanted terms in each row, and every row's token count (-1: none)."""
     tokens_ = batch.column("toks")
@@ -130,10 +141,10 @@ def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k:
 
     def statistics(batches):
         df, n, counted, total = np.zeros(len(terms), np.int64), 0, 0, 0
-        for batch in batches:
-            _, found, _, lengths = _found_terms(batch, terms)
+        for part in _slices(batches):
+            _, found, _, lengths = _found_terms(part, terms)
             df += np.bincount(found, minlength=len(terms))
-            n, counted, total = n + batch.num_rows, counted + int((lengths >= 0).sum()), total + int(lengths[lengths >= 0].sum())
+            n, counted, total = n + part.num_rows, counted + int((lengths >= 0).sum()), total + int(lengths[lengths >= 0].sum())
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.concatenate([at, [-1, -2, -3]]), pa.int64()), pa.array(np.concatenate([df[at], [n, counted, total]]), pa.int64())], ["number", "n"])
 
@@ -166,28 +177,26 @@ def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k:
             least[q[full]] = np.round(held[2][at[full] + k - 1], 9)
             waiting, n_waiting = [], 0
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows_, numbers, tfs, lengths = _found_terms(part, terms)
-                sizes = starts[numbers + 1] - starts[numbers]
-                ends, a = np.cumsum(sizes), 0
-                while a < len(rows_):  # whole rows, of about so many pairs of row and query term
-                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PASS_PAIRS, "right")))
-                    b = int(np.searchsorted(rows_, rows_[b - 1], "right"))
-                    row, number, tf, size = rows_[a:b], numbers[a:b], tfs[a:b], sizes[a:b]
-                    a = b
-                    share = tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * lengths[row] / average))
-                    pair = np.repeat(np.arange(len(row)), size)
-                    own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-                    key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
-                    score = np.bincount(inverse, weight[own] * share[pair], len(key))
-                    near = np.round(score, 9) >= least[key % len(ids)]
-                    key, score = key[near], score[near]
-                    waiting.append((key % len(ids), part.column("chunk_id").to_numpy()[key // len(ids)], score))
-                    n_waiting += len(key)
-                    if n_waiting > max(WAITING, len(held[0])):
-                        settle()
+        for part in _slices(batches):
+            rows_, numbers, tfs, lengths = _found_terms(part, terms)
+            sizes = starts[numbers + 1] - starts[numbers]
+            ends, a = np.cumsum(sizes), 0
+            while a < len(rows_):  # whole rows, of about so many pairs of row and query term
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PASS_PAIRS, "right")))
+                b = int(np.searchsorted(rows_, rows_[b - 1], "right"))
+                row, number, tf, size = rows_[a:b], numbers[a:b], tfs[a:b], sizes[a:b]
+                a = b
+                share = tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * lengths[row] / average))
+                pair = np.repeat(np.arange(len(row)), size)
+                own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+                key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
+                score = np.bincount(inverse, weight[own] * share[pair], len(key))
+                near = np.round(score, 9) >= least[key % len(ids)]
+                key, score = key[near], score[near]
+                waiting.append((key % len(ids), part.column("chunk_id").to_numpy()[key // len(ids)], score))
+                n_waiting += len(key)
+                if n_waiting > max(WAITING, len(held[0])):
+                    settle()
         settle()
         yield pa.record_batch([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "chunk_id", "score"])
 
@@ -287,9 +296,8 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, batches, k: int, bounds: t
     scores = [np.empty(0)] * len(query_ids)
     least, last = bounds if bounds else (np.full(len(query_ids), -np.inf), np.zeros(len(query_ids), np.int64))
     least, last = least.copy(), last.copy()
-    for pdf in batches:
-        if pdf.empty:
-            continue
+    rows = max(1, BLOCK_SCORES // max(1, len(query_ids)))
+    for pdf in (part.iloc[at : at + rows] for part in batches for at in range(0, len(part), rows)):
         block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         block_ids = pdf["chunk_id"].to_numpy()
         product = np.round(queries @ block.T, 9)
