@@ -56,32 +56,46 @@ _PROGRESS = "doc_id long, line_no long, ts timestamp, line string, step int"
 
 _TOP = max(step for step, _ in V.PROGRESS_RULES)
 _NEVER = 2**63 - 1
+_LAST = 2**62  # for a null, which makes floats of a column: exact there
 
 
 def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # where each step was first reached: times and line numbers, of the steps 1, 2, ...
-    us, line = (list(x) for x in state.get) if state.exists else ([_NEVER] * _TOP, [_NEVER] * _TOP)
-    rows = pd.concat(list(batches)).sort_values(["us", "line_no"])
-    t, n, own = (rows[c].to_numpy() for c in ("us", "line_no", "own"))
+    """The lines of one bucket of documents; those without a document are bucket -1."""
+    rows = pd.concat(list(batches))
+    timed = rows["us"].notna().to_numpy()
+    doc, t, n = (rows[c].fillna(full).to_numpy(np.int64) for c, full in (("doc_id", 0), ("us", _LAST), ("line_no", _LAST)))
+    order = np.lexsort((n, t, doc))
+    rows, timed, doc, t, n, own = rows.iloc[order], timed[order], doc[order], t[order], n[order], rows["own"].to_numpy()[order]
+    # where each step of a document was first reached: times and line numbers, of the steps 1, 2, ...
+    known, *first = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"", b"")))
+    docs = np.union1d(known, doc)
+    us, line = (np.full((len(docs), _TOP), _NEVER) for _ in first)
+    us[np.searchsorted(docs, known)], line[np.searchsorted(docs, known)] = (x.reshape(-1, _TOP) for x in first)
+    at = np.searchsorted(docs, doc)
     steps = np.zeros(len(rows), np.int32)
     for k in range(_TOP):
-        hit = np.flatnonzero(own > k)
-        if len(hit):
-            us[k], line[k] = min((us[k], line[k]), (int(t[hit[0]]), int(n[hit[0]])))
-        steps[(t > us[k]) | ((t == us[k]) & (n >= line[k]))] = k + 1
-    state.update((us, line))
-    yield pd.DataFrame({"doc_id": key[0], "line_no": rows["line_no"], "ts": rows["ts"], "line": rows["line"], "step": steps})
+        hit = np.flatnonzero((own > k) & timed)
+        of, place = np.unique(at[hit], return_index=True)
+        t1, n1 = t[hit][place], n[hit][place]
+        sooner = (t1 < us[of, k]) | ((t1 == us[of, k]) & (n1 < line[of, k]))
+        us[of[sooner], k], line[of[sooner], k] = t1[sooner], n1[sooner]
+        steps[timed & ((t > us[at, k]) | ((t == us[at, k]) & (n >= line[at, k])))] = k + 1
+    state.update(tuple(x.tobytes() for x in (docs, us, line)))
+    yield pd.DataFrame({c: rows[c] for c in ("doc_id", "line_no", "ts", "line")} | {"step": steps})
 
 
-def progress_stream(lines: DataFrame) -> DataFrame:
+def progress_stream(lines: DataFrame, buckets: int = 1024) -> DataFrame:
     """The same over a stream: each line once, with its document's highest step up to its time among the lines that came so far.
 
     No line is too late, as there is no watermark, and no state is dropped: that of a document is where each step was first reached,
-    a few numbers on the state store's disk. A late line can raise lines given out before; ``settled`` tells.
+    a few numbers on the state store's disk. A late line can raise lines given out before; ``settled`` tells. Documents are keyed by
+    ``buckets`` hashes of their ids, as a call of Python per document and batch takes milliseconds; a batch rewrites the states of the
+    buckets that it has lines of. Their number is fixed by the checkpoint: take more of them for very many documents.
     """
     kept = lines.filter(F.rtrim("line") != "").withColumns({"own": line_step(F.col("line")), "ts": F.col("ts").cast("timestamp")})
-    kept = kept.withColumn("us", F.unix_micros("ts"))
-    return kept.groupBy("doc_id").applyInPandasWithState(_progress, _PROGRESS, "us array<long>, line array<long>", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("int")
+    kept = kept.withColumns({"us": F.unix_micros("ts"), "bucket": bucket})
+    return kept.groupBy("bucket").applyInPandasWithState(_progress, _PROGRESS, "docs binary, us binary, line binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def settled(rows: DataFrame) -> DataFrame:

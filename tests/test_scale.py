@@ -12,6 +12,7 @@ from statuta.functions import fixed_values as V
 from statuta.functions.text import tokens
 from statuta.operators import matching as M
 from statuta.operators import retrieval as R
+from statuta.streaming import flows as L
 
 
 def test_token_runs_are_the_token_pattern(spark):
@@ -75,3 +76,21 @@ def test_best_holds_few_scores_at_once():
     scores = np.round(queries @ vectors.T, 9)
     want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
     assert (got["chunk_id"].to_numpy().reshape(200, 5) == want).all()
+
+
+def test_progress_stream_of_very_many_documents(spark, tmp_path):
+    n = 40_000  # a call of Python for each would take minutes
+    rows = spark.range(2 * n).select(
+        F.when(F.col("id") % 97 > 0, F.col("id") % n).alias("doc_id"), F.when(F.col("id") % 89 > 0, F.timestamp_seconds("id")).alias("ts"), F.col("id").alias("line_no"),
+        F.element_at(F.array(*map(F.lit, ["Parse", "noise", "Merging", "Step 1: x", " "])), (F.col("id") % 5 + 1).cast("int")).alias("line"),
+    )
+    for part in range(2):
+        rows.filter(F.pmod(F.xxhash64("line_no"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    lines = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start = time.monotonic()
+    L.run_available(L.progress_stream(lines, 16), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert time.monotonic() - start < 60
+    out = spark.read.schema(L._PROGRESS).parquet(str(tmp_path / "out"))
+    timed = rows.filter("ts is not null")
+    assert out.count() == rows.filter("line <> ' '").count()
+    assert L.settled(out.filter("ts is not null")).exceptAll(L.progress_batch(timed)).isEmpty()
