@@ -262,8 +262,12 @@ def dense_run(spark, d):
     return _run("dense", R.dense_topk(chunk_vectors(spark, d), query_vectors(spark, d), RUN_K))
 
 
+def fused_run(keyword, dense):
+    return _run("rrf", R.rrf_merge([keyword, dense]))
+
+
 def rrf_run(spark, d):
-    return _run("rrf", R.rrf_merge([bm25_run(spark, d), dense_run(spark, d)]))
+    return fused_run(bm25_run(spark, d), dense_run(spark, d))
 
 
 BM25_RUN = f"{BM25},\nrun AS (SELECT * FROM bm25 WHERE rank <= {RUN_K})"

@@ -184,10 +184,11 @@ def rerank_head_keep_tail(spark, d):
 y AS (SELECT query_id, max(pair_score) AS best, arg_min(dense_score, rank) AS top_dense, arg_min(CASE WHEN kid = chunk_id THEN ks ELSE 0 END, rank) AS top_keyword FROM x GROUP BY query_id)
 SELECT query_id, round(best, 6) AS best, round(top_dense, 6) AS top_dense, round(top_keyword, 6) AS top_keyword, best < 0.15 AND (top_keyword >= 10 OR top_dense >= 0.45) AS bypass FROM y""")
 def low_score_bypass(spark, d):
-    dense = I.dense_run(spark, d).select("query_id", "chunk_id", F.col("score").alias("dense_score"))
-    top = I.bm25_run(spark, d).filter("rank = 1").select("query_id", F.col("chunk_id").alias("keyword_top_id"), F.col("score").alias("keyword_top_score"))
+    keyword, near = I.bm25_run(spark, d), I.dense_run(spark, d)
+    dense = near.select("query_id", "chunk_id", F.col("score").alias("dense_score"))
+    top = keyword.filter("rank = 1").select("query_id", F.col("chunk_id").alias("keyword_top_id"), F.col("score").alias("keyword_top_score"))
     x = (
-        with_pairs(spark, d, I.rrf_run(spark, d)).withColumn("pair_score", F.col("pair_score") * (F.col("query_id") % 4) * 0.1)
+        with_pairs(spark, d, I.fused_run(keyword, near)).withColumn("pair_score", F.col("pair_score") * (F.col("query_id") % 4) * 0.1)
         .join(dense, ["query_id", "chunk_id"], "left").fillna(0.0, ["dense_score"]).join(top, "query_id", "left")
     )
     rounded = [F.round(c, 6).alias(c) for c in ("best", "top_dense", "top_keyword")]
