@@ -41,8 +41,9 @@ def top_ranked(scored: DataFrame, k: int | None = None, score: str = "score") ->
 
 
 def postings(chunks: DataFrame, pattern: str = V.VI_TOKEN_RUNS) -> DataFrame:
-    """(chunk_id, dl, term, tf): term frequencies, counted before they are shuffled."""
-    split = chunks.select("chunk_id", tokens(F.col("text"), pattern).alias("toks"))
+    """(chunk_id, dl, term, tf): term frequencies; texts are shuffled by chunk before they are cut, not all their terms."""
+    dealt = chunks.select("chunk_id", "text").repartition("chunk_id")
+    split = dealt.select("chunk_id", tokens(F.col("text"), pattern).alias("toks"))
     return (
         unfold(split, ["chunk_id", F.size("toks").cast("long").alias("dl")], "toks", "term")
         .groupBy("chunk_id", "dl", "term")
@@ -241,10 +242,11 @@ def tfidf_scores(
     """Cosine of 1+ln(tf) weighted, idf scaled, unit-length n-gram vectors.
 
     Term counts and vocabulary are written once, as an index is; the norms then read all
-    of them, the products only the terms that queries have.
+    of them, the products only the terms that queries have. Texts are dealt by chunk before
+    they are cut into terms, so that it is texts that are shuffled and not all their n-grams.
     """
     counted = stored(
-        unfold(chunks, ["chunk_id"], ngrams(F.col("text")), "term")
+        unfold(chunks.select("chunk_id", "text").repartition("chunk_id"), ["chunk_id"], ngrams(F.col("text")), "term")
         .groupBy("chunk_id", "term")
         .agg(F.count("*").alias("tf")),
         "ngrams",
@@ -271,15 +273,16 @@ def tfidf_scores(
     )
     q_weighted = q_counted.join(vocabulary, "term").select("query_id", "term", "idf", weight.alias("qw"))
     q_norm = q_weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = (
-        sized_join(counted, q_weighted, ["term"], ["chunk_id"], measure=q_counted)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(weight * F.col("qw")).alias("dot"))
-    )
+    # the norm goes to the few terms of a chunk that queries have, where all of a chunk's terms are; pairs with queries then stay there
+    wanted = q_weighted.select("term", "idf").distinct()
+    found = sized_join(counted, wanted, ["term"], ["chunk_id"], measure=q_counted).select("chunk_id", "term", weight.alias("w"))
+    normed = found.join(norms, "chunk_id")
     return (
-        dots.join(norms, "chunk_id")
+        sized_join(normed, q_weighted.select("query_id", "term", "qw"), ["term"], ["chunk_id"], measure=q_counted)
+        .groupBy("query_id", "chunk_id")
+        .agg((F.sum(F.col("w") * F.col("qw")) / F.first("norm")).alias("part"))
         .join(q_norm, "query_id")
-        .select("query_id", "chunk_id", (F.col("dot") / F.col("norm") / F.col("q_norm")).alias("score"))
+        .select("query_id", "chunk_id", (F.col("part") / F.col("q_norm")).alias("score"))
     )
 
 

@@ -94,3 +94,21 @@ def test_progress_stream_of_very_many_documents(spark, tmp_path):
     timed = rows.filter("ts is not null")
     assert out.count() == rows.filter("line <> ' '").count()
     assert L.settled(out.filter("ts is not null")).exceptAll(L.progress_batch(timed)).isEmpty()
+
+
+def test_texts_are_shuffled_and_not_their_terms(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "b b"), (None, "a c"), (3, None)], "chunk_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = R.postings(chunks)
+    assert sorted(map(tuple, got.filter("chunk_id is not null").collect())) == [(1, 3, "a", 2), (1, 3, "b", 1), (2, 2, "b", 3), (2, 2, "c", 1)]
+    written = {}
+
+    def keep(df, name):
+        written[name] = df
+        return df
+
+    monkeypatch.setattr(R, "stored", keep)
+    R.tfidf_scores(chunks, spark.createDataFrame([(1, "aa bb")], "query_id long, query string"))
+    for df in (got, written["ngrams"]):
+        # from the top: what cuts the texts comes after their one exchange
+        assert plan(df).count("Exchange hashpartitioning") == 1 and plan(df).index("Generate") < plan(df).index("Exchange hashpartitioning")
