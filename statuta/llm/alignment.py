@@ -5,7 +5,8 @@ libraries give (character offsets of A, piece spans of B) are coarse cuts; where
 on one, the decoded bytes of the tokens give the exact ends. Byte offsets where tokens of both end cut the text into groups.
 
 Neither tokenizer joins what a space after a visible character parts, nor (checked for B) a line feed and what follows it, or a letter
-and a mark after it. So a text is aligned unit by unit, and a task remembers units within ``REMEMBERED`` bytes. Each row keeps its distinct links with their numbers;
+and a mark after it. So a text is aligned unit by unit, new units are put together again to runs for the tokenizers, and a task remembers
+units within ``REMEMBERED`` bytes. Each row keeps its distinct links with their numbers;
 counts of links over the corpus come from an aggregation, and go back to the rows by a join: a broadcast one within ``PAIRS`` counted
 links, else a shuffled, salted one.
 
@@ -16,6 +17,7 @@ empty result; a text of any length is aligned whole; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -33,6 +35,8 @@ from statuta.session import stored
 
 SPACE = "▁"
 REMEMBERED = 256 << 20
+#: So many units at most go to the tokenizers as one run.
+RUN = 256
 PAIRS = 1_000_000
 #: A link's code is A's id times this plus B's id.
 _B = 1 << 15
@@ -74,6 +78,8 @@ class Aligner:
         self.shown = [f"{i}{after}" for i in range(max(len(names), len(self.a_bytes))) for after in (",", "|", ";", "")]
         self._words: dict[str, tuple | None] = {}
         self._units: dict[str, tuple | None] = {}
+        # what was remembered before, of which words that come again are taken over
+        self._before: tuple[dict, dict] = {}, {}
         self._held = 0
 
     @classmethod
@@ -83,17 +89,21 @@ class Aligner:
             cls._made[a, b] = cls(a, b)
         return cls._made[a, b]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str], run: int = RUN) -> None:
         """Alignments of new units, all at once: their bytes lie one after another in both tokenizers."""
         # in plain ASCII the tokens' bytes alone are exact; the libraries' spans are asked for where characters have several bytes
-        plain, odd = [u for u in units if u.isascii()], [u for u in units if not u.isascii()]
-        units = plain + odd
-        # B puts a space in front itself; a unit without one follows what nothing is joined to, as a line feed
-        for_b = [u[1:] if u[0] == " " else "\n" + u for u in units]
+        kinds = [[], [], [], []]
+        for u in units:
+            kinds[2 * (not u.isascii()) + (u[0] != " " or u[-1].isspace())].append(u)
+        # units from a space to a visible character follow one another as in a text, others are given alone
+        runs = [["".join(own[at : at + size]) for at in range(0, len(own), size)] for own, size in zip(kinds, (run, 1, run, 1))]
+        plain, odd, units = runs[0] + runs[1], runs[2] + runs[3], list(chain(*kinds))
+        # B puts a space in front itself; a run without one follows what nothing is joined to, as a line feed
+        for_b = [u[1:] if u[0] == " " else "\n" + u for u in chain(plain, odd)]
         lead, space = self.b_lead, [self.b_space]
         a_ids = [e.ids for e in self.a.encode_batch_fast(plain, add_special_tokens=False)]
         b_ids = [(ids or space) if u[0] == " " else ids[lead:] for u, ids in zip(plain, self.b.encode(for_b[: len(plain)], num_threads=1))]
-        raw = [u.encode() for u in units]
+        raw = [u.encode() for u in chain(plain, odd)]
         base = np.cumsum([0] + [len(x) for x in raw])
         a_ends, b_ends = [], []
         found = self.a.encode_batch(odd, add_special_tokens=False)
@@ -106,29 +116,36 @@ class Aligner:
             shift = start + (1 if unit[0] == " " else -1)
             b_ids.append([p.id for p in pieces])
             b_ends.append([shift + p.end for p in pieces])
-        whole = b"".join(raw)
-        if not all(b"".join(map(of.__getitem__, chain.from_iterable(ids))) == whole for ids, of in ((a_ids, self.a_bytes), (b_ids, self.b_bytes))):
+        whole, sides = b"".join(raw), ((a_ids, self.a_bytes), (b_ids, self.b_bytes))
+        made = None
+        if all(b"".join(map(of.__getitem__, chain.from_iterable(ids))) == whole for ids, of in sides):
+            a, spans_a, b, spans_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, a_ends, b_ids, b_ends))
+            ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+            made = aligned(a, refined(spans_a, self.a_size[a]), b, refined(spans_b, self.b_size[b]), ends)
+        if made is None and run > 1:
+            return self._learn(units, 1)
+        if made is None:
             # some unit is not given back: told apart one by one
-            bad = [any(b"".join(map(of.__getitem__, own)) != data for own, of in ((x, self.a_bytes), (y, self.b_bytes))) for x, y, data in zip(a_ids, b_ids, raw)]
-            if any(bad):
-                self._units.update((u, None) for u, no in zip(units, bad) if no)
-                good = [u for u, no in zip(units, bad) if not no]
-                return self._learn(good) if good else None
-        a, spans_a, b, spans_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, a_ends, b_ids, b_ends))
-        made = aligned(a, refined(spans_a, self.a_size[a]), b, refined(spans_b, self.b_size[b]), base[1:])
-        codes, links, shown, tokens, groups = made
+            bad = [any(b"".join(map(of.__getitem__, ids[k])) != data for ids, of in sides) for k, data in enumerate(raw)]
+            self._units.update((u, None) for u, no in zip(units, bad) if no)
+            good = [u for u, no in zip(units, bad) if not no]
+            return self._learn(good) if good else None
+        codes, links, shown, n_a, n_b, groups = made
         parts, data = list(map(self.shown.__getitem__, shown.tolist())), codes.tobytes()
-        n_a, n_b = ([len(x) for x in ids] for ids in (a_ids, b_ids))
         at = t = 0
-        for unit, x, y, n, k, g in zip(units, n_a, n_b, links.tolist(), tokens.tolist(), groups.tolist()):
-            self._units[unit] = ("".join(parts[t : t + k]), x, y, g, data[4 * at : 4 * (at + n)])
-            at, t = at + n, t + k
+        for unit, x, y, n, g in zip(units, n_a.tolist(), n_b.tolist(), (4 * links).tolist(), groups.tolist()):
+            self._units[unit] = ("".join(parts[t : t + x + y]), x, y, g, data[at : at + n])
+            at, t = at + n, t + x + y
         self._held += 500 * len(units) + 8 * len(data)
 
     def _join(self, words: list[str]) -> None:
         """New words, from the units they are made of."""
         split = [_SUB.split(" " + word) for word in words]
-        new = list(set().union(*split).difference(self._units))
+        new = set().union(*split).difference(self._units)
+        again = new & self._before[1].keys()
+        self._units.update((u, self._before[1][u]) for u in again)
+        self._held += 600 * len(again)
+        new = list(new - again)
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
         get = self._units.__getitem__
@@ -138,15 +155,29 @@ class Aligner:
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """For each text the groups as text, numbers of tokens of A and B, groups and links, and the codes of all links as bytes."""
+        # very many small tuples are made and no cycles: the collector would walk all that is remembered again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._align(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _align(self, texts: list[str]) -> list[tuple | None]:
         split = []
         for text in texts:
             if _SPACES.search(" " + text):
                 split.append([w[1:] for w in _CUT.split(" " + text)])
             else:
                 split.append(text.split(" ") if text else [])
-        if self._held > REMEMBERED:
-            self._words, self._units, self._held = {}, {}, 0
-        self._join(list(set().union(*split).difference(self._words)))
+        if self._held > REMEMBERED // 2:
+            self._before, self._words, self._units, self._held = (self._words, self._units), {}, {}, 0
+        new = set().union(*split).difference(self._words)
+        again = new & self._before[0].keys()
+        self._words.update((w, self._before[0][w]) for w in again)
+        self._held += 600 * len(again)
+        self._join(list(new - again))
         get = self._words.__getitem__
         return [joined(list(map(get, own))) if own else None for own in split]
 
@@ -171,24 +202,26 @@ def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ends
 
 
-def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Links and groups of units that lie one after another, from where the tokens of both end.
+def aligned(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Links and groups of units that lie one after another, from where the tokens of both end; None if a token goes on past a unit.
 
     Codes of the links, how many each unit has, the tokens in the order of the groups as id * 4 + what follows (comma, bar, semicolon,
-    nothing), how many of these and how many groups each unit has.
+    nothing), how many of these of either and how many groups each unit has.
     """
     # between two neighbouring ends of either lies one token of each
     ends = np.union1d(a_ends, b_ends)
     codes = (a[np.searchsorted(a_ends, ends)] * _B + b[np.searchsorted(b_ends, ends)]).astype(np.int32)
     per = lambda at: np.diff(np.searchsorted(at, unit_ends, "right"), prepend=0)
     common = np.intersect1d(a_ends, b_ends)
+    if not np.isin(unit_ends, common).all():
+        return None
     of_a, of_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     count_a, count_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
     shown = np.empty(len(a) + len(b), np.int64)
     after_b = np.where(np.isin(common, unit_ends), 3, 2)
     shown[np.arange(len(a)) + (np.cumsum(count_b) - count_b)[of_a]] = a * 4 + (a_ends == common[of_a])
     shown[np.arange(len(b)) + np.cumsum(count_a)[of_b]] = b * 4 + np.where(b_ends == common[of_b], after_b[of_b], 0)
-    return codes, per(ends), shown, per(a_ends) + per(b_ends), per(common)
+    return codes, per(ends), shown, per(a_ends), per(b_ends), per(common)
 
 
 _FOUND = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"

@@ -1,5 +1,6 @@
 """The tokenizer operators and spelling variants: brute force over whole tables, made texts, and odd tables."""
 
+import gc
 import hashlib
 import random
 import re
@@ -133,6 +134,48 @@ def test_alignment_of_made_texts():
             assert got[:4] == (groups, len(a), len(b), groups.count(";") + 1) and Counter(codes) == Counter(i * 32768 + j for i, j in links), text
 
 
+class Counted:
+    """A tokenizer that notes how many strings it was given."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def __getattr__(self, name):
+        def call(texts, *args, **named):
+            self.n += len(texts)
+            return getattr(self.inner, name)(texts, *args, **named)
+
+        return call
+
+
+def test_alignment_puts_new_words_together(monkeypatch):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(6, 12)))
+    often = [word("abcdefgh") for _ in range(500)]
+    texts = [" ".join([*often, *(word("abcdefghé") for _ in range(500))]) for _ in range(12)]
+    aligner = alignment.Aligner(A, B)
+    aligner.a, aligner.b = Counted(aligner.a), Counted(aligner.b)
+    monkeypatch.setattr(alignment, "REMEMBERED", 2_000_000)
+    met = set()
+    for text in texts:
+        before = aligner.a.n, len(aligner._units)
+        (got,), want = aligner.align([text]), aligned(text)
+        assert got[:3] == (want[2], len(want[0]), len(want[1]))
+        # about 500 new words, given as a few runs of words; what came often is kept when memory is given back
+        new = set(text.split(" ")) - met
+        assert aligner.a.n - before[0] <= len(new) / 100 + 4 and aligner.b.n == aligner.a.n
+        met |= new
+    assert aligner._held < 2_000_000 and aligner._before[0] and len(aligner._units) < len(met)
+    assert gc.isenabled()
+
+
+def test_alignment_tells_lost_words_apart():
+    words = [f"{'wé'[i % 2]}{chr(97 + i % 26)}{i}" for i in range(700)]
+    words[300] = "▁x"  # not given back by B
+    got = alignment.Aligner(A, B).align([" ".join(words), *words])
+    assert [x is None for x in got] == [aligned(x) is None for x in [" ".join(words), *words]] and got[0] is None and got[1] is not None
+
+
 def rows_by_brute_force(texts):
     """Digest rows in the order of ``texts``."""
     found = [aligned(x) for x in texts]
