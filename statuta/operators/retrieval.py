@@ -13,13 +13,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from statuta.functions import fixed_values as V
 from statuta.functions.text import naming, tokens, words
 from statuta.joins import sized_join, within
+from statuta.operators import ngrams as N
 from statuta.session import stored
 from statuta.unfold import unfold
 
@@ -133,6 +137,35 @@ def _found_terms(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, ..
     return key // len(terms), key % len(terms), tf, lengths
 
 
+class _Held:
+    """The best ``k`` of each query that a task has seen, in the order of ``top_ranked``."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held, self.waiting, self.n_waiting = k, None, [], 0
+        self.least = np.full(queries, -np.inf)  # the k-th score of each query so far
+
+    def add(self, q: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        near = np.round(score, 9) >= self.least[q]
+        self.waiting.append((q[near], chunk[near], score[near]))
+        self.n_waiting += int(near.sum())
+        if self.n_waiting > max(WAITING, len(self.held[0]) if self.held else 0):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        all_ = [*([self.held] if self.held else []), *self.waiting]
+        if not all_:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, chunk, score = (np.concatenate(x) for x in zip(*all_))
+        place = np.lexsort((chunk, -np.round(score, 9), q))
+        q, chunk, score = q[place], chunk[place], score[place]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.held, self.waiting, self.n_waiting = (q[keep], chunk[keep], score[keep]), [], 0
+        q, at, n = np.unique(self.held[0], return_index=True, return_counts=True)
+        full = n == self.k
+        self.least[q[full]] = np.round(self.held[2][at[full] + self.k - 1], 9)
+        return self.held
+
+
 def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k: int, k1: float, b_: float) -> DataFrame:
     """Best ``k`` chunks of each task for the queries of ``wanted(query_id, term, qtf)``: a chunk is scored where its text is."""
     names = sorted(set(wanted["term"]))
@@ -158,26 +191,8 @@ def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k:
     query, weight = query[order], weight[order]
     starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
 
-    def best(q, chunk, score):
-        """The first ``k`` of each query in the order of ``top_ranked``."""
-        place = np.lexsort((chunk, -np.round(score, 9), q))
-        q, chunk, score = q[place], chunk[place], score[place]
-        first = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - first < k
-        return q[keep], chunk[keep], score[keep]
-
     def scored(batches):
-        held, waiting, n_waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
-        least = np.full(len(ids), -np.inf)  # the k-th score of each query so far
-
-        def settle():
-            nonlocal held, waiting, n_waiting
-            held = best(*(np.concatenate(x) for x in zip(held, *waiting)))
-            q, at, n = np.unique(held[0], return_index=True, return_counts=True)
-            full = n == k
-            least[q[full]] = np.round(held[2][at[full] + k - 1], 9)
-            waiting, n_waiting = [], 0
-
+        held = _Held(len(ids), k)
         for part in _slices(batches):
             rows_, numbers, tfs, lengths = _found_terms(part, terms)
             sizes = starts[numbers + 1] - starts[numbers]
@@ -192,14 +207,9 @@ def _bm25_pass(rows: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k:
                 own = np.repeat(starts[number], size) + np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
                 key, inverse = np.unique(row[pair] * len(ids) + query[own], return_inverse=True)
                 score = np.bincount(inverse, weight[own] * share[pair], len(key))
-                near = np.round(score, 9) >= least[key % len(ids)]
-                key, score = key[near], score[near]
-                waiting.append((key % len(ids), part.column("chunk_id").to_numpy()[key // len(ids)], score))
-                n_waiting += len(key)
-                if n_waiting > max(WAITING, len(held[0])):
-                    settle()
-        settle()
-        yield pa.record_batch([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "chunk_id", "score"])
+                held.add(key % len(ids), part.column("chunk_id").to_numpy()[key // len(ids)], score)
+        q, chunk, score = held.best()
+        yield pa.record_batch([pa.array(ids[q]), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
 
     return rows.mapInArrow(scored, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
 
@@ -224,9 +234,12 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 150, k1: float = K
 # ---- n-gram search ----------------------------------------------------------
 
 
+NGRAM_TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
 def ngrams(text: Column) -> Column:
     """Single tokens of two characters and more, then their neighbouring pairs."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(NGRAM_TOKEN), F.lit(0))
 
     def with_pairs(toks: Column) -> Column:
         fewer = F.greatest(F.size(toks) - 1, F.lit(0))
@@ -236,58 +249,119 @@ def ngrams(text: Column) -> Column:
     return naming(found, with_pairs)
 
 
-def tfidf_scores(
-    chunks: DataFrame, queries: DataFrame, min_df: int = 2, max_df: float = 0.9
-) -> DataFrame:
-    """Cosine of 1+ln(tf) weighted, idf scaled, unit-length n-gram vectors.
+#: A part of the chunks that one task counts has about so many characters, and few parts have at least so many.
+PART_CHARACTERS = 12_000_000
+LEAST_CHARACTERS = 500_000
+
+
+def _tfidf_hits(chunks: DataFrame, queries: DataFrame, min_df: int, max_df: float) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, ids, weights): the terms of queries that a chunk holds, and (query_id, id, qw): those of a query; both of unit length.
 
-    Term counts and vocabulary are written once, as an index is; the norms then read all
-    of them, the products only the terms that queries have. Texts are dealt by chunk before
-    they are cut into terms, so that it is texts that are shuffled and not all their n-grams.
+    Texts are dealt to parts by chunk, so that it is texts that are shuffled and not all their n-grams. A part counts its n-grams and
+    writes numbers; of the terms themselves it sends each distinct one to a bucket, once, and the buckets give document frequencies
+    back. So the norm of a chunk is summed where its counts are, and no row is made for an n-gram.
     """
-    counted = stored(
-        unfold(chunks.select("chunk_id", "text").repartition("chunk_id"), ["chunk_id"], ngrams(F.col("text")), "term")
-        .groupBy("chunk_id", "term")
-        .agg(F.count("*").alias("tf")),
-        "ngrams",
-    )
-    vocabulary = stored(
-        counted.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("n", chunks.agg(F.count("*")).scalar())
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-        .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")),
-        "vocabulary",
-    )
-    weight = (1 + F.log("tf")) * F.col("idf")
-    # the vocabulary grows with the corpus: a shuffled join, whose hot terms adaptive execution splits
-    norms = (
-        counted.join(vocabulary, "term")
-        .groupBy("chunk_id")
-        .agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    spark, kind = chunks.sparkSession, chunks.schema["chunk_id"].dataType
+    counted = chunks.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("c")).first()
+    n, characters, usual = counted["n"], counted["c"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, -(-characters // PART_CHARACTERS), min(usual, -(-characters // LEAST_CHARACTERS)))
+    # rows without a chunk are one document, as others of one id are, but may be many: they are dealt by text, and meet in the buckets
+    dealt = chunks.select("chunk_id", "text").repartition(parts, "chunk_id", F.when(F.col("chunk_id").isNull(), F.xxhash64("text")))
+    # no token goes on over the end of a line, and a line is less than a text to hold
+    lines = unfold(dealt, ["chunk_id"], F.split(F.lower("text"), "\n"), "line", "pos")
+    rows = lines.select("chunk_id", "pos", F.array_join(F.regexp_extract_all("line", F.lit(NGRAM_TOKEN), F.lit(0)), "\n").alias("tokens"))
+    counts, hits_ = N.COUNTS.format(kind.simpleString()), N.HITS.format(kind.simpleString())
+    counts_arrow, vocabulary_arrow, hits_arrow = (
+        to_arrow_schema(StructType.fromDDL(x)) for x in (counts, N.VOCABULARY, hits_)
     )
+    count = lambda batches: N.count_part(batches, TaskContext.get().partitionId(), parts, counts_arrow)
+    ngrams_ = stored(rows.mapInArrow(count, counts), "ngrams")
     q_counted = (
         unfold(queries, ["query_id"], ngrams(F.col("query")), "term")
+        .filter(F.col("query_id").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("tf"))
     )
-    q_weighted = q_counted.join(vocabulary, "term").select("query_id", "term", "idf", weight.alias("qw"))
+    asked = q_counted.select("term").distinct().mapInArrow(lambda batches: N.ask(batches, parts, counts_arrow), counts)
+    terms = ngrams_.filter(F.col("bucket") >= 0).unionByName(asked).select("part", "bucket", "body", "counts")
+    vocabulary = stored(
+        terms.groupBy("bucket").applyInArrow(lambda t: N.bucket_vocabulary(t, min_df, max_df * n, vocabulary_arrow), N.VOCABULARY), "vocabulary"
+    )
+    known = vocabulary.filter(F.col("part") < 0).mapInArrow(lambda batches: N.asked_terms(batches, n), "term string, id long, idf double")
+    q_weighted = q_counted.join(known, "term").select("query_id", "id", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
     q_norm = q_weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    # the norm goes to the few terms of a chunk that queries have, where all of a chunk's terms are; pairs with queries then stay there
-    wanted = q_weighted.select("term", "idf").distinct()
-    found = sized_join(counted, wanted, ["term"], ["chunk_id"], measure=q_counted).select("chunk_id", "term", weight.alias("w"))
-    normed = found.join(norms, "chunk_id")
-    return (
-        sized_join(normed, q_weighted.select("query_id", "term", "qw"), ["term"], ["chunk_id"], measure=q_counted)
-        .groupBy("query_id", "chunk_id")
-        .agg((F.sum(F.col("w") * F.col("qw")) / F.first("norm")).alias("part"))
-        .join(q_norm, "query_id")
-        .select("query_id", "chunk_id", (F.col("part") / F.col("q_norm")).alias("score"))
+    q_unit = q_weighted.join(q_norm, "query_id").select("query_id", "id", (F.col("qw") / F.col("q_norm")).alias("qw"))
+    own = ngrams_.filter(F.col("bucket") < 0).select("part", "bucket", "chunks", F.col("sizes").alias("one"), F.col("numbers").alias("two"), F.col("tfs").alias("three"))
+    answers = vocabulary.filter(F.col("part") >= 0).select(
+        "part", "bucket", F.lit(None).cast(own.schema["chunks"].dataType).alias("chunks"), F.col("dfs").alias("one"), F.col("places").alias("two"), F.col("asked").alias("three")
     )
+    hits = own.unionByName(answers).groupBy("part").applyInArrow(lambda t: N.part_hits(t, n, hits_arrow), hits_)
+    return hits, q_unit
+
+
+#: Cells of queries and chunks that are scored at once, at most, or one row of them.
+PASS_CELLS = 1_000_000
+
+
+def _tfidf_pass(hits: DataFrame, wanted: pd.DataFrame, kinds: tuple[str, str], k: int | None) -> DataFrame:
+    """(query_id, chunk_id, score) for the queries of ``wanted(query_id, id, qw)``; with ``k`` the best of each task."""
+    ids, query = np.unique(wanted["query_id"], return_inverse=True)
+    names, term = np.unique(wanted["id"].to_numpy(np.int64), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    query, weight = query[order], wanted["qw"].to_numpy()[order]
+    starts = np.searchsorted(term[order], np.arange(len(names) + 1))
+
+    def given(q, chunk, score):
+        return pa.record_batch([pa.array(ids[q]), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    def scored(batches):
+        held = None if k is None else _Held(len(ids), k)
+        for batch in batches:
+            if not len(names):
+                continue
+            lists, chunk = batch.column("ids"), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            found, share = lists.flatten().to_numpy(), batch.column("weights").flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            number = np.minimum(np.searchsorted(names, found), len(names) - 1)
+            at = np.flatnonzero(names[number] == found)
+            row, number, share = row[at], number[at], share[at]
+            sizes = starts[number + 1] - starts[number]
+            ends, a = np.cumsum(sizes), 0
+            while a < len(row):  # whole rows, of about so many pairs of row and query term
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PASS_PAIRS, "right")))
+                last = min(row[b - 1], row[a] + max(1, PASS_CELLS // len(ids)) - 1)
+                b = int(np.searchsorted(row, last, "right"))
+                size, base = sizes[a:b], row[a]
+                own = np.repeat(starts[number[a:b]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                cells = np.bincount(np.repeat((row[a:b] - base) * len(ids), size) + query[own], weight[own] * np.repeat(share[a:b], size))
+                cell = np.flatnonzero(cells > 0)  # all weights are
+                q, c, score = cell % len(ids), chunk[base + cell // len(ids)], cells[cell]
+                if held is None:
+                    yield given(q, c, score)
+                else:
+                    held.add(q, c, score)
+                a = b
+        if held is not None and len(held.best()[0]):
+            yield given(*held.best())
+
+    return hits.mapInArrow(scored, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+
+def tfidf_scores(chunks: DataFrame, queries: DataFrame, min_df: int = 2, max_df: float = 0.9, k: int | None = None) -> DataFrame:
+    """Cosine of 1+ln(tf) weighted, idf scaled, unit-length n-gram vectors; with ``k`` only the best of each task.
+
+    Many queries are taken in passes of about ``PASS_TERMS`` query terms.
+    """
+    hits, terms = _tfidf_hits(chunks, queries, min_df, max_df)
+    passes = max(1, -(-terms.count() // PASS_TERMS))
+    hits = stored(hits, "hits") if passes > 1 else hits
+    kinds = tuple(d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    of = lambda i: terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
+    return reduce(DataFrame.unionByName, [_tfidf_pass(hits, of(i), kinds, k) for i in range(passes)])
 
 
 def tfidf_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
-    return top_ranked(tfidf_scores(chunks, queries, **options), k)
+    return top_ranked(tfidf_scores(chunks, queries, k=k, **options), k)
 
 
 # ---- vector search ----------------------------------------------------------

@@ -1,17 +1,22 @@
 """What must not grow faster than the tables: time, memory and shuffles of single steps."""
+import math
 import random
+import re
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from statuta.functions import fixed_values as V
 from statuta.functions.text import tokens
 from statuta.operators import matching as M
 from statuta.operators import retrieval as R
+from statuta.session import stored
 from statuta.streaming import flows as L
 
 
@@ -112,3 +117,91 @@ def test_texts_are_shuffled_and_not_their_terms(spark, monkeypatch):
     for df in (got, written["ngrams"]):
         # from the top: what cuts the texts comes after their one exchange
         assert plan(df).count("Exchange hashpartitioning") == 1 and plan(df).index("Generate") < plan(df).index("Exchange hashpartitioning")
+
+
+def _cosines(chunks, queries, min_df, max_df):
+    """{(query, chunk): score} by the definition; texts of one id are one document, as are those without."""
+    def counts(rows):
+        out = {}
+        for key, text in rows:
+            words = re.findall(r"\w{2,}", (text or "").lower())
+            out.setdefault(key, Counter()).update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        return out
+
+    docs, n = counts(chunks), len(chunks)
+    df = Counter(t for c in docs.values() for t in c)
+    idf = {t: math.log((1 + n) / (1 + x)) + 1 for t, x in df.items() if min_df <= x <= max_df * n}
+    weigh = lambda c: {t: (1 + math.log(x)) * idf[t] for t, x in c.items() if t in idf}
+    unit = lambda w: {t: x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    vectors = {k: unit(weigh(c)) for k, c in docs.items() if k is not None}
+    asked = {k: unit(weigh(c)) for k, c in counts(queries).items() if k is not None}
+    return {(q, c): sum(x * v[t] for t, x in a.items() if t in v) for q, a in asked.items() for c, v in vectors.items() if a.keys() & v.keys()}
+
+
+def _texts(rng, n, ids):
+    line = lambda: rng.choice(" ,.-").join(rng.choice("aa bb cc dd ee Ff g hh ii ÄÖ".split()) for _ in range(rng.randrange(9)))
+    return [(rng.choice(ids), rng.choice([None, ""] + ["\n".join(line() for _ in range(rng.randrange(1, 5))) for _ in range(9)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_tfidf_brute_force(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    ids = [None, *(f"c{i}" if kind == "string" else i for i in range(40))]
+    chunks, queries = _texts(rng, 60, ids), _texts(rng, 12, [None, *range(8)])
+    monkeypatch.setattr(R, "LEAST_CHARACTERS", 300)  # several parts and buckets
+    frames = [spark.createDataFrame(rows, f"{key} {t}, {text} string") for rows, key, t, text in ((chunks, "chunk_id", kind, "text"), (queries, "query_id", "long", "query"))]
+    want = _cosines(chunks, queries, 2, 0.6)
+    ranked = {q: sorted((-round(s, 9), c) for (a, c), s in want.items() if a == q)[:3] for q, _ in want}
+    for terms, fold in ((R.PASS_TERMS, R.N.FOLD_BYTES), (20, 1)):
+        monkeypatch.setattr(R, "PASS_TERMS", terms)
+        monkeypatch.setattr(R, "PASS_PAIRS", terms)
+        monkeypatch.setattr(R.N, "FOLD_BYTES", fold)
+        got = {(r["query_id"], r["chunk_id"]): r["score"] for r in R.tfidf_scores(*frames, max_df=0.6).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        top = R.tfidf_topk(*frames, 3, max_df=0.6).collect()
+        assert {q: [r["chunk_id"] for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == q] for q in ranked} == {q: [c for _, c in x] for q, x in ranked.items()}
+
+
+def test_counted_parts_fold_as_they_go(monkeypatch):
+    rng, lines = random.Random(1), []
+    schema = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("body", pa.string()), ("counts", pa.binary()), ("chunks", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()), ("tfs", pa.binary())])
+    for text in range(30):
+        chunk = rng.choice([1, 2, 3, None])
+        lines += [(chunk, i, "\n".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.choice([0, 0, 1, 4])))) for i in range(rng.randrange(1, 5))]
+    batches = [pa.record_batch([pa.array(x, t) for x, t in zip(zip(*lines[a : a + 4]), (pa.int64(), pa.int32(), pa.string()))], ["chunk_id", "pos", "tokens"]) for a in range(0, len(lines), 4)]
+
+    def counts():
+        rows = [r for b in R.N.count_part(iter(batches), 0, 3, schema) for r in b.to_pylist()]
+        terms = [t for r in sorted(rows, key=lambda r: r["bucket"]) if r["bucket"] >= 0 for t in r["body"].split("\n")]
+        own, at, out = next(r for r in rows if r["bucket"] < 0), 0, {}
+        steps, tf = R.N.unpacked(own["numbers"]), R.N.unpacked(own["tfs"])
+        for chunk, size in zip(own["chunks"], R.N.unpacked(own["sizes"])):
+            out[chunk] = {terms[i]: int(x) for i, x in zip(np.cumsum(steps[at : at + size]), tf[at : at + size])}
+            at += size
+        return out
+
+    want, words = {}, []
+    for chunk, i, line in lines:
+        words = [*(words if i else []), *filter(None, line.split("\n"))]
+        new = len(list(filter(None, line.split("\n"))))
+        grams = words[len(words) - new :] + [f"{words[j - 1]} {words[j]}" for j in range(len(words) - new, len(words)) if j]
+        want.setdefault(chunk, Counter()).update(grams)
+    want = {c: dict(x) for c, x in want.items()}
+    assert counts() == want
+    monkeypatch.setattr(R.N, "FOLD_BYTES", 1)
+    assert counts() == want
+
+
+def test_no_row_is_written_for_an_ngram(spark, monkeypatch):
+    n = 300  # with 300 n-grams and more each
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.concat(F.lit("w"), (i * F.col("id") % 9973).cast("string"))), " ")
+    chunks = spark.range(n).select(F.col("id").alias("chunk_id"), text.alias("text"))
+    written = {}
+
+    def keep(df, name):
+        written[name] = stored(df, name)
+        return written[name]
+
+    monkeypatch.setattr(R, "stored", keep)
+    R.tfidf_topk(chunks, spark.createDataFrame([(1, "w7 w14 w21")], "query_id long, query string")).collect()
+    assert all(df.count() < n for df in written.values())
