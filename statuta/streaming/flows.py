@@ -123,27 +123,47 @@ def outcome_batch(ends: DataFrame, store: DataFrame) -> DataFrame:
 OUTCOME = "doc_id bigint, status string, num_chunks bigint"
 
 
-_END = "doc_id long, ts timestamp, line_no long, exit_code int, num_chunks long"
+_END_COLUMNS = ("doc_id", "us", "line_no", "exit_code", "num_chunks")
+_END = "doc_id long, us long, line_no long, exit_code int, num_chunks long, nulls int"
 
 
-def _first_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        return
-    state.update((True,))
-    yield pd.concat(list(batches)).sort_values(["ts", "line_no"]).head(1)[["doc_id", "ts", "line_no", "exit_code", "num_chunks"]]
+def _first_ends(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first end of each document of one bucket that had none before; documents without an id are bucket -1."""
+    rows = pd.concat(list(batches))
+    known = np.frombuffer(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
+    doc, us, line_no, nulls = (rows[c].to_numpy() for c in ("doc_id", "us", "line_no", "nulls"))
+    order = np.lexsort((line_no, nulls & 4, us, nulls & 2, doc))  # the bits of null times and lines, which come last
+    docs, first = np.unique(doc[order], return_index=True)
+    new = ~np.isin(docs, known)
+    if new.any():
+        state.update((np.union1d(known, docs[new]).tobytes(),))
+        yield rows.iloc[order[first[new]]][[*_END_COLUMNS, "nulls"]]
 
 
-def outcome_stream(ends: DataFrame, store: DataFrame, path: str, checkpoint: str) -> None:
+def outcome_stream(ends: DataFrame, store: DataFrame, path: str, checkpoint: str, buckets: int = 1024) -> None:
     """Append each document's outcome once, from the first end of the first batch that has one.
 
-    The state store remembers which documents have one, so a batch reads nothing of earlier batches. A batch owns one folder, so a
+    The state store remembers which documents have one, so a batch reads nothing of earlier batches. They are keyed by ``buckets``
+    hashes of their ids, as a call of Python per document and batch takes milliseconds; the state of a bucket is its documents' ids,
+    8 bytes each. Their number is fixed by the checkpoint: take more of them for very many documents. A batch owns one folder, so a
     repeated batch replaces itself.
     """
-    cast = ends.select("doc_id", F.col("ts").cast("timestamp").alias("ts"), "line_no", F.col("exit_code").cast("int").alias("exit_code"), F.col("num_chunks").cast("long").alias("num_chunks"))
-    first = cast.groupBy("doc_id").applyInPandasWithState(_first_end, _END, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("int")
+    cast = ends.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("line_no").cast("long").alias("line_no"),
+        F.col("exit_code").cast("int").alias("exit_code"), F.col("num_chunks").cast("long").alias("num_chunks"),
+    )
+    # numbers without nulls, which would make floats of them
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(_END_COLUMNS)])
+    filled = [F.coalesce(c, F.lit(0).cast(cast.schema[c].dataType)).alias(c) for c in _END_COLUMNS]
+    first = cast.select(*filled, nulls.cast("int").alias("nulls"), bucket.alias("bucket")).groupBy("bucket").applyInPandasWithState(
+        _first_ends, _END, "docs binary", "append", GroupStateTimeout.NoTimeout
+    )
 
     def write(batch: DataFrame, number: int) -> None:
-        outcome_batch(batch, store).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        back = [F.when(F.col("nulls").bitwiseAND(1 << i) == 0, F.col(c)).alias(c) for i, c in enumerate(_END_COLUMNS)]
+        told = batch.select(*back).withColumn("ts", F.timestamp_micros("us"))
+        outcome_batch(told, store).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_available(first, path, checkpoint, write)
 

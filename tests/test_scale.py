@@ -205,3 +205,28 @@ def test_no_row_is_written_for_an_ngram(spark, monkeypatch):
     monkeypatch.setattr(R, "stored", keep)
     R.tfidf_topk(chunks, spark.createDataFrame([(1, "w7 w14 w21")], "query_id long, query string")).collect()
     assert all(df.count() < n for df in written.values())
+
+
+def test_outcome_stream_of_very_many_documents(spark, tmp_path):
+    n = 40_000  # a call of Python for each would take minutes
+    i = F.col("id")
+    # the second file holds earlier ends of documents of the first one, which are too late to count
+    rows = spark.range(3 * n).select(
+        F.when(i % 97 > 0, i % n).alias("doc_id"), F.when(i % 89 > 0, F.timestamp_seconds(i * 7919 % 1000)).alias("ts"), F.when(i % 83 > 0, i).alias("line_no"),
+        F.when(i % 79 > 0, i % 2).cast("int").alias("exit_code"), F.when(i % 73 > 0, i + 2**53).alias("num_chunks"), (i >= 2 * n).alias("later"),
+    )
+    for later in (False, True):
+        rows.filter(F.col("later") == later).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ends = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = spark.range(0, n, 50).select(F.col("id").alias("doc_id"), F.lit(3).cast("long").alias("num_chunks"))
+    start = time.monotonic()
+    L.outcome_stream(ends, store, str(tmp_path / "out"), str(tmp_path / "cp"), 16)
+    assert time.monotonic() - start < 60
+    out = spark.read.schema(L.OUTCOME).parquet(str(tmp_path / "out")).toArrow().to_pylist()
+    want = {}
+    for r in rows.withColumn("us", F.unix_micros("ts")).toArrow().to_pylist():
+        place = (r["later"], *((x is None, x or 0) for x in (r["us"], r["line_no"])))
+        if r["doc_id"] not in want or place < want[r["doc_id"]][0]:
+            want[r["doc_id"]] = place, r["exit_code"], r["num_chunks"]
+    told = lambda d, code, c: ("already_exists", 3) if d is not None and d % 50 == 0 else ("success", c) if code == 0 else ("failed", 0)
+    assert len(out) == len(want) and {r["doc_id"]: (r["status"], r["num_chunks"]) for r in out} == {d: told(d, code, c) for d, (_, code, c) in want.items()}
