@@ -249,8 +249,8 @@ def ngrams(text: Column) -> Column:
     return naming(found, with_pairs)
 
 
-#: A part of the chunks that one task counts has about so many characters, and few parts have at least so many.
-PART_CHARACTERS = 12_000_000
+#: A part of the chunks that one task counts has about so many characters, a bucket the terms of so many; few of them have at least so many.
+PART_CHARACTERS, BUCKET_CHARACTERS = 4_000_000, 12_000_000
 LEAST_CHARACTERS = 500_000
 
 
@@ -264,7 +264,8 @@ def _tfidf_hits(chunks: DataFrame, queries: DataFrame, min_df: int, max_df: floa
     spark, kind = chunks.sparkSession, chunks.schema["chunk_id"].dataType
     counted = chunks.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("c")).first()
     n, characters, usual = counted["n"], counted["c"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, -(-characters // PART_CHARACTERS), min(usual, -(-characters // LEAST_CHARACTERS)))
+    few = min(usual, -(-characters // LEAST_CHARACTERS))
+    parts, buckets = (max(2, -(-characters // size), few) for size in (PART_CHARACTERS, BUCKET_CHARACTERS))
     # rows without a chunk are one document, as others of one id are, but may be many: they are dealt by text, and meet in the buckets
     dealt = chunks.select("chunk_id", "text").repartition(parts, "chunk_id", F.when(F.col("chunk_id").isNull(), F.xxhash64("text")))
     # no token goes on over the end of a line, and a line is less than a text to hold
@@ -274,7 +275,7 @@ def _tfidf_hits(chunks: DataFrame, queries: DataFrame, min_df: int, max_df: floa
     counts_arrow, vocabulary_arrow, hits_arrow = (
         to_arrow_schema(StructType.fromDDL(x)) for x in (counts, N.VOCABULARY, hits_)
     )
-    count = lambda batches: N.count_part(batches, TaskContext.get().partitionId(), parts, counts_arrow)
+    count = lambda batches: N.count_part(batches, TaskContext.get().partitionId(), buckets, counts_arrow)
     ngrams_ = stored(rows.mapInArrow(count, counts), "ngrams")
     q_counted = (
         unfold(queries, ["query_id"], ngrams(F.col("query")), "term")
@@ -282,7 +283,7 @@ def _tfidf_hits(chunks: DataFrame, queries: DataFrame, min_df: int, max_df: floa
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("tf"))
     )
-    asked = q_counted.select("term").distinct().mapInArrow(lambda batches: N.ask(batches, parts, counts_arrow), counts)
+    asked = q_counted.select("term").distinct().mapInArrow(lambda batches: N.ask(batches, buckets, counts_arrow), counts)
     terms = ngrams_.filter(F.col("bucket") >= 0).unionByName(asked).select("part", "bucket", "body", "counts")
     vocabulary = stored(
         terms.groupBy("bucket").applyInArrow(lambda t: N.bucket_vocabulary(t, min_df, max_df * n, vocabulary_arrow), N.VOCABULARY), "vocabulary"
